@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablewright.functions.columns import (
     as_double, flat_columns, is_integral, is_missing, is_numeric, quoted,
 )
+from tablewright.functions.counts import distinct_estimate
 
 # Exact distinct counts matter only up to this size (task detection asks for 10 and 50)
 # or for columns that may be unique.
@@ -51,7 +52,7 @@ def column_traits(df: DataFrame, columns: list[str] | None = None) -> list[Colum
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(~is_missing(df, c)).alias(f"p{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(quoted(c), 0.02).alias(f"d{i}") for i, c in enumerate(names)],
+        *[distinct_estimate(quoted(c)).alias(f"d{i}") for i, c in enumerate(names)],
         *[F.min(as_double(df, c)).alias(f"lo_{i}") for i, c in enumerate(numbers)],
         *[F.max(as_double(df, c)).alias(f"hi_{i}") for i, c in enumerate(numbers)],
         *[F.stddev_samp(as_double(df, c)).alias(f"sd_{i}") for i, c in enumerate(numbers)],

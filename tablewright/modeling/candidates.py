@@ -31,6 +31,7 @@ class Settings:
     boost_depth: int = 3
     neighbors: int = 5
     iterations: int = 1_000
+    margin_iterations: int = 100
     seed: int = 42
 
 
@@ -132,7 +133,7 @@ def _boosted_classifier(s: Settings, f: TrainingFacts):
 
 
 def _linear_svc(s: Settings, f: TrainingFacts):
-    machine = LinearSVC(maxIter=s.iterations, regParam=1.0 / max(1, f.rows))
+    machine = LinearSVC(maxIter=s.margin_iterations, regParam=1.0 / max(1, f.rows))
     return machine if f.classes <= 2 else OneVsRest(classifier=machine)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tablewright.analysis import column_traits, prune_columns
 from tablewright.analysis.traits import ColumnTraits
 from tablewright.functions.columns import as_double, is_missing, quoted
+from tablewright.functions.counts import distinct_estimate
 from tablewright.functions.quantiles import exact_quantiles
 
 MAX_CATEGORIES = 20_000
@@ -122,7 +123,7 @@ def _categories(train: DataFrame, columns: list[str]) -> dict[str, dict[str, int
     items = [x for c in columns for x in (F.lit(c), quoted(c).cast("string"))]
     stacked = train.select(F.stack(F.lit(len(columns)), *items).alias("column", "value"))
     counts = stacked.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    row = train.agg(*[F.approx_count_distinct(quoted(c), 0.02).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    row = train.agg(*[distinct_estimate(quoted(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     wide = [c for i, c in enumerate(columns) if row[f"d{i}"] > MAX_CATEGORIES]
     if wide:
         raise ValueError(f"More than {MAX_CATEGORIES} categories in {wide}; drop or group them first")
@@ -144,12 +145,12 @@ def feature_pipeline(df: DataFrame, state: FeatureState, output: str = "features
     inputs = [f"__num_{i}" for i in range(len(state.numeric))]
     if count:
         texts, codes, hots = ([f"__{k}_{i}" for i in range(count)] for k in ("cat", "idx", "hot"))
-        labels = [v or [""] for v in state.categories.values()]
-        stages.append(StringIndexerModel.from_arrays_of_labels(labels, texts, codes, handleInvalid="keep"))
+        for text, code, values in zip(texts, codes, state.categories.values()):
+            stages.append(StringIndexerModel.from_labels(values or [""], text, code, handleInvalid="keep"))
         # the "keep" bucket for unseen values comes last, so dropping it gives all zeros
         encoder = OneHotEncoder(inputCols=codes, outputCols=hots, dropLast=True, handleInvalid="error")
         empty = df.sparkSession.createDataFrame([], df.schema)
-        stages.append(encoder.fit(PipelineModel(stages[:2]).transform(empty)))
+        stages.append(encoder.fit(PipelineModel(stages[:]).transform(empty)))
         inputs += hots
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output))
     return PipelineModel(stages)

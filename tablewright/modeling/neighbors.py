@@ -14,26 +14,24 @@ are cut into blocks of bounded size, so no task holds a whole cell. Only the bes
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.session import cut_lineage
+
 PIVOTS = 1_024
 BLOCK_ROWS = 4_096
+# Training sets up to this many rows (and numbers) are sent whole to the query tasks.
+SMALL_ROWS = 20_000
+SMALL_NUMBERS = 2_000_000
 
 
-def _pivots(train: DataFrame, count: int) -> np.ndarray:
-    """A bounded, repeatable sample of the distinct training vectors.
-
-    When it holds the whole table, about the square root of it is enough.
-    """
-    rows = train.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(count).collect()
-    if len(rows) < count:
-        rows = rows[: 2 * math.isqrt(len(rows)) + 1]
-    return np.array(sorted({tuple(r["vector"]) for r in rows}), dtype=float)
+def _sample(train: DataFrame, rows: int) -> list:
+    """Up to ``rows`` training rows in hash order: the whole table, or a repeatable sample of it."""
+    return train.orderBy(F.xxhash64("vector"), "vector", "id").limit(rows).collect()
 
 
 def _distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -102,6 +100,46 @@ def _visits(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, k: int)
     return queries.mapInPandas(visit, f"query {kind}, vector array<double>, cell int")
 
 
+def _nearest_in(points: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int):
+    """A function from (query ids, query vectors) to their best ``k`` among ``points``, sorted by id."""
+
+    def best(query_ids: np.ndarray, queries: np.ndarray) -> pd.DataFrame:
+        parts = []
+        step = max(1, int(1_000_000 / len(ids)))
+        for start in range(0, len(queries), step):
+            gaps = _distances(queries[start:start + step], points)
+            # stable sort: equal distances keep the smaller id first
+            order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(start, start + len(gaps)), order.shape[1])
+            parts.append(pd.DataFrame({
+                "query": query_ids[rows], "id": ids[order.ravel()], "label": labels[order.ravel()],
+                "distance": np.take_along_axis(gaps, order, axis=1).ravel(),
+            }))
+        return pd.concat(parts)
+
+    return best
+
+
+def _result_type(asked: DataFrame, train: DataFrame) -> str:
+    kinds = {n: d.schema[n].dataType.simpleString() for n, d in (("query", asked), ("id", train), ("label", train))}
+    return ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", distance double"
+
+
+def _small_join(asked: DataFrame, train: DataFrame, rows: list, k: int) -> DataFrame:
+    """(query, id, label, distance) against a training set whose size was checked: no shuffle."""
+    rows = sorted(rows, key=lambda r: r["id"])
+    known = pd.DataFrame({"id": [r["id"] for r in rows], "label": [r["label"] for r in rows]})
+    points = np.array([r["vector"] for r in rows], dtype=float)
+    best = _nearest_in(points, known["id"].to_numpy(), known["label"].to_numpy(), k)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                yield best(batch["query"].to_numpy(), np.array(batch["vector"].tolist(), dtype=float))
+
+    return asked.mapInPandas(scan, _result_type(asked, train))
+
+
 def _block_join(visits: DataFrame, cells: DataFrame, summaries: pd.DataFrame, k: int) -> DataFrame:
     """(query, id, label, distance): the best ``k`` per query and block of training rows.
 
@@ -129,30 +167,18 @@ def _block_join(visits: DataFrame, cells: DataFrame, summaries: pd.DataFrame, k:
         if asked.empty or known.empty:
             return pd.DataFrame({"query": [], "id": [], "label": [], "distance": []})
         known = known.sort_values("id", kind="stable")
-        ids, labels = known["id"].to_numpy(), known["label"].to_numpy()
-        points = np.array(known["vector"].tolist(), dtype=float)
-        queries, parts = np.array(asked["vector"].tolist(), dtype=float), []
-        step = max(1, int(1_000_000 / len(ids)))
-        for start in range(0, len(queries), step):
-            gaps = _distances(queries[start:start + step], points)
-            # stable sort: equal distances keep the smaller id first
-            order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(start, start + len(gaps)), order.shape[1])
-            parts.append(pd.DataFrame({
-                "query": asked["query"].to_numpy()[rows], "id": ids[order.ravel()], "label": labels[order.ravel()],
-                "distance": np.take_along_axis(gaps, order, axis=1).ravel(),
-            }))
-        return pd.concat(parts)
+        search = _nearest_in(
+            np.array(known["vector"].tolist(), dtype=float), known["id"].to_numpy(), known["label"].to_numpy(), k
+        )
+        return search(asked["query"].to_numpy(), np.array(asked["vector"].tolist(), dtype=float))
 
     keys = ["cell", "tb_no", "qb_no"]
-    kinds = {n: d.schema[n].dataType.simpleString() for n, d in (("query", visits), ("id", cells), ("label", cells))}
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", distance double"
-    )
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, _result_type(visits, cells))
 
 
 def nearest_neighbors(
-    queries: DataFrame, train: DataFrame, k: int = 5, pivots: int = PIVOTS, exclude_self: bool = False
+    queries: DataFrame, train: DataFrame, k: int = 5, pivots: int = PIVOTS, exclude_self: bool = False,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """(id, rank, neighbor_id, label, distance): the ``k`` nearest training rows of each query, exactly.
 
@@ -163,7 +189,7 @@ def nearest_neighbors(
     wanted = k + 1 if exclude_self else k
     distinct = _distinct_vectors(train.select("id", "label", "vector"), wanted)
     keyed = queries.select("id", "vector")
-    answers = _answers(keyed.groupBy("vector").agg(F.min("id").alias("query")), distinct, wanted, pivots)
+    answers = _answers(keyed.groupBy("vector").agg(F.min("id").alias("query")), distinct, wanted, pivots, small_rows)
     joined = keyed.join(answers, "vector").drop("vector")
     if not exclude_self:
         return joined.select("id", "rank", "neighbor_id", "label", "distance")
@@ -173,21 +199,33 @@ def nearest_neighbors(
     return ranked.select("id", "rank", "neighbor_id", "label", "distance")
 
 
-def _answers(asked: DataFrame, distinct: DataFrame, k: int, pivots: int) -> DataFrame:
+def _answers(
+    asked: DataFrame, distinct: DataFrame, k: int, pivots: int = PIVOTS, small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """(vector, rank, neighbor_id, label, distance) for distinct query vectors with a unique ``query`` id."""
-    points = _pivots(distinct, pivots)
-    if len(points) == 0:
+    drawn = _sample(distinct, max(small_rows + 1, pivots))
+    if not drawn:
         raise ValueError("no training rows to search")
-    cells = _with_cell(distinct, points)
-    summaries = _summaries(cells, k)
-    visits = _visits(asked.select("query", "vector"), points, summaries, k)
-    near = _block_join(visits, cells.select("cell", "id", "label", "vector"), summaries, k)
+    ordered = asked.select("query", "vector")
+    if len(drawn) <= small_rows and len(drawn) * len(drawn[0]["vector"]) <= SMALL_NUMBERS:
+        near = _small_join(ordered, distinct, drawn, k)
+    else:
+        near = _cell_join(ordered, distinct, drawn, k, pivots)
     window = Window.partitionBy("query").orderBy("distance", "id")
     merged = near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
     merged = merged.select("query", F.col("id").alias("neighbor_id"), "label", "distance", "rank")
     return asked.join(merged, "query").drop("query")
 
 
+def _cell_join(asked: DataFrame, distinct: DataFrame, drawn: list, k: int, pivots: int) -> DataFrame:
+    """The pruned join. Cells and visits are written once, since each is read twice."""
+    points = np.array(sorted({tuple(r["vector"]) for r in drawn[:pivots]}), dtype=float)
+    cells = cut_lineage(_with_cell(distinct, points))
+    summaries = _summaries(cells, k)
+    visits = cut_lineage(_visits(asked, points, summaries, k))
+    return _block_join(visits, cells.select("cell", "id", "label", "vector"), summaries, k)
+
+
 def knn_regress(queries: DataFrame, train: DataFrame, k: int = 5, **how) -> DataFrame:
     """(id, prediction): the mean label of the ``k`` nearest."""
     near = nearest_neighbors(queries, train, k, **how)

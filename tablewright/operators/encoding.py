@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import is_categorical, quoted
+from tablewright.functions.counts import distinct_estimate
 from tablewright.functions.ordering import number_rows
 from tablewright.operators.base import Operation, State, operation
 from tablewright.session import BROADCAST_ROWS, scratch_path
@@ -37,7 +38,7 @@ def vocabulary(df: DataFrame, columns: list[str], limit: int) -> dict[str, list[
 
 def _maybe_large(df: DataFrame, columns: list[str], limit: int) -> bool:
     """A sketch pass: only near or above the limit are the values counted exactly."""
-    row = df.agg(*[F.approx_count_distinct(quoted(c).cast("string"), 0.02).alias(f"d{i}")
+    row = df.agg(*[distinct_estimate(quoted(c).cast("string")).alias(f"d{i}")
                    for i, c in enumerate(columns)]).first()
     return any(row[f"d{i}"] > limit / 2 for i in range(len(columns)))
 

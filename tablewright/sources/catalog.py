@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions.columns import NESTED, is_integral, quoted
+from tablewright.functions.counts import distinct_estimate
 
 KEY_SCHEMA = "table_name string, column_name string"
 
@@ -22,6 +24,7 @@ class TableSource:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
         self.spark = spark
         self.tables = dict(sorted(tables.items()))
+        self._keys: dict[str, list[str]] = {}
         for name, df in self.tables.items():
             df.createOrReplaceTempView(name)
 
@@ -108,8 +111,10 @@ class TableSource:
 
     def candidate_keys(self, names: Iterable[str] | None = None) -> DataFrame:
         """(table_name, column_name) of the columns without nulls whose values are all distinct."""
-        found = [(t, c) for t in (names or self.tables) for c in unique_columns(self.table(t))]
-        return self.spark.createDataFrame(found, KEY_SCHEMA)
+        wanted = list(names or self.tables)
+        fresh = [t for t in wanted if t not in self._keys]
+        self._keys.update(zip(fresh, _side_by_side(lambda t: unique_columns(self.table(t)), fresh)))
+        return self.spark.createDataFrame([(t, c) for t in wanted for c in self._keys[t]], KEY_SCHEMA)
 
     def foreign_keys(self, match_names: bool = True) -> DataFrame:
         """Inferred relations: every child value occurs in a candidate key of another table.
@@ -142,14 +147,15 @@ class TableSource:
         for child, column, parent, key in pairs:
             wanted.setdefault(child, set()).add(column)
             wanted.setdefault(parent, set()).add(key)
-        ranges = {}
-        for table, columns in wanted.items():
-            names = sorted(columns)
+        def span(table: str) -> dict:
+            names = sorted(wanted[table])
             row = self.table(table).agg(
                 *[F.min(quoted(c)).alias(f"lo{i}") for i, c in enumerate(names)],
                 *[F.max(quoted(c)).alias(f"hi{i}") for i, c in enumerate(names)],
             ).first()
-            ranges.update({(table, c): (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(names)})
+            return {(table, c): (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(names)}
+
+        ranges = {k: v for found in _side_by_side(span, list(wanted)) for k, v in found.items()}
         kept = []
         for child, column, parent, key in pairs:
             (lo, hi), (low, high) = ranges[child, column], ranges[parent, key]
@@ -183,6 +189,14 @@ class TableSource:
         )
 
 
+def _side_by_side(job, items: list) -> list:
+    """Run one small metadata job per table, several at a time."""
+    if not items:
+        return []
+    with ThreadPool(min(8, len(items))) as workers:
+        return workers.map(job, items)
+
+
 def _stem(name: str) -> str:
     """A column name without a one- or two-letter table prefix: ``o_custkey`` is ``custkey``."""
     prefix, _, rest = name.partition("_")
@@ -218,7 +232,7 @@ def unique_columns(df: DataFrame) -> list[str]:
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(quoted(c), 0.02).alias(f"d{i}") for i, c in enumerate(names)],
+        *[distinct_estimate(quoted(c)).alias(f"d{i}") for i, c in enumerate(names)],
         *[s.alias(f"s{i}") for i, s in ((names.index(c), s) for c, s in spans.items())],
     ).first()
     rows = row["n"]

@@ -17,7 +17,7 @@ from tablewright.suite.registry import (
 )
 
 # Sizes of the pool in the registered queries; the library's defaults are 100 trees and rounds.
-SMALL = Settings(trees=10, rounds=5, tree_depth=6, forest_depth=6, iterations=200)
+SMALL = Settings(trees=10, rounds=5, tree_depth=6, forest_depth=6, iterations=100, margin_iterations=20)
 HASH = "('0x' || substr(md5('42:' || {key}), 1, 8))::BIGINT"
 
 
@@ -181,7 +181,7 @@ def knn_regress(spark, sf):
 
 
 @query("knn_classify", """
-WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 near AS (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id) AS place
          FROM v a JOIN v b ON a.id <> b.id),
 votes AS (SELECT id, label, count(*) AS n FROM near WHERE place <= 5 GROUP BY id, label)

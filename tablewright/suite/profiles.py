@@ -67,8 +67,8 @@ PAIR = "l_quantity l_extendedprice l_discount l_tax l_linenumber k".split()
 
 @query("correlation_matrix", "WITH d AS (SELECT *, 1.0 AS k FROM lineitem)\n" + "\nUNION ALL\n".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, "
-    + ("CAST(NULL AS DOUBLE)" if "k" in (a, b) else "round(corr(" + a + ", " + b + "), 4)")
-    + " AS correlation FROM d" + (" GROUP BY ALL" if "k" in (a, b) else "")
+    + ("max(CAST(NULL AS DOUBLE))" if "k" in (a, b) else "round(corr(" + a + ", " + b + "), 4)")
+    + " AS correlation FROM d"
     for a in PAIR for b in PAIR))
 def correlation_matrix(spark, sf):
     """All pairs, with a constant column whose correlations are undefined."""
@@ -210,12 +210,12 @@ TASK_TARGETS = (
 
 def _task_sql(table_name: str, column: str, integral: bool | None) -> str:
     if integral is None:
-        task = "'classification'"
+        task = "CASE WHEN count(*) > 0 THEN 'classification' END"
     else:
         dense = (f"WHEN count(DISTINCT {column}) <= 50 THEN CASE WHEN count(DISTINCT {column}) / (max({column}) - min({column}) + 1.0) > 0.5 "
                  "THEN 'regression' ELSE 'classification' END") if integral else ""
         task = f"CASE WHEN count(DISTINCT {column}) <= 10 THEN 'classification' {dense} ELSE 'regression' END"
-    return f"SELECT '{column}' AS target_column, {task} AS task_type FROM {table_name}" + (" GROUP BY ALL" if integral is None else "")
+    return f"SELECT '{column}' AS target_column, {task} AS task_type FROM {table_name}"
 
 
 @query("detect_task_type", "\nUNION ALL\n".join(_task_sql(*t) for t in TASK_TARGETS))

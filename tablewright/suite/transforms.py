@@ -97,7 +97,7 @@ def create_difference(spark, sf):
 
 BIN_INDEX = """
 SELECT o_orderkey, o_totalprice,
-       len(list_filter(range(1, 8), i -> o_totalprice > lo + i * ((hi - lo) / 8))) AS price_bin
+       len(list_filter(range(1, 8), lambda i: o_totalprice > lo + i * ((hi - lo) / 8))) AS price_bin
 FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)"""
 
 
@@ -111,7 +111,7 @@ def create_bins(spark, sf):
 @query("create_bins_interval", """
 SELECT p_partkey, round(CASE WHEN i = 0 THEN lo - 0.001 * (hi - lo) ELSE lo + i * ((hi - lo) / 5) END, 6) AS bin_lo,
        round(CASE WHEN i = 4 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 5) END, 6) AS bin_hi
-FROM (SELECT p_partkey, lo, hi, len(list_filter(range(1, 5), j -> p_retailprice > lo + j * ((hi - lo) / 5))) AS i
+FROM (SELECT p_partkey, lo, hi, len(list_filter(range(1, 5), lambda j: p_retailprice > lo + j * ((hi - lo) / 5))) AS i
       FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part))""")
 def create_bins_interval(spark, sf):
     binned = CreateBins("p_retailprice", 5, "bin", output="interval")(table(spark, sf, "part").select("p_partkey", "p_retailprice"))
@@ -136,11 +136,11 @@ filled AS (SELECT o_orderkey, o_custkey, o_orderstatus,
 kept AS (SELECT * FROM filled WHERE o_orderstatus <> 'O'),
 fit AS (SELECT avg(price) AS mu, stddev_pop(price) AS sd FROM kept)"""
 CHAIN_ROW = """o_orderkey, o_custkey AS customer, {code} AS o_orderstatus,
-       round((price - mu) / sd, 6) AS o_totalprice, round(price * o_custkey, 2) AS weight"""
+       round((price - mu) / sd, 6) AS o_totalprice, round(price * o_custkey, 3) AS weight"""
 
 
 def _chain_output(df):
-    return df.withColumn("o_totalprice", F.round("o_totalprice", 6)).withColumn("weight", F.round("weight", 2))
+    return df.withColumn("o_totalprice", F.round("o_totalprice", 6)).withColumn("weight", F.round("weight", 3))
 
 
 @query("op_chain", f"""
@@ -200,7 +200,7 @@ def fitted_plan_roundtrip(spark, sf):
 WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
 SELECT event_id, user_id, round((value - lo) / (hi - lo), 6) AS value,
        dense_rank() OVER (ORDER BY event_type) - 1 AS event_type,
-       len(list_filter(range(1, 4), i -> value > lo + i * ((hi - lo) / 4))) AS value_bin
+       len(list_filter(range(1, 4), lambda i: value > lo + i * ((hi - lo) / 4))) AS value_bin
 FROM events, b""")
 def stream_transform(spark, sf):
     """A plan fitted on the batch, run over the same files as a stream."""
