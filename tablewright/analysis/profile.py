@@ -20,6 +20,8 @@ from tablewright.functions.quantiles import exact_quantiles
 from tablewright.operators.columns import coerce_numeric
 
 PLACES = 4
+# Pairs of columns whose products are summed in one scan.
+PAIRS_PER_SCAN = 500
 
 
 def _long(row: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -84,26 +86,49 @@ def _both(x: Column, y: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_a, column_b, correlation) for all ordered pairs; booleans are left out.
 
-    All pairs are computed in one aggregation of the table, in both orders from one
-    expression each.
+    A first scan finds means, gaps and constants, a second one sums the products of
+    the centred columns: one sum per pair of complete columns, a few more where rows
+    with gaps have to be left out pair by pair. Wide tables take the pairs in groups.
     """
     names = list(columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)])
     if len(names) < 2:
         raise ValueError("Need at least 2 numeric columns for correlation analysis")
     plain = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(names)])
-    pairs = list(combinations(range(len(names)), 2))
-    row = plain.agg(
-        *[_both(F.col(f"x{a}"), F.col(f"x{b}")).alias(f"r{a}_{b}") for a, b in pairs],
-        *[F.when(F.stddev_pop(f"x{i}") > 0, F.lit(1.0)).alias(f"r{i}_{i}") for i in range(len(names))],
-    )
-    items = []
-    for a in range(len(names)):
-        for b in range(len(names)):
-            items += [F.lit(names[a]), F.lit(names[b]), F.col(f"r{min(a, b)}_{max(a, b)}")]
-    long = row.select(F.stack(F.lit(len(names) ** 2), *items).alias("column_a", "column_b", "correlation"))
+    facts = plain.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(f"x{i}").alias(f"{k}{i}") for i in range(len(names))
+          for k, f in (("p", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))],
+    ).first()
+    varies = [i for i in range(len(names)) if facts[f"p{i}"] and facts[f"lo{i}"] < facts[f"hi{i}"]]
+    whole = {i for i in varies if facts[f"p{i}"] == facts["n"]}
+    centred = plain.select(*[(F.col(f"x{i}") - F.lit(facts[f"m{i}"])).alias(f"x{i}") for i in varies])
+    pairs = list(combinations(varies, 2))
+    found: dict[tuple[int, int], float | None] = {(i, i): 1.0 for i in varies}
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        found.update(_pair_correlations(centred, pairs[start:start + PAIRS_PER_SCAN], whole))
+    rows = [
+        (names[a], names[b], found.get((min(a, b), max(a, b)))) for a in range(len(names)) for b in range(len(names))
+    ]
+    long = df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
     return long.withColumn("correlation", F.round("correlation", PLACES))
 
 
+def _pair_correlations(centred: DataFrame, pairs: list[tuple[int, int]], whole: set[int]) -> dict:
+    if not pairs:
+        return {}
+    products, gapless = [], [i for i in sorted({i for p in pairs for i in p}) if i in whole]
+    for i in gapless:
+        products.append(F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"s{i}"))
+    for a, b in pairs:
+        x, y = F.col(f"x{a}"), F.col(f"x{b}")
+        products.append(F.sum(x * y).alias(f"s{a}_{b}") if a in whole and b in whole else _both(x, y).alias(f"r{a}_{b}"))
+    row = centred.agg(*products).first()
+    return {
+        (a, b): row[f"s{a}_{b}"] / (row[f"s{a}"] * row[f"s{b}"]) ** 0.5 if a in whole and b in whole else row[f"r{a}_{b}"]
+        for a, b in pairs
+    }
+
+
 def numeric_insights(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, data_type, null_count, mean, std, min, max, skew), rounded to 4 places."""
     names = list(columns or split_columns(df)[0])

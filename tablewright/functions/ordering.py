@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions.columns import quoted
 from tablewright.session import MAX_SLICES
 
 _SLICE = "__slice"
+_CUT_TEXT = 256
 
 
 def slice_count(df: DataFrame) -> int:
@@ -30,10 +31,11 @@ def cut_points(df: DataFrame, order: Sequence[str], slices: int) -> tuple[str, s
 
     The sample is the rows with the smallest hash of the order columns: the same rows
     whatever the partitioning, 16 per slice, so its size is fixed by ``slices``. It
-    is drawn per row, not per distinct value, so crowded ranges get more cuts.
+    is drawn per row, not per distinct value, so crowded ranges get more cuts. Any
+    value may serve as a cut, so long texts are shortened here; rows are compared whole.
     """
-    keys = [quoted(c) for c in order]
-    tuples = df.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"))
+    keys = [_short(df, c).alias(f"k{i}") for i, c in enumerate(order)]
+    tuples = df.select(F.struct(*keys).alias("k"))
     kind = f"array<{tuples.schema['k'].dataType.simpleString()}>"
     if slices <= 1:
         return "[]", kind
@@ -49,6 +51,11 @@ def cut_points(df: DataFrame, order: Sequence[str], slices: int) -> tuple[str, s
     return json.dumps(unique), kind
 
 
+def _short(df: DataFrame, name: str) -> Column:
+    text = isinstance(df.schema[name].dataType, T.StringType)
+    return F.substring(quoted(name), 1, _CUT_TEXT) if text else quoted(name)
+
+
 def slice_of(order: Sequence[str], cuts: tuple[str, str]) -> Column:
     """Index of the slice a row falls in: the number of cut points at or below it."""
     points, kind = cuts

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,7 +14,9 @@ from tablewright.session import DRIVER_ROWS
 # Up to this many values the built-in exact aggregate is the faster way; it keeps
 # every distinct value in one buffer, so larger columns take the bracket search.
 BUILTIN_ROWS = 200_000
-_SKETCH = 10_000
+# Sketch size, and about how far its ranks are off (as a share of the values).
+_SKETCH = 4_096
+_ERROR = 0.0015
 
 
 def exact_quantiles(
@@ -23,8 +26,8 @@ def exact_quantiles(
     """Linearly interpolated quantiles of the present values, as the median is defined.
 
     Large columns: a sketch brackets each wanted rank, one scan counts the values
-    below and inside the bracket, and the bracket shrinks until what is inside is
-    small enough to read; only that last handful reaches the driver.
+    below and inside the bracket, and the bracket shrinks until few values lie strictly
+    inside; only that last handful, counted by value, reaches the driver.
     """
     if not columns:
         return {}
@@ -50,11 +53,11 @@ def exact_quantiles(
                 open_.append({
                     "column": c, "i": i, "p": p, "first": math.floor(at), "second": math.ceil(at),
                     "part": at - math.floor(at), "lo": counted[f"lo{i}"], "hi": counted[f"hi{i}"],
-                    "below": 0, "inside": sizes[i],
+                    "below": 0, "inside": sizes[i], "between": sizes[i],
                 })
     while open_:
         _narrow(plain, open_)
-        ready = [b for b in open_ if b["inside"] <= gather_rows or b["lo"] == b["hi"]]
+        ready = [b for b in open_ if b["between"] <= gather_rows]
         for b, (low, high) in zip(ready, _read(plain, ready)):
             result[b["column"]][b["p"]] = low + (high - low) * b["part"]
         open_ = [b for b in open_ if b not in ready]
@@ -65,33 +68,46 @@ def _inside(b: dict):
     return F.col(f"c{b['i']}").between(F.lit(b["lo"]), F.lit(b["hi"]))
 
 
+def _between(b: dict):
+    value = F.col(f"c{b['i']}")
+    return (value > F.lit(b["lo"])) & (value < F.lit(b["hi"]))
+
+
 def _narrow(plain: DataFrame, brackets: list[dict]) -> None:
-    """Shrink every bracket around its two wanted ranks."""
+    """Shrink every bracket around its two wanted ranks; brackets of equal range share a sketch."""
+    shared: dict[tuple, list[dict]] = {}
+    for b in brackets:
+        shared.setdefault((b["i"], b["lo"], b["hi"]), []).append(b)
     sketched = plain.agg(*[
-        F.approx_percentile(
-            F.when(_inside(b), F.col(f"c{b['i']}")),
-            F.array(*[F.lit(x) for x in _levels(b)]), F.lit(_SKETCH),
-        ).alias(f"b{j}")
-        for j, b in enumerate(brackets)
+        F.kll_sketch_get_quantile_double(
+            F.kll_sketch_agg_double(F.when(_inside(group[0]), F.col(f"c{group[0]['i']}")), F.lit(_SKETCH)),
+            F.array(*[F.lit(x) for b in group for x in _levels(b)]),
+        ).alias(f"b{g}")
+        for g, group in enumerate(shared.values())
     ]).first()
-    trial = [{**b, "lo": sketched[f"b{j}"][0], "hi": sketched[f"b{j}"][1]} for j, b in enumerate(brackets)]
+    found = {
+        id(b): (sketched[f"b{g}"][2 * j], sketched[f"b{g}"][2 * j + 1])
+        for g, group in enumerate(shared.values()) for j, b in enumerate(group)
+    }
+    trial = [{**b, "lo": found[id(b)][0], "hi": found[id(b)][1]} for b in brackets]
     counted = plain.agg(
         *[F.count_if(F.col(f"c{t['i']}") < F.lit(t["lo"])).alias(f"u{j}") for j, t in enumerate(trial)],
         *[F.count_if(_inside(t)).alias(f"v{j}") for j, t in enumerate(trial)],
+        *[F.count_if(_between(t)).alias(f"w{j}") for j, t in enumerate(trial)],
     ).first()
     for j, (b, t) in enumerate(zip(brackets, trial)):
         below, inside = counted[f"u{j}"], counted[f"v{j}"]
         if below <= b["first"] and b["second"] < below + inside and inside < b["inside"]:
-            b.update(lo=t["lo"], hi=t["hi"], below=below, inside=inside, margin=2)
-        elif b["lo"] != b["hi"]:
+            b.update(lo=t["lo"], hi=t["hi"], below=below, inside=inside, between=counted[f"w{j}"], margin=2)
+        else:
             # The sketch missed (or could not shrink): look again with a wider margin.
             b["margin"] = b.get("margin", 2) * 4
-            if b["margin"] > _SKETCH:
+            if b["margin"] * _ERROR > 1:
                 _halve(plain, b)
 
 
 def _levels(b: dict) -> tuple[float, float]:
-    slack = b.get("margin", 2) / _SKETCH
+    slack = b.get("margin", 2) * _ERROR
     low = (b["first"] - b["below"]) / b["inside"] - slack
     high = (b["second"] - b["below"] + 1) / b["inside"] + slack
     return max(0.0, low), min(1.0, high)
@@ -107,12 +123,13 @@ def _halve(plain: DataFrame, b: dict) -> None:
                     F.min(F.when(right, value)).alias("right_min")).first()
     cut = b["below"] + row["n"]
     if b["second"] < cut:
-        b.update(hi=row["left_max"], inside=row["n"], margin=2)
+        b.update(hi=row["left_max"], inside=row["n"], between=row["n"], margin=2)
     elif b["first"] >= cut:
-        b.update(lo=row["right_min"], below=cut, inside=b["inside"] - row["n"], margin=2)
+        rest = b["inside"] - row["n"]
+        b.update(lo=row["right_min"], below=cut, inside=rest, between=rest, margin=2)
     else:
         # The two ranks lie on either side of the cut, so both values are known.
-        b.update(pair=(row["left_max"], row["right_min"]), inside=0)
+        b.update(pair=(row["left_max"], row["right_min"]), between=0)
 
 
 def _read(plain: DataFrame, brackets: list[dict]) -> list[tuple[float, float]]:
@@ -121,7 +138,8 @@ def _read(plain: DataFrame, brackets: list[dict]) -> list[tuple[float, float]]:
     found: dict[int, list[tuple[float, int]]] = {j: [] for j in wanted}
     if wanted:
         items = [x for j in wanted for x in (F.lit(j), F.when(_inside(brackets[j]), F.col(f"c{brackets[j]['i']}")))]
-        stacked = plain.select(F.stack(F.lit(len(wanted)), *items).alias("j", "v")).where("v IS NOT NULL")
+        touched = plain.where(reduce(lambda x, y: x | y, [_inside(brackets[j]) for j in wanted]))
+        stacked = touched.select(F.stack(F.lit(len(wanted)), *items).alias("j", "v")).where("v IS NOT NULL")
         for row in stacked.groupBy("j", "v").count().collect():
             found[row["j"]].append((row["v"], row["count"]))
     pairs = []

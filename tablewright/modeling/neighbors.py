@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.functions.ordering import slice_count
 from tablewright.session import cut_lineage
 
 PIVOTS = 1_024
@@ -34,14 +35,41 @@ def _sample(train: DataFrame, rows: int) -> list:
     return train.orderBy(F.xxhash64("vector"), "vector", "id").limit(rows).collect()
 
 
-def _distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Euclidean distances by summed squared differences, in steps of bounded memory."""
-    out = np.empty((len(points), len(others)))
-    step = max(1, int(4_000_000 / max(1, others.size)))
-    for start in range(0, len(points), step):
-        diff = points[start:start + step, None, :] - others[None, :, :]
-        out[start:start + step] = np.sqrt((diff * diff).sum(axis=2))
-    return out
+def _kernels():
+    """The numeric kernels that run inside tasks.
+
+    They are closures so that they travel with the plan: executors need numpy and
+    pandas, not this package.
+    """
+
+    def distances(points, others):
+        """Euclidean distances by summed squared differences, in steps of bounded memory."""
+        out = np.empty((len(points), len(others)))
+        step = max(1, int(4_000_000 / max(1, others.size)))
+        for start in range(0, len(points), step):
+            diff = points[start:start + step, None, :] - others[None, :, :]
+            out[start:start + step] = np.sqrt((diff * diff).sum(axis=2))
+        return out
+
+    def best(query_ids, queries, ids, labels, points, k):
+        """The ``k`` nearest of ``points`` (sorted by id) for each query vector."""
+        parts = []
+        step = max(1, int(1_000_000 / len(ids)))
+        for start in range(0, len(queries), step):
+            gaps = distances(queries[start:start + step], points)
+            # stable sort: equal distances keep the smaller id first
+            order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(start, start + len(gaps)), order.shape[1])
+            parts.append(pd.DataFrame({
+                "query": query_ids[rows], "id": ids[order.ravel()], "label": labels[order.ravel()],
+                "distance": np.take_along_axis(gaps, order, axis=1).ravel(),
+            }))
+        return pd.concat(parts)
+
+    def matrix(vectors):
+        return np.array(vectors.tolist(), dtype=float)
+
+    return distances, best, matrix
 
 
 def _distinct_vectors(df: DataFrame, k: int) -> DataFrame:
@@ -51,9 +79,11 @@ def _distinct_vectors(df: DataFrame, k: int) -> DataFrame:
 
 
 def _with_cell(train: DataFrame, pivots: np.ndarray) -> DataFrame:
+    distances, _, matrix = _kernels()
+
     @F.pandas_udf("struct<cell:int,gap:double>")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
-        gaps = _distances(np.array(vectors.tolist(), dtype=float), pivots)
+        gaps = distances(matrix(vectors), pivots)
         cell = gaps.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "gap": gaps[np.arange(len(cell)), cell]})
 
@@ -73,6 +103,7 @@ def _summaries(cells: DataFrame, k: int) -> pd.DataFrame:
 
 def _visits(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, k: int) -> DataFrame:
     """One row per query and cell that may hold one of its ``k`` nearest."""
+    distances, _, matrix = _kernels()
     numbers = cells["cell"].to_numpy()
     radius = cells["radius"].to_numpy()
     own = pivots[numbers]
@@ -84,7 +115,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, k: int)
         for batch in batches:
             if batch.empty:
                 continue
-            to_pivot = _distances(np.array(batch["vector"].tolist(), dtype=float), own)
+            to_pivot = distances(matrix(batch["vector"]), own)
             reach = to_pivot[:, owner] + flat[None, :]
             at = min(k, reach.shape[1]) - 1
             bound = np.partition(reach, at, axis=1)[:, at] if reach.shape[1] >= k else np.full(len(batch), np.inf)
@@ -100,26 +131,6 @@ def _visits(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, k: int)
     return queries.mapInPandas(visit, f"query {kind}, vector array<double>, cell int")
 
 
-def _nearest_in(points: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int):
-    """A function from (query ids, query vectors) to their best ``k`` among ``points``, sorted by id."""
-
-    def best(query_ids: np.ndarray, queries: np.ndarray) -> pd.DataFrame:
-        parts = []
-        step = max(1, int(1_000_000 / len(ids)))
-        for start in range(0, len(queries), step):
-            gaps = _distances(queries[start:start + step], points)
-            # stable sort: equal distances keep the smaller id first
-            order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(start, start + len(gaps)), order.shape[1])
-            parts.append(pd.DataFrame({
-                "query": query_ids[rows], "id": ids[order.ravel()], "label": labels[order.ravel()],
-                "distance": np.take_along_axis(gaps, order, axis=1).ravel(),
-            }))
-        return pd.concat(parts)
-
-    return best
-
-
 def _result_type(asked: DataFrame, train: DataFrame) -> str:
     kinds = {n: d.schema[n].dataType.simpleString() for n, d in (("query", asked), ("id", train), ("label", train))}
     return ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", distance double"
@@ -127,15 +138,14 @@ def _result_type(asked: DataFrame, train: DataFrame) -> str:
 
 def _small_join(asked: DataFrame, train: DataFrame, rows: list, k: int) -> DataFrame:
     """(query, id, label, distance) against a training set whose size was checked: no shuffle."""
-    rows = sorted(rows, key=lambda r: r["id"])
-    known = pd.DataFrame({"id": [r["id"] for r in rows], "label": [r["label"] for r in rows]})
-    points = np.array([r["vector"] for r in rows], dtype=float)
-    best = _nearest_in(points, known["id"].to_numpy(), known["label"].to_numpy(), k)
+    _, best, matrix = _kernels()
+    known = pd.DataFrame([r.asDict() for r in sorted(rows, key=lambda r: r["id"])])
+    ids, labels, points = known["id"].to_numpy(), known["label"].to_numpy(), matrix(known["vector"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not batch.empty:
-                yield best(batch["query"].to_numpy(), np.array(batch["vector"].tolist(), dtype=float))
+                yield best(batch["query"].to_numpy(), matrix(batch["vector"]), ids, labels, points, k)
 
     return asked.mapInPandas(scan, _result_type(asked, train))
 
@@ -163,17 +173,19 @@ def _block_join(visits: DataFrame, cells: DataFrame, summaries: pd.DataFrame, k:
     left = spread(visits, "query", "qb", "tb").select("cell", "tb_no", "qb_no", "query", "vector")
     right = spread(cells, "id", "tb", "qb").select("cell", "tb_no", "qb_no", "id", "label", "vector")
 
-    def best(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    _, best, matrix = _kernels()
+
+    def search(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:
             return pd.DataFrame({"query": [], "id": [], "label": [], "distance": []})
         known = known.sort_values("id", kind="stable")
-        search = _nearest_in(
-            np.array(known["vector"].tolist(), dtype=float), known["id"].to_numpy(), known["label"].to_numpy(), k
+        return best(
+            asked["query"].to_numpy(), matrix(asked["vector"]), known["id"].to_numpy(), known["label"].to_numpy(),
+            matrix(known["vector"]), k,
         )
-        return search(asked["query"].to_numpy(), np.array(asked["vector"].tolist(), dtype=float))
 
     keys = ["cell", "tb_no", "qb_no"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, _result_type(visits, cells))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, _result_type(visits, cells))
 
 
 def nearest_neighbors(
@@ -206,7 +218,8 @@ def _answers(
     drawn = _sample(distinct, max(small_rows + 1, pivots))
     if not drawn:
         raise ValueError("no training rows to search")
-    ordered = asked.select("query", "vector")
+    # the search is heavy per row: spread the queries over all tasks whatever their size in bytes
+    ordered = asked.select("query", "vector").repartition(slice_count(asked), "query")
     if len(drawn) <= small_rows and len(drawn) * len(drawn[0]["vector"]) <= SMALL_NUMBERS:
         near = _small_join(ordered, distinct, drawn, k)
     else:
