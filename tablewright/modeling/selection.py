@@ -87,6 +87,15 @@ def _score(problem: Problem, scored: DataFrame) -> float:
     return float(value)
 
 
+def _reason(error: Exception) -> str:
+    """The first line of an error, or of the exception at the root of a failed job."""
+    cause = getattr(error, "java_exception", None)
+    while cause is not None and cause.getCause() is not None:
+        cause = cause.getCause()
+    text = str(error) if cause is None else cause.toString()
+    return f"{type(error).__name__}: {text.splitlines()[0][:300]}"
+
+
 def compare_models(
     problem: Problem, folds: int = 5, settings: Settings | None = None, models: Sequence[str] | None = None,
     seed: int = 42, parallelism: int = 4,
@@ -118,7 +127,7 @@ def compare_models(
                     try:
                         return name, _score(problem, factory(settings, facts).fit(fit_on).transform(score_on)), None
                     except Exception as error:  # the reason goes into the report
-                        return name, None, f"{type(error).__name__}: {str(error).splitlines()[0][:300]}"
+                        return name, None, _reason(error)
 
                 live = [(n, f) for n, f in pool.items() if n not in failures]
                 with ThreadPool(min(parallelism, max(1, len(live)))) as workers:
