@@ -20,6 +20,7 @@ from tablewright.functions.quantiles import exact_quantiles
 from tablewright.operators.columns import coerce_numeric
 
 PLACES = 4
+REPORT_COLUMNS = ("section", "column_name", "metric", "value")
 # Pairs of columns whose products are summed in one scan.
 PAIRS_PER_SCAN = 500
 
@@ -202,39 +203,62 @@ def target_correlations(df: DataFrame, target: str, min_values: int = 10) -> Dat
 
 
 def summary_report(df: DataFrame, target: str | None = None) -> DataFrame:
-    """All of the above as (section, column_name, metric, value) with values as text."""
+    """All of the above as (section, column_name, metric, value) with values as text.
+
+    Everything scalar comes from one aggregation of the table; top values, repeated
+    rows, quartiles and correlations add their own scans, each made once.
+    """
+    if target is not None:
+        ensure_columns(df, [target])
     numeric, categorical = split_columns(df)
+    number_target = target in numeric
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
+    cells = [("shape", "*", n, F.col(n)) for n in ("row_count", "column_count", "numeric_columns", "categorical_columns")]
+    scalars: dict[str, Column] = {}
+
+    def cell(section: str, column: str, metric: str, value: Column) -> None:
+        name = f"m{len(scalars)}"
+        scalars[name] = value.alias(name)
+        cells.append((section, column, metric, F.col(name)))
+
+    for c in df.columns:
+        cell("missing", c, "missing", F.count_if(is_missing(df, c)))
+    for c in numeric:
+        v = as_double(df, c)
+        spread = {
+            "mean": F.round(F.avg(v), PLACES), "std": F.round(F.stddev_samp(v), PLACES),
+            "min": F.round(F.min(v), PLACES), "max": F.round(F.max(v), PLACES),
+        }
+        quarters = {k: F.round(F.lit(quartiles[c][p]).cast("double"), PLACES) for k, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
+        nulls, skew = F.count_if(is_missing(df, c)), F.round(_skew(v), PLACES)
+        sections = [("describe", {"count": F.count(v), **spread, **quarters}), ("insights", {"null_count": nulls, **spread, "skew": skew})]
+        if c == target:
+            sections.append(("target", {"null_count": nulls, "median": quarters["q50"], **spread, "skew": skew}))
+        for section, metrics in sections:
+            for metric, value in metrics.items():
+                cell(section, c, metric, value)
+    row = df.agg(F.count(F.lit(1)).alias("row_count"), *scalars.values()).withColumns({
+        "column_count": F.lit(len(df.columns)), "numeric_columns": F.lit(",".join(numeric)),
+        "categorical_columns": F.lit(",".join(categorical)),
+    })
+    items = [x for section, c, m, v in cells for x in (F.lit(section), F.lit(c), F.lit(m), v.cast("string"))]
     parts = [
-        _tidy(basic_shape(df).withColumn("column_name", F.lit("*")), "shape"),
-        _tidy(missing_values(df), "missing"),
-        _tidy(duplicate_rows(df).withColumn("column_name", F.lit("*")), "duplicates"),
+        row.select(F.stack(F.lit(len(cells)), *items).alias(*REPORT_COLUMNS)),
+        duplicate_rows(df).select(
+            F.lit("duplicates").alias("section"), F.lit("*").alias("column_name"), F.lit("duplicate_rows").alias("metric"),
+            F.col("duplicate_rows").cast("string").alias("value"),
+        ),
     ]
-    if numeric:
-        insights = numeric_insights(df, numeric)
-        parts += [_tidy(describe(df, numeric), "describe"), _tidy(insights.drop("data_type"), "insights")]
     if categorical:
-        top = categorical_insights(df, categorical)
-        parts.append(top.select(
-            F.lit("top_values").alias("section"), "column_name", F.col("value").alias("metric"),
-            F.col("n").cast("string").alias("value"),
-        ))
-        parts.append(top.where("rank = 1").select(
-            F.lit("distinct").alias("section"), "column_name", F.lit("n_distinct").alias("metric"),
-            F.col("n_distinct").cast("string").alias("value"),
-        ))
-    if len([c for c in numeric if isinstance(df.schema[c].dataType, T.NumericType)]) > 1:
-        parts.append(correlation_matrix(df).select(
+        parts.append(_categorical_report(df, categorical, None if number_target else target))
+    measured = [c for c in numeric if isinstance(df.schema[c].dataType, T.NumericType)]
+    if len(measured) > 1:
+        matrix = correlation_matrix(df, measured)
+        parts.append(matrix.select(
             F.lit("correlations").alias("section"), F.col("column_a").alias("column_name"),
             F.col("column_b").alias("metric"), F.col("correlation").cast("string").alias("value"),
         ))
     if target is not None:
-        if is_numeric(df.schema[target].dataType):
-            parts.append(_tidy(target_numeric(df, target).withColumnRenamed("target_column", "column_name"), "target"))
-        else:
-            parts.append(target_categorical(df, target).select(
-                F.lit("target").alias("section"), F.lit(target).alias("column_name"),
-                F.col("value").alias("metric"), F.col("n").cast("string").alias("value"),
-            ))
         parts.append(target_correlations(df, target).select(
             F.lit("target_correlations").alias("section"), "column_name", F.lit("correlation").alias("metric"),
             F.col("correlation").cast("string").alias("value"),
@@ -242,17 +266,22 @@ def summary_report(df: DataFrame, target: str | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _tidy(wide: DataFrame, section: str) -> DataFrame:
-    """One row per metric of a wide report; floating-point metrics are rounded to 4 places."""
-    metrics = [c for c in wide.columns if c != "column_name"]
-    floating = {f.name for f in wide.schema if isinstance(f.dataType, T.DoubleType)}
-    items = [
-        x for m in metrics
-        for x in (F.lit(m), (F.round(m, PLACES) if m in floating else F.col(m)).cast("string"))
+def _categorical_report(df: DataFrame, columns: Sequence[str], target: str | None) -> DataFrame:
+    """Top values, distinct counts and the target's classes, from one set of value counts."""
+    ranked = categorical_insights(df, columns, 10)
+    def entry(section: str, metric: Column, value: Column, shown: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), metric.alias("metric"), value.alias("value"), shown.alias("shown")
+        )
+
+    n, distinct, value = F.col("n"), F.col("n_distinct"), F.col("value")
+    entries = [
+        entry("top_values", value, n, F.col("rank") <= 5), entry("distinct", F.lit("n_distinct"), distinct, F.col("rank") == 1)
     ]
-    return wide.select(
-        F.lit(section).alias("section"), "column_name", F.stack(F.lit(len(metrics)), *items).alias("metric", "value")
-    )
+    if target is not None:
+        entries.append(entry("target", value, n, F.col("column_name") == target))
+    long = ranked.select("column_name", F.explode(F.array(*entries)).alias("e")).where("e.shown")
+    return long.select("e.section", "column_name", "e.metric", F.col("e.value").cast("string").alias("value"))
 
 
 def dataset_digest(df: DataFrame, k: int = 5) -> DataFrame:

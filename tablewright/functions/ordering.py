@@ -18,6 +18,7 @@ from tablewright.functions.columns import quoted
 from tablewright.session import MAX_SLICES
 
 _SLICE = "__slice"
+_GROUP = "__group"
 _CUT_TEXT = 256
 
 
@@ -83,51 +84,52 @@ def _share(df: DataFrame, share: Column, slices: int | None) -> DataFrame:
     return df.withColumn(_SLICE, F.floor(share * wanted).cast("int"))
 
 
-def _join_slices(rows: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
+def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add the group as one struct column: null parts compare as equal, so the window and
+    the join on it need the same partitioning and the rows are shuffled once."""
+    if not by:
+        return df, []
+    return df.withColumn(_GROUP, F.struct(*[quoted(b).alias(f"b{i}") for i, b in enumerate(by)])), [_GROUP]
+
+
+def _join_slices(rows: DataFrame, summary: DataFrame, group: list[str]) -> DataFrame:
     """Attach a per-slice summary; without groups it has at most MAX_SLICES rows."""
-    keys = [*by, _SLICE]
-    side = summary if by else F.broadcast(summary)
-    renamed = side.select(*[quoted(k).alias(f"__by{i}") for i, k in enumerate(keys)],
-                          *[quoted(c) for c in summary.columns if c not in keys])
-    condition = F.lit(True)
-    for i, k in enumerate(keys):
-        condition = condition & quoted(k).eqNullSafe(F.col(f"__by{i}"))
-    return rows.join(renamed, condition, "left").drop(*[f"__by{i}" for i in range(len(keys))])
+    return rows.join(summary if group else F.broadcast(summary), [*group, _SLICE], "left")
 
 
 def running_totals(
     df: DataFrame, order: Sequence[str], totals: dict[str, Column], by: Sequence[str] = (),
-    slices: int | None = None, share: Column | None = None,
+    slices: int | None = None, share: Column | None = None, with_total: bool = False,
 ) -> DataFrame:
     """Add, for each name in ``totals``, the running sum up to and including the row.
 
     ``order`` must identify a row within its group. Where the order starts with a
     hash, ``share`` (the hash as a number in [0, 1)) gives the slices without a sample.
+    ``with_total`` adds the group's whole sum as ``<name>_total``.
     """
-    start = df.withColumns({f"__t_{n}": e for n, e in totals.items()})
+    start, group = _grouped(df.withColumns({f"__t_{n}": e for n, e in totals.items()}), by)
     sliced = _sliced(start, order, slices) if share is None else _share(start, share, slices)
-    local = Window.partitionBy(*[quoted(b) for b in by], _SLICE).orderBy(*[quoted(c) for c in order])
+    local = Window.partitionBy(*group, _SLICE).orderBy(*[quoted(c) for c in order])
     local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*[quoted(b) for b in by]).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    summary = sliced.groupBy(*[quoted(b) for b in by], _SLICE).agg(
-        *[F.sum(f"__t_{n}").alias(f"__s_{n}") for n in totals]
-    )
+    before = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    summary = sliced.groupBy(*group, _SLICE).agg(*[F.sum(f"__t_{n}").alias(f"__s_{n}") for n in totals])
+    whole = {f"{n}_total": F.sum(f"__s_{n}").over(Window.partitionBy(*group)) for n in totals} if with_total else {}
     summary = summary.select(
-        *[quoted(b) for b in by], _SLICE,
+        *group, _SLICE,
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in totals],
+        *[e.alias(n) for n, e in whole.items()],
     )
     rows = sliced.withColumns({n: F.sum(f"__t_{n}").over(local) for n in totals})
-    joined = _join_slices(rows, summary, by)
-    joined = joined.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in totals})
-    return joined.drop(_SLICE, *[f"__{p}_{n}" for n in totals for p in "to"])
+    joined = _join_slices(rows, summary, group).withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in totals})
+    return joined.select(*[quoted(c) for c in df.columns], *totals, *whole)
 
 
 def number_rows(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "position",
-    slices: int | None = None, share: Column | None = None,
+    slices: int | None = None, share: Column | None = None, with_total: bool = False,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, as ``row_number`` would."""
-    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, slices, share)
+    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, slices, share, with_total)
 
 
 def fill_in_order(
@@ -139,26 +141,26 @@ def fill_in_order(
     Inside a slice a window does it; a slice that starts (ends) with nulls takes the
     last (first) present value of the slices before (after) it.
     """
-    sliced = _sliced(df, order, slices)
+    start, group = _grouped(df, by)
+    sliced = _sliced(start, order, slices)
     keys = [quoted(c) for c in order]
-    groups = [quoted(b) for b in by]
     position = F.struct(*keys)
-    inside = Window.partitionBy(*groups, _SLICE).orderBy(*keys)
-    across = Window.partitionBy(*groups).orderBy(_SLICE)
+    inside = Window.partitionBy(*group, _SLICE).orderBy(*keys)
+    across = Window.partitionBy(*group).orderBy(_SLICE)
     if forward:
         inside, across = inside.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1)
         near, edge = F.last, F.max_by
     else:
         inside, across = inside.rowsBetween(0, Window.unboundedFollowing), across.rowsBetween(1, Window.unboundedFollowing)
         near, edge = F.first, F.min_by
-    summary = sliced.groupBy(*groups, _SLICE).agg(
+    summary = sliced.groupBy(*group, _SLICE).agg(
         *[edge(quoted(c), F.when(quoted(c).isNotNull(), position)).alias(f"__e{i}") for i, c in enumerate(columns)]
     )
     summary = summary.select(
-        *groups, _SLICE,
+        *group, _SLICE,
         *[near(f"__e{i}", ignorenulls=True).over(across).alias(f"__c{i}") for i in range(len(columns))],
     )
     rows = sliced.withColumns({f"__f{i}": near(quoted(c), ignorenulls=True).over(inside) for i, c in enumerate(columns)})
-    joined = _join_slices(rows, summary, by)
+    joined = _join_slices(rows, summary, group)
     filled = joined.withColumns({c: F.coalesce(F.col(f"__f{i}"), F.col(f"__c{i}")) for i, c in enumerate(columns)})
     return filled.select(*[quoted(c) for c in df.columns])

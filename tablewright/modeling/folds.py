@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.functions.columns import quoted
 from tablewright.functions.hashing import default_key, fold_of, hash_text, unit_hash
 from tablewright.functions.ordering import number_rows
 
@@ -19,10 +18,10 @@ def kfold(df: DataFrame, folds: int = 5, key: Sequence[str] | None = None, seed:
 
 
 def _class_positions(df: DataFrame, label: str, key: Sequence[str], seed: int) -> DataFrame:
-    """Position of each row within its class in hash order; big classes are ranked in slices."""
+    """Position of each row within its class in hash order, and the class size; big classes are ranked in slices."""
     hashed = df.withColumn("__hash", hash_text(key, seed))
     return number_rows(
-        hashed, ["__hash", *key], by=[label], name="__position", share=unit_hash(key, seed)
+        hashed, ["__hash", *key], by=[label], name="__position", share=unit_hash(key, seed), with_total=True
     ).drop("__hash")
 
 
@@ -31,7 +30,8 @@ def stratified_kfold(
 ) -> DataFrame:
     """Folds that share out every class evenly: class sizes per fold differ by one at most."""
     ranked = _class_positions(df, label, key or default_key(df), seed)
-    return ranked.withColumn(name, ((F.col("__position") - 1) % folds).cast("int")).drop("__position")
+    fold = ((F.col("__position") - 1) % folds).cast("int")
+    return ranked.withColumn(name, fold).drop("__position", "__position_total")
 
 
 def train_test(df: DataFrame, test_size: float = 0.2, key: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
@@ -44,7 +44,5 @@ def stratified_train_test(
 ) -> DataFrame:
     """Add ``is_test`` so that each class gives the rounded share ``test_size`` of its rows."""
     ranked = _class_positions(df, label, key or default_key(df), seed)
-    sizes = df.groupBy(quoted(label).alias("__class")).agg(F.count(F.lit(1)).alias("__size"))
-    joined = ranked.join(sizes, quoted(label).eqNullSafe(F.col("__class")), "left")
-    is_test = F.col("__position") <= F.floor(F.col("__size") * F.lit(test_size) + F.lit(0.5))
-    return joined.withColumn("is_test", is_test).drop("__position", "__class", "__size")
+    share = F.floor(F.col("__position_total") * F.lit(test_size) + F.lit(0.5))
+    return ranked.withColumn("is_test", F.col("__position") <= share).drop("__position", "__position_total")

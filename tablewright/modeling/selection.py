@@ -121,6 +121,7 @@ def compare_models(
             ready = feature_pipeline(train, state)
             with _held(*[ready.transform(d).select("features", "label") for d in (train, test)]) as (fit_on, score_on):
                 facts = _facts(fit_on, problem, state)
+                score_on.count()                   # both parts are in storage before the threads start
 
                 def attempt(item: tuple[str, Callable]) -> tuple[str, float | None, str | None]:
                     name, factory = item
