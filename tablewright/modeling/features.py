@@ -8,6 +8,7 @@ ordinary ``PipelineModel`` that can be saved, loaded and run on a stream.
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -37,11 +38,15 @@ class FeatureSet:
         return self.numeric + self.categorical
 
 
-def feature_set(df: DataFrame, target: str) -> FeatureSet:
-    """Prune constant and key-like columns and split the rest by class; one shared profile."""
+def feature_set(df: DataFrame, target: str, only: Sequence[str] | None = None) -> FeatureSet:
+    """Prune constant and key-like columns and split the rest by class; one shared profile.
+
+    ``only`` restricts the features that are considered.
+    """
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in data.")
-    traits = {t.name: t for t in column_traits(df)}
+    wanted = None if only is None else [target, *only]
+    traits = {t.name: t for t in column_traits(df, wanted)}
     if target not in traits:
         raise ValueError(f"Target column '{target}' is nested and cannot be predicted.")
     about = traits.pop(target)

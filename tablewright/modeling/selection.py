@@ -44,20 +44,25 @@ class Problem:
 
 
 def prepare_problem(
-    df: DataFrame, target: str, task: str | None = None, key: Sequence[str] | None = None
+    df: DataFrame, target: str, task: str | None = None, key: Sequence[str] | None = None,
+    features: Sequence[str] | None = None,
 ) -> Problem:
-    """Prune features, detect the task and add the numeric ``label``; rows without a target are left out."""
+    """Prune features, detect the task and add the numeric ``label``; rows without a target are left out.
+
+    ``key`` names the columns whose hash places a row in folds and splits (all flat
+    columns by default), ``features`` restricts the columns to learn from.
+    """
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in data.")
     if task not in (None, "regression", "classification"):
         raise ValueError(f"Unknown task type: {task}")
     rows = drop_missing_target(df, target)
-    features = feature_set(rows, target)
-    chosen = task or task_of(features.target)
+    found = feature_set(rows, target, features)
+    chosen = task or task_of(found.target)
     classes = target_classes(rows, target) if chosen == "classification" else None
     labelled = label_codes(rows, target, classes) if classes is not None else rows.withColumn("label", as_double(rows, target))
     return Problem(
-        labelled, target, df.schema[target].dataType.simpleString(), chosen, features, classes,
+        labelled, target, df.schema[target].dataType.simpleString(), chosen, found, classes,
         list(key or default_key(df)),
     )
 

@@ -326,12 +326,49 @@ def train_best(spark, sf):
     return model.predict(rows)
 
 
-@query("fit_best")
+# One feature, so that SQL can follow the whole route: split by key hash, fit on the
+# training part, score.
+QUANTITY_KEY = ["l_orderkey", "l_partkey", "l_linenumber"]
+QUANTITY_SPLIT = """split AS (
+  SELECT *, ('0x' || substr(md5('42:' || l_orderkey || ':' || l_partkey || ':' || l_linenumber), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 AS is_test
+  FROM lineitem),
+line AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept,
+                stddev_pop(l_quantity) AS spread FROM split WHERE NOT is_test)"""
+
+
+def quantity_rows(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
+
+
+def _quantity_model(spark, sf):
+    problem = M.prepare_problem(quantity_rows(spark, sf), "l_extendedprice", key=QUANTITY_KEY, features=["l_quantity"])
+    return M.fit_model(problem, "Linear Regression")
+
+
+@query("fit_best", f"""
+WITH {QUANTITY_SPLIT},
+e AS (SELECT l_extendedprice AS y, l_extendedprice - (slope * l_quantity + intercept) AS d FROM split, line WHERE is_test)
+SELECT round(1 - sum(d * d) / (count(*) * var_pop(y)), 6) AS r2, round(sqrt(avg(d * d)), 3) AS rmse, round(avg(abs(d)), 3) AS mae FROM e""")
 def fit_best(spark, sf):
-    """Holdout metrics of a linear model on the training split."""
-    problem = M.prepare_problem(line_features(spark, sf), "l_extendedprice", key=LINE_KEY)
-    model = M.fit_model(problem, "Linear Regression")
-    return spark.createDataFrame(list(model.meta["metrics"].items()), "metric string, value double")
+    """Holdout metrics of a linear model fitted on the training split."""
+    found = _quantity_model(spark, sf).meta["metrics"]
+    return spark.createDataFrame(
+        [(round(found["r2"], 6), round(found["rmse"], 3), round(found["mae"], 3))], "r2 double, rmse double, mae double"
+    )
+
+
+@query("predict_batch", f"""
+WITH {QUANTITY_SPLIT}
+SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, round(slope * l_quantity + intercept, 2) AS prediction
+FROM split, line""")
+def predict_batch(spark, sf):
+    return _quantity_model(spark, sf).predict(quantity_rows(spark, sf)).withColumn("prediction", F.round("prediction", 2))
+
+
+@query("feature_importance_single", f"WITH {QUANTITY_SPLIT} SELECT 'l_quantity' AS feature, round(abs(slope * spread), 3) AS importance FROM line")
+def feature_importance_single(spark, sf):
+    found = _quantity_model(spark, sf).feature_importance(spark)
+    return found.withColumn("importance", F.round("importance", 3))
 
 
 def _line_model(spark, sf):
@@ -342,8 +379,9 @@ def _quality_model(spark, sf, name="Random Forest"):
     return M.fit_model(M.prepare_problem(doc_quality(spark, sf), "quality", key=["doc_id"]), name, SMALL)
 
 
-@query("predict_batch")
-def predict_batch(spark, sf):
+@query("predict_batch_wide")
+def predict_batch_wide(spark, sf):
+    """Numeric and one-hot features of a joined table."""
     return _line_model(spark, sf).predict(line_features(spark, sf))
 
 
@@ -382,15 +420,17 @@ def model_roundtrip(spark, sf):
     return M.TrainedModel.load(spark, path).predict(doc_quality(spark, sf))
 
 
-@query("stream_predict")
+@query("stream_predict", f"""
+WITH {QUANTITY_SPLIT}
+SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, round(slope * l_quantity + intercept, 2) AS prediction
+FROM split, line""")
 def stream_predict(spark, sf):
     """A model fitted on the batch scores the table as a stream."""
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
-    model = M.fit_model(M.prepare_problem(rows, "l_extendedprice", key=LINE_KEY), "Linear Regression")
-    return through_stream(
-        spark, f"{sf}/lineitem*.parquet", table(spark, sf, "lineitem").schema,
-        lambda s: predict_stream(s.select(*rows.columns), model),
+    model, names = _quantity_model(spark, sf), quantity_rows(spark, sf).columns
+    done = through_stream(
+        spark, f"{sf}/lineitem*.parquet", table(spark, sf, "lineitem").schema, lambda s: predict_stream(s.select(*names), model)
     )
+    return done.withColumn("prediction", F.round("prediction", 2))
 
 
 # -- single candidates, each fitted and scored on its holdout ------------------------
