@@ -10,7 +10,7 @@ from tablewright import modeling as M
 from tablewright.modeling.candidates import (
     Settings, TrainingFacts, lasso_regression, linear_regression, ridge_regression,
 )
-from tablewright.session import scratch_path
+from tablewright.session import cut_lineage, scratch_path
 from tablewright.streaming import predict_stream, through_stream
 from tablewright.suite.registry import (
     CUSTOMER_IDS, ORDERS_GAPS, customer_ids, orders_gaps, query, table,
@@ -294,12 +294,15 @@ def customer_orders(spark, sf):
 
 
 def doc_quality(spark, sf):
-    """Documents with a quality label and a few plain traits of the whole text."""
+    """Documents with a quality label and a few plain traits of the whole text.
+
+    The traits are written once: fitting reads its table many times, the texts are read once.
+    """
     docs = table(spark, sf, "documents").select(
         "doc_id", "lang", "source", "n_chars", F.size(F.split("text", r"\s+")).alias("words"),
         F.size(F.split("text", "\n")).alias("lines"), F.size(F.split("text", "[.!?]")).alias("sentences"),
     )
-    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return cut_lineage(docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id"))
 
 
 @query("model_leaderboard")
