@@ -5,9 +5,10 @@ from __future__ import annotations
 import copy
 import json
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablewright.operators.base import Operation, State, make_operation
 from tablewright.session import read_text, write_text
@@ -64,17 +65,21 @@ class FittedPlan:
     def lineage(self, df: DataFrame) -> DataFrame:
         """(step, operation, params, rows_in, rows_out, columns_out) of the chain on ``df``.
 
-        Row counts are observed while the plan runs once, one metric per step.
+        Only steps that choose rows are counted, all in one job over pruned columns;
+        the others pass their row count on.
         """
-        seen = [Observation()]
-        current = df.observe(seen[0], F.count(F.lit(1)).alias("rows"))
-        widths = []
-        for op, state in self.steps:
-            seen.append(Observation())
-            current = op.apply(current, state).observe(seen[-1], F.count(F.lit(1)).alias("rows"))
+        current, widths = df, []
+        counted = {0: df}
+        for i, (op, state) in enumerate(self.steps):
+            current = op.apply(current, state)
             widths.append(len(current.columns))
-        current.write.format("noop").mode("overwrite").save()
-        counts = [o.get["rows"] for o in seen]
+            if not op.row_wise:
+                counted[i + 1] = current
+        parts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("step"), "n") for i, d in counted.items()]
+        known = {r["step"]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()}
+        counts = [known[0]]
+        for i in range(len(self.steps)):
+            counts.append(known.get(i + 1, counts[-1]))
         rows = [
             (i + 1, op.name, json.dumps(op.params(), sort_keys=True), counts[i], counts[i + 1], widths[i])
             for i, (op, _) in enumerate(self.steps)

@@ -165,7 +165,7 @@ def test_nothing_left_to_learn_from(spark, sf):
         prepare_problem(customer_ids(spark, sf), "nope")
 
 
-def test_observed_counts_do_not_need_a_fit(spark, sf):
+def test_row_counts_of_steps(spark, sf):
     rows = table(spark, sf, "orders")
     plan = FittedPlan.fit(rows, [{"op": "dropna"}, {"op": "drop_duplicates", "subset": ["o_custkey"], "order": ["o_orderkey"]}])
     found = plan.lineage(rows).collect()
