@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -42,11 +43,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.when(~is_missing(df, name), quoted(name)) if k == kind else F.lit(None).cast(k) for k in slots
         )
     stacked = df.select(F.stack(F.lit(len(columns)), *items).alias("column", *slots.values()))
-    present = F.coalesce(*[F.col(s).isNotNull() for s in slots.values()])
-    if len(slots) > 1:
-        present = F.lit(False)
-        for slot in slots.values():
-            present = present | F.col(slot).isNotNull()
+    present = reduce(lambda x, y: x | y, [F.col(s).isNotNull() for s in slots.values()])
     return stacked.where(present).groupBy("column", *slots.values()).agg(F.count(F.lit(1)).alias("n"))
 
 
