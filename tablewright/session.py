@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,14 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a folder of its own; on a cluster a
-    missing setting is an error, since a machine-local folder would lose data.
+    A session inside one JVM (``local`` or ``local[n]``) without that setting gets a
+    folder of its own; on a cluster, ``local-cluster`` included, a missing setting is
+    an error, since a machine-local folder would lose data.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
