@@ -20,7 +20,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_LETTERS}]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)")
 # White space other than blank and newline, as Python or the tokenizers' patterns see it.
 _OTHER_SPACE = re.compile(
-    "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+    "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _ODD_BLANKS = re.compile("  | \n|\n |\n\n|^[ \n]|[ \n]$")
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
