@@ -25,6 +25,11 @@ _ODD_BLANKS = re.compile("  | \n|\n |\n\n|^[ \n]|[ \n]$")
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
 
+def has_odd_space(text: str) -> bool:
+    """Whether anything but single blanks and newlines between other characters occurs."""
+    return bool(_OTHER_SPACE.search(text) or _ODD_BLANKS.search(text))
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-to-character map of byte-level vocabularies: printable bytes stand for
     themselves, the others take the characters from 256 on."""
