@@ -91,3 +91,34 @@ def links_of(linked: np.ndarray, group: dict[str, list], row: str = "rid") -> di
 
 
 LINKS = "rid long, root long, links long"
+
+
+def whole_groups(rows: DataFrame, key: str, order: list[str],
+                 step: Callable[[dict[str, np.ndarray]], dict | None], schema: str) -> DataFrame:
+    """Apply ``step`` to sorted columns holding whole groups of ``key``, many at a time.
+
+    For groups that are small by nature, such as the positions of one text.
+    """
+    kind = rows.sparkSession.createDataFrame([], schema).schema
+    names = kind.fieldNames()
+
+    def run(batches):
+        arrow, held = arrow_schema(kind), None
+
+        def done(part: pa.Table):
+            out = step({c: part[c].to_numpy() for c in part.column_names}) if len(part) else None
+            return out and pa.RecordBatch.from_arrays(
+                [pa.array(out[n], arrow.field(n).type) for n in names], schema=arrow)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = held[key].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if out := done(held.slice(0, cut)):
+                yield out
+            held = held.slice(cut)
+        if held is not None and (out := done(held)):
+            yield out
+
+    return rows.repartition(slices(rows), key).sortWithinPartitions(key, *order).mapInArrow(run, kind)

@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing the modules registers them."""
 
-from tablewright.llm import bpe_transducer, chosen_path, lattice_near_dedup, packing, quality_rules, token_files, url_filters  # noqa: F401
+from tablewright.llm import bpe_transducer, chosen_path, lattice_near_dedup, packing, quality_rules, suffix_dedup, token_files, url_filters  # noqa: F401
 from tablewright.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
