@@ -97,17 +97,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     ordered = rows.repartitionByRange(slices(docs), "doc_id", F.xxhash64("ids")).sortWithinPartitions(
         "doc_id", F.xxhash64("ids"))
     schema = spark.createDataFrame(
-        [], "part long, nth long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary").schema
+        [], "part long, begin long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary").schema
 
     def segments(batches):
-        arrow, part, nth = arrow_schema(schema), TaskContext.get().partitionId(), 0
+        arrow, part, begin = arrow_schema(schema), TaskContext.get().partitionId(), 0
         names, lengths, ids, total = [], [], [], 0
 
         def flush():
-            nonlocal nth, names, lengths, ids, total
+            nonlocal begin, names, lengths, ids, total
             control, data = encode_ranks(rank_of[np.concatenate(ids)])
-            row = [part, nth, total, names, lengths, control, data]
-            nth, names, lengths, ids, total = nth + 1, [], [], [], 0
+            row = [part, begin, total, names, lengths, control, data]
+            begin, names, lengths, ids, total = begin + total, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
         for batch in batches:
@@ -129,34 +129,27 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     number of ids of all documents before it and ``ids`` little-endian unsigned 32-bit."""
     rank_ids = np.array(spark.read.parquet(f"{path}/ranks").first()["rank_ids"], "<u4")
     stored = spark.read.parquet(f"{path}/segments")
-    # Where each segment begins: sums inside a part, then over parts (one row per task).
-    inside = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    # A segment knows where it begins in its part; the parts, one per writing task, add up.
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("ids_in_part")).select(
         "part", F.coalesce(F.sum("ids_in_part").over(over), F.lit(0)).alias("part_begin"))
-    begins = stored.select("part", "nth", "n_ids").join(parts, "part").select(
-        "part", "nth",
-        (F.col("part_begin") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("segment_begin"))
 
     def decode(batch):
-        out = {"part": [], "nth": [], "doc_id": [], "before": [], "n_tokens": [], "ids": []}
-        for part, nth, n, names, lengths, control, data in zip(*(
-            batch[c].to_pylist() for c in ("part", "nth", "n_ids", "doc_ids", "lengths", "control", "data"))):
+        out = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
+        for begin, n, names, lengths, control, data in zip(*(
+            batch[c].to_pylist() for c in ("begin", "n_ids", "doc_ids", "lengths", "control", "data"))):
             ids = rank_ids[decode_ranks(control, data, n)]
             ends = np.cumsum(lengths)
             for name, length, end in zip(names, lengths, ends):
-                out["part"].append(part)
-                out["nth"].append(nth)
                 out["doc_id"].append(name)
-                out["before"].append(end - length)
+                out["start"].append(begin + end - length)
                 out["n_tokens"].append(length)
                 out["ids"].append(ids[end - length: end].tobytes())
         return out
 
-    docs = arrow_map(stored, decode, "part long, nth long, doc_id long, before long, n_tokens long, ids binary")
-    # One row per segment (a quarter million ids): small beside the ids, joined by key.
-    return docs.join(begins, ["part", "nth"]).select(
-        "doc_id", (F.col("segment_begin") + F.col("before")).alias("start"), "n_tokens", "ids")
+    # As many rows as tasks wrote the store, so they may go to every task.
+    placed = stored.join(F.broadcast(parts), "part").withColumn("begin", F.col("part_begin") + F.col("begin"))
+    return arrow_map(placed, decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 @query("op10_token_files")
