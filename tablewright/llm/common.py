@@ -15,9 +15,9 @@ from tablewright.session import cut_lineage
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema) -> DataFrame:
     """``mapInArrow`` with a function from a batch to a dict of output columns."""
-    kind = df.sparkSession.createDataFrame([], schema).schema
+    kind = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     names = kind.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
