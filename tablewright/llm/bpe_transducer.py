@@ -20,6 +20,7 @@ UTF-8 decode to the replacement character.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.llm.common import arrow_map, arrow_schema, texts_of
 from tablewright.llm.registry import query, table
-from tablewright.llm.tokens import has_odd_space
+from tablewright.llm.tokens import PLAIN, has_odd_space
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Compiled transitions and remembered words per task; beyond them the cache starts afresh.
 TRANSITIONS = 250_000
-WORDS = 250_000
+WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -189,9 +190,22 @@ class Encoder:
         self.machine = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
         self.by_blanks = pattern == public_tokenizers.PATTERN
-        self.pieces = _Memory(lambda piece: np.array(self.machine.encode(piece.encode()), "<i4").tobytes())
-        self.first = _Memory(lambda part: self._matches(part))
-        self.after_blank = _Memory(lambda part: self._matches(" " + part))
+        self.first = _Memory(lambda part: self._part("", part))
+        self.after_blank = _Memory(lambda part: self._part(" ", part))
+        self.pieces = _Memory(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.machine.encode(piece.encode())).tobytes()
+
+    def _part(self, blank: str, part: str) -> bytes:
+        """A word with its marks is two matches; anything else is left to the pattern."""
+        plain = PLAIN.fullmatch(part)
+        if plain is None or not part:
+            return self._matches(blank + part)
+        word, marks = plain.groups()
+        if not word:
+            return self.pieces[blank + marks]
+        return self._piece(blank + word) + self.pieces[marks] if marks else self._piece(blank + word)
 
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
@@ -274,8 +288,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def step(batch):
         if not made:
             made.append(Decoder(read_ranks(path)))
-        return {"doc_id": batch["doc_id"], "ids": batch["ids"],
-                "text": [made[0].decode(ids.as_py() or []) for ids in batch["ids"]]}
+        lists = batch["ids"]
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        return {"doc_id": batch["doc_id"], "ids": lists,
+                "text": [made[0].decode(flat[a:b].tolist()) for a, b in zip(np.r_[0, ends[:-1]], ends)]}
 
     return arrow_map(encoded.select("doc_id", "ids"), step, "doc_id long, ids array<int>, text string")
 

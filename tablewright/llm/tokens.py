@@ -17,17 +17,23 @@ import numpy as np
 CHUNK_MEMORY = 400_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"([{_LETTERS}]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)")
+PLAIN = re.compile(rf"([{_LETTERS}]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)")
 # White space other than blank and newline, as Python or the tokenizers' patterns see it.
-_OTHER_SPACE = re.compile(
-    "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-_ODD_BLANKS = re.compile("  | \n|\n |\n\n|^[ \n]|[ \n]$")
+_OTHER_SPACE = [chr(c) for c in (
+    9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000, 0xFEFF)]
+_ODD_BLANKS = ("  ", " \n", "\n ", "\n\n")
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
 
+def has_other_space(text: str) -> bool:
+    """Whether white space other than blanks and newlines occurs."""
+    return any(c in text for c in _OTHER_SPACE)
+
+
 def has_odd_space(text: str) -> bool:
     """Whether anything but single blanks and newlines between other characters occurs."""
-    return bool(_OTHER_SPACE.search(text) or _ODD_BLANKS.search(text))
+    return text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _ODD_BLANKS) or has_other_space(text)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -83,7 +89,7 @@ class ChunkEncoder:
         return [t.id for t in self.model.tokenize(mapped)] if mapped else []
 
     def _ids(self, blank: str, chunk: str) -> bytes:
-        plain = _PLAIN.fullmatch(chunk)
+        plain = PLAIN.fullmatch(chunk)
         if plain is None or not chunk:
             return self._odd(blank + chunk)
         word, marks = plain.groups()
@@ -99,12 +105,10 @@ class ChunkEncoder:
         """The ids of ``text``, as the library gives them for the whole text."""
         if not text:
             return np.empty(0, self.dtype)
-        if _OTHER_SPACE.search(text):
-            packed = self._odd(text) if not self.keeps_space else b"".join(
-                map(self.odd.__getitem__, _BEFORE_WORD.split(text)))
-        elif not self.keeps_space:
-            packed = b"".join(map(self.after_blank.__getitem__, text.split()))
-        elif _ODD_BLANKS.search(text):
+        if not self.keeps_space:
+            packed = self._odd(text) if has_other_space(text) else b"".join(
+                map(self.after_blank.__getitem__, text.split()))
+        elif has_odd_space(text):
             packed = b"".join(map(self.odd.__getitem__, _BEFORE_WORD.split(text)))
         else:
             parts = []
