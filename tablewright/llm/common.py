@@ -25,12 +25,17 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], sche
         for batch in batches:
             out = step(batch)
             if out is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[n], arrow.field(n).type) for n in names], schema=arrow)
+                yield pa.RecordBatch.from_arrays([_column(out[n], arrow.field(n).type) for n in names], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, kind)
+
+
 def arrow_schema(kind) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
