@@ -88,8 +88,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     to the shared folder, so a lost executor costs one round.
     """
     pairs = (
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .where(F.col("u").isNotNull() & F.col("v").isNotNull())
+        edges.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+        .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
     )
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v"))).distinct()
     links = cut_lineage(pairs.where("u <> v").distinct())

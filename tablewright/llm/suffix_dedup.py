@@ -285,12 +285,13 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     Cutting by bytes may split a character; what is left of it goes too. Documents stay
     even if nothing of their text does.
     """
-    stored = with_row_ids(docs, "rid__").withColumn("rid", F.col("rid__"))
-    short = arrow_map(cut(repeats(stored.select("rid", "text"))), lambda b: {
-        "rid__": b["rid"], "text__": [k.decode("utf-8", "ignore") for k in b["kept"].to_pylist()],
-    }, "rid__ long, text__ string")
-    changed = stored.drop("rid").join(short, "rid__").withColumn("text", F.col("text__"))
-    return stored.join(short.select("rid__"), "rid__", "left_anti").select(*docs.columns).unionByName(
+    stored = with_row_ids(docs, "row__")
+    short = arrow_map(cut(repeats(stored.select(F.col("row__").alias("rid"), "text"))), lambda b: {
+        "row__": b["rid"], "text__": [k.decode("utf-8", "ignore") for k in b["kept"].to_pylist()],
+    }, "row__ long, text__ string")
+    short = cut_lineage(short)
+    changed = stored.join(short, "row__").withColumn("text", F.col("text__"))
+    return stored.join(short.select("row__"), "row__", "left_anti").select(*docs.columns).unionByName(
         changed.select(*docs.columns))
 
 
