@@ -30,7 +30,8 @@ from tablewright.llm.registry import query, table
 WINDOW, STRIDE = 32, 24
 BUCKETS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 1 << 13, 8, 8, 8, 8
 SAMPLE = 3_000
-EPOCHS, BAG, BATCH, RATE = 4, 8, 64, 0.01
+# Documents shown in training, at least EPOCHS times each.
+VISITS, EPOCHS, BAG, BATCH, RATE = 12_000, 4, 8, 64, 0.01
 WORD_MEMORY = 200_000
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
@@ -107,7 +108,7 @@ class Network:
 
         both = 2 * HIDDEN
         return cls({
-            "word": normal(BUCKETS, WORD_SIZE, by=0.3), "char": normal(BUCKETS, CHAR_SIZE, by=0.3),
+            "word": normal(BUCKETS, WORD_SIZE, by=0.1), "char": normal(BUCKETS, CHAR_SIZE, by=0.1),
             "x": normal(WORD_SIZE + CHAR_SIZE, 3 * both, by=0.25), "x0": np.zeros(3 * both, np.float32),
             "h": normal(both, 3 * both, by=0.25) * _block(),
             "a": normal(both, ATTENTION, by=0.3), "v": normal(ATTENTION, by=0.5),
@@ -213,14 +214,14 @@ def _index(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # -- training ---------------------------------------------------------------------------------
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 6) -> Network:
+def train(texts: list[str], toxic: np.ndarray, share: float, visits: int = VISITS, seed: int = 6) -> Network:
     """Fit to whole documents: each step scores some windows of each and moves the highest."""
     net, rng, words = Network.fresh(seed), np.random.default_rng(seed), Words()
     docs = [words.numbers(t) for t in texts]
     names = [b""] + words.new
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     weight = np.where(toxic > 0, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9))
-    step = 0
+    step, epochs = 0, max(EPOCHS, -(-visits // len(docs)))
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         rate = RATE * (1 - epoch / epochs) + 1e-4

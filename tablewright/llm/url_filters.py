@@ -60,7 +60,7 @@ def evaluate(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     )
     salted = located.withColumn("salt", F.pmod(F.xxhash64("url", *_keys(captures)), F.lit(SALTS)))
     return (
-        salted.join(hit, ["host", "day", "salt"], "left")
+        salted.join(hit.hint("merge"), ["host", "day", "salt"], "left")
         .select(*captures.columns, "host", F.coalesce("n", F.lit(0)).cast("long").alias("n_lists"))
         .withColumn("kept", F.col("n_lists") == 0)
     )
