@@ -27,10 +27,19 @@ PAIRS_PER_SCAN = 500
 
 def _long(row: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
     """One aggregated row with ``<name><i>`` fields, turned into one row per column."""
+    if not columns:
+        return _no_rows(row, names)
     items = [x for i, c in enumerate(columns) for x in (F.lit(c), *[F.col(f"{n}{i}") for n in names])]
     return row.select(F.stack(F.lit(len(columns)), *items).alias("column_name", *names))
 
 
+def _no_rows(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The shape of a report about no column at all."""
+    kinds = {"count": "bigint", "null_count": "bigint", "missing": "bigint"}
+    return df.sparkSession.createDataFrame(
+        [], ", ".join(["column_name string", *(f"`{n}` {kinds.get(n, 'double')}" for n in names)]))
+
+
 def _skew(value: Column) -> Column:
     """Sample skewness: the population form with the small-sample correction."""
     n = F.count(value).cast("double")
@@ -57,7 +66,13 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier row (missing equals missing)."""
-    groups = df.groupBy(*[quoted(c) for c in flat_columns(df)]).agg(F.count(F.lit(1)).alias("n"))
+    def key(field: T.StructField) -> Column:
+        # maps cannot be grouped by; their entries in order can
+        value = quoted(field.name)
+        return F.array_sort(F.map_entries(value)) if isinstance(field.dataType, T.MapType) else value
+
+    groups = df.select(*[key(f).alias(f"k{i}") for i, f in enumerate(df.schema)])
+    groups = groups.groupBy(*groups.columns).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
@@ -65,6 +80,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum of the numeric columns."""
     names = list(columns or split_columns(df)[0])
     ensure_columns(df, names)
+    if not names:
+        return _no_rows(df, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
     quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
     row = df.agg(*[
         f(as_double(df, c)).alias(f"{n}{i}") for i, c in enumerate(names)
@@ -133,6 +150,9 @@ def _pair_correlations(centred: DataFrame, pairs: list[tuple[int, int]], whole:
 def numeric_insights(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, data_type, null_count, mean, std, min, max, skew), rounded to 4 places."""
     names = list(columns or split_columns(df)[0])
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, data_type string, null_count bigint, mean double, std double, min double, max double, skew double")
     values = {c: as_double(df, c) for c in names}
     row = df.agg(*[
         e.alias(f"{n}{i}") for i, c in enumerate(names)
@@ -155,6 +175,8 @@ def _type_of(df: DataFrame, names: Sequence[str]) -> Column:
 def categorical_insights(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """(column_name, n_distinct, rank, value, n): distinct count and most frequent values."""
     names = list(columns or split_columns(df)[1])
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, n_distinct bigint, rank int, value string, n bigint")
     counts = value_counts(df, names)
     distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
     top = value_text(top_values(counts, k))
@@ -193,6 +215,8 @@ def target_correlations(df: DataFrame, target: str, min_values: int = 10) -> Dat
     ensure_columns(df, [target])
     y = as_double(df, target) if is_numeric(df.schema[target].dataType) else coerce_numeric(target)
     names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name != target]
+    if not names:
+        return _no_rows(df, ["correlation"])
     plain = df.select(y.alias("y"), *[as_double(df, c).alias(f"x{i}") for i, c in enumerate(names)])
     row = plain.agg(
         F.count("y").alias("n"),
@@ -212,7 +236,7 @@ def summary_report(df: DataFrame, target: str | None = None) -> DataFrame:
         ensure_columns(df, [target])
     numeric, categorical = split_columns(df)
     number_target = target in numeric
-    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
     cells = [("shape", "*", n, F.col(n)) for n in ("row_count", "column_count", "numeric_columns", "categorical_columns")]
     scalars: dict[str, Column] = {}
 

@@ -27,7 +27,8 @@ class Settings:
     trees: int = 100
     rounds: int = 100
     tree_depth: int = 10
-    forest_depth: int = 10
+    # the deepest trees that Spark builds: forests are not pruned otherwise
+    forest_depth: int = 30
     boost_depth: int = 3
     neighbors: int = 5
     iterations: int = 1_000
@@ -96,7 +97,7 @@ def _solver(facts: TrainingFacts) -> str:
 
 
 def linear_regression(s: Settings, f: TrainingFacts) -> LinearRegression:
-    return LinearRegression(regParam=0.0, solver=_solver(f))
+    return LinearRegression(regParam=0.0, solver=_solver(f), maxIter=s.iterations, tol=1e-12)
 
 
 def ridge_regression(s: Settings, f: TrainingFacts, alpha: float = 1.0) -> LinearRegression:

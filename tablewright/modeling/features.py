@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tablewright.analysis import column_traits, prune_columns
 from tablewright.analysis.traits import ColumnTraits
 from tablewright.functions.columns import as_double, is_missing, quoted
-from tablewright.functions.counts import distinct_estimate
 from tablewright.functions.quantiles import exact_quantiles
 
-MAX_CATEGORIES = 20_000
+LABEL, FEATURES = "__label", "__features"
 
 
 @dataclasses.dataclass
@@ -120,18 +119,14 @@ def _imputed_moments(n: int, present: int, mean: float, std: float, median: floa
 def _categories(train: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
     """Value counts per categorical column.
 
-    Categories become model coefficients, which live on the driver anyway; a column
-    with more than ``MAX_CATEGORIES`` is refused before its values are collected.
+    Categories become feature names and model coefficients, which live on the driver,
+    so their number is bounded by what a model can hold, not here.
     """
     if not columns:
         return {}
     items = [x for c in columns for x in (F.lit(c), quoted(c).cast("string"))]
     stacked = train.select(F.stack(F.lit(len(columns)), *items).alias("column", "value"))
     counts = stacked.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    row = train.agg(*[distinct_estimate(quoted(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    wide = [c for i, c in enumerate(columns) if row[f"d{i}"] > MAX_CATEGORIES]
-    if wide:
-        raise ValueError(f"More than {MAX_CATEGORIES} categories in {wide}; drop or group them first")
     found: dict[str, dict[str, int]] = {c: {} for c in columns}
     for r in counts.collect():
         found[r["column"]][r["value"]] = r["n"]
@@ -192,10 +187,15 @@ def _ordered_as_number(df: DataFrame, target: str) -> bool:
 
 
 def label_codes(df: DataFrame, target: str, classes: list[str], name: str = "label") -> DataFrame:
-    """Add the class code of the target as a double: its position in ``classes``."""
-    table = F.array(*[F.lit(v) for v in classes])
-    at = F.array_position(table, quoted(target).cast("string"))
-    return df.withColumn(name, F.when(at > 0, (at - 1).cast("double")))
+    """Add the class code of the target as a double: its position in ``classes``.
+
+    The codes are looked up by hash; a value outside ``classes`` or a missing one has none.
+    """
+    text, code = "__class_text", "__class_code"
+    indexer = StringIndexerModel.from_labels(classes or [""], text, code, handleInvalid="keep")
+    coded = indexer.transform(df.withColumn(text, quoted(target).cast("string")))
+    known = F.when(F.col(code) < len(classes), F.col(code))
+    return coded.withColumn(name, known).drop(*[c for c in (text, code) if c != name])
 
 
 def decode_labels(

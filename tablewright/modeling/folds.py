@@ -34,15 +34,18 @@ def stratified_kfold(
     return ranked.withColumn(name, fold).drop("__position", "__position_total")
 
 
-def train_test(df: DataFrame, test_size: float = 0.2, key: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
-    """Add ``is_test``: the rows whose hash lies below ``test_size``."""
-    return df.withColumn("is_test", unit_hash(key or default_key(df), seed) < F.lit(test_size))
+def train_test(
+    df: DataFrame, test_size: float = 0.2, key: Sequence[str] | None = None, seed: int = SEED, name: str = "is_test"
+) -> DataFrame:
+    """Add ``name``: the rows whose hash lies below ``test_size``."""
+    return df.withColumn(name, unit_hash(key or default_key(df), seed) < F.lit(test_size))
 
 
 def stratified_train_test(
-    df: DataFrame, label: str, test_size: float = 0.2, key: Sequence[str] | None = None, seed: int = SEED
+    df: DataFrame, label: str, test_size: float = 0.2, key: Sequence[str] | None = None, seed: int = SEED,
+    name: str = "is_test",
 ) -> DataFrame:
-    """Add ``is_test`` so that each class gives the rounded share ``test_size`` of its rows."""
+    """Add ``name`` so that each class gives the rounded share ``test_size`` of its rows."""
     ranked = _class_positions(df, label, key or default_key(df), seed)
     share = F.floor(F.col("__position_total") * F.lit(test_size) + F.lit(0.5))
-    return ranked.withColumn("is_test", F.col("__position") <= share).drop("__position", "__position_total")
+    return ranked.withColumn(name, F.col("__position") <= share).drop("__position", "__position_total")

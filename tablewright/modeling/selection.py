@@ -11,20 +11,22 @@ from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.analysis import task_of
 from tablewright.functions.columns import quoted
 from tablewright.functions.hashing import default_key
 from tablewright.modeling.candidates import NeighborModel, Settings, TrainingFacts, coefficients, pool_of
 from tablewright.modeling.features import (
-    FeatureSet, FeatureState, as_double, decode_labels, drop_missing_target, feature_pipeline, feature_set,
-    fit_features, internal_columns, label_codes, target_classes,
+    FEATURES, LABEL, FeatureSet, FeatureState, as_double, decode_labels, drop_missing_target, feature_pipeline, feature_set,
+    fit_features, label_codes, target_classes,
 )
 from tablewright.modeling.folds import kfold, stratified_kfold, stratified_train_test, train_test
 from tablewright.modeling.metrics import classification_metrics, regression_metrics, roc_auc
 from tablewright.session import read_text, write_text
 
+ROW = "__row"
+
 
 @dataclasses.dataclass
 class Problem:
@@ -47,7 +49,7 @@ def prepare_problem(
     df: DataFrame, target: str, task: str | None = None, key: Sequence[str] | None = None,
     features: Sequence[str] | None = None,
 ) -> Problem:
-    """Prune features, detect the task and add the numeric ``label``; rows without a target are left out.
+    """Prune features, detect the task and add its numeric form under a private name; rows without a target are left out.
 
     ``key`` names the columns whose hash places a row in folds and splits (all flat
     columns by default), ``features`` restricts the columns to learn from.
@@ -60,7 +62,8 @@ def prepare_problem(
     found = feature_set(rows, target, features)
     chosen = task or task_of(found.target)
     classes = target_classes(rows, target) if chosen == "classification" else None
-    labelled = label_codes(rows, target, classes) if classes is not None else rows.withColumn("label", as_double(rows, target))
+    labelled = (
+        label_codes(rows, target, classes, LABEL) if classes is not None else rows.withColumn(LABEL, as_double(rows, target)))
     return Problem(
         labelled, target, df.schema[target].dataType.simpleString(), chosen, found, classes,
         list(key or default_key(df)),
@@ -114,17 +117,17 @@ def compare_models(
     settings = settings or Settings(seed=seed)
     pool = {n: f for n, f in pool_of(problem.task).items() if models is None or n in models}
     if problem.classification:
-        placed = stratified_kfold(problem.data, "label", folds, problem.key, seed, "__fold")
+        placed = stratified_kfold(problem.data, LABEL, folds, problem.key, seed, "__fold")
     else:
         placed = kfold(problem.data, folds, problem.key, seed, "__fold")
     scores: dict[str, list[float]] = {n: [] for n in pool}
     failures: dict[str, str] = {}
-    with _held(placed.select(*[quoted(c) for c in problem.features.columns], "label", "__fold")) as (base,):
+    with _held(placed.select(*[quoted(c) for c in problem.features.columns], LABEL, "__fold")) as (base,):
         for fold in range(folds):
             train, test = base.where(F.col("__fold") != fold), base.where(F.col("__fold") == fold)
             state = fit_features(train, problem.features.numeric, problem.features.categorical)
-            ready = feature_pipeline(train, state)
-            with _held(*[ready.transform(d).select("features", "label") for d in (train, test)]) as (fit_on, score_on):
+            ready = feature_pipeline(train, state, FEATURES)
+            with _held(*[_ready(ready, d) for d in (train, test)]) as (fit_on, score_on):
                 facts = _facts(fit_on, problem, state)
                 score_on.count()                   # both parts are in storage before the threads start
 
@@ -150,6 +153,34 @@ def compare_models(
     return problem.data.sparkSession.createDataFrame(rows, schema)
 
 
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _ready(preparation: PipelineModel, df: DataFrame) -> DataFrame:
+    """What a candidate sees: the features, the label if there is one, and the whole row packed
+    away, so that no column of a user can meet a column of Spark ML."""
+    prepared = preparation.transform(df)
+    label = [F.col(LABEL).alias("label")] if LABEL in df.columns else []
+    row = F.struct(*[quoted(c) for c in df.columns if c != LABEL])
+    return prepared.select(F.col(FEATURES).alias("features"), *label, row.alias(ROW))
+
+
+def _shares(scored: DataFrame, classes: list[str] | None) -> Column | None:
+    """An array with a share per class: the model's probabilities, else its margins through the
+    logistic function, made to add up to one."""
+    if classes is None:
+        return None
+    if "probability" in scored.columns:
+        shares = F.col("probability")
+        return shares if isinstance(scored.schema["probability"].dataType, T.ArrayType) else vector_to_array("probability")
+    if "rawPrediction" not in scored.columns:
+        return None
+    odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-m)))
+    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(odds, lambda x: x / total)
+
+
 class TrainedModel:
     """Preparation, estimator and what is known about them."""
 
@@ -161,24 +192,20 @@ class TrainedModel:
 
         Works on batches and, but for K-Neighbors, on streams.
         """
-        scored = self.estimator.transform(self.preparation.transform(df))
         classes = self.meta["classes"]
-        added = []
+        scored = self.estimator.transform(_ready(self.preparation, df))
+        prediction = F.col("prediction")
+        shares = _shares(scored, classes)
         if classes is not None:
-            if "probability" in scored.columns:
-                shares = F.col("probability")
-                if not isinstance(scored.schema["probability"].dataType, T.ArrayType):
-                    shares = vector_to_array("probability")
-                for i, c in enumerate(classes):
-                    scored = scored.withColumn(f"prob_{c}", F.get(shares, F.lit(i)))
-                    added.append(f"prob_{c}")
             scored = decode_labels(scored, "prediction", classes, dtype=self.meta["target_type"])
-        return scored.select(*[quoted(c) for c in df.columns], "prediction", *[quoted(a) for a in added])
+        made = {} if shares is None else {f"prob_{c}": F.get(shares, F.lit(i)) for i, c in enumerate(classes)}
+        # a column of the input that has the name of a result gives way to it
+        kept = [F.col(f"{ROW}.{_name(c)}").alias(c) for c in df.columns if c != "prediction" and c not in made]
+        return scored.select(*kept, prediction, *[e.alias(n) for n, e in made.items()])
 
     def predict_codes(self, df: DataFrame) -> DataFrame:
-        """The raw scoring columns, for metrics."""
-        scored = self.estimator.transform(self.preparation.transform(df))
-        return scored.drop(*internal_columns(scored))
+        """The raw scoring columns and, where ``df`` has it, ``label``, for metrics."""
+        return self.estimator.transform(_ready(self.preparation, df)).drop(ROW)
 
     def feature_importance(self, spark: SparkSession) -> DataFrame | None:
         """(feature, importance), largest first; None for models without importances."""
@@ -220,14 +247,14 @@ def fit_model(
     """Fit one candidate on the training split and score it on the holdout."""
     settings = settings or Settings(seed=seed)
     if problem.classification and len(problem.classes) > 1:
-        placed = stratified_train_test(problem.data, "label", test_size, problem.key, seed)
+        placed = stratified_train_test(problem.data, LABEL, test_size, problem.key, seed, "__test")
     else:
-        placed = train_test(problem.data, test_size, problem.key, seed)
-    with _held(placed.select(*[quoted(c) for c in problem.features.columns], "label", "is_test")) as (base,):
-        train, test = base.where(~F.col("is_test")), base.where(F.col("is_test"))
+        placed = train_test(problem.data, test_size, problem.key, seed, "__test")
+    with _held(placed.select(*[quoted(c) for c in problem.features.columns], LABEL, "__test")) as (base,):
+        train, test = base.where(~F.col("__test")), base.where(F.col("__test"))
         state = fit_features(train, problem.features.numeric, problem.features.categorical)
-        preparation = feature_pipeline(train, state)
-        with _held(preparation.transform(train).select("features", "label")) as (fit_on,):
+        preparation = feature_pipeline(train, state, FEATURES)
+        with _held(_ready(preparation, train)) as (fit_on,):
             facts = _facts(fit_on, problem, state)
             estimator = pool_of(problem.task)[name](settings, facts).fit(fit_on)
             meta = {
@@ -245,10 +272,8 @@ def _holdout_metrics(problem: Problem, scored: DataFrame) -> dict[str, float | N
     if not problem.classification:
         return regression_metrics(scored).first().asDict()
     metrics = classification_metrics(scored).first().asDict()
-    if len(problem.classes) == 2 and "probability" in scored.columns:
-        shares = F.col("probability")
-        if not isinstance(scored.schema["probability"].dataType, T.ArrayType):
-            shares = vector_to_array("probability")
+    shares = _shares(scored, problem.classes)
+    if len(problem.classes) == 2 and shares is not None:
         metrics["roc_auc"] = roc_auc(scored.withColumn("score", F.get(shares, F.lit(1)))).first()["roc_auc"]
     return metrics
 

@@ -12,23 +12,21 @@ from tablewright.functions.ordering import number_rows
 from tablewright.operators.base import Operation, State, operation
 from tablewright.session import BROADCAST_ROWS, scratch_path
 
-ONE_HOT_WIDTH = 1_000
 # Vocabularies up to this size are kept as literals; larger ones become a code table.
 VOCABULARY_ROWS = 10_000
 
 
-def vocabulary(df: DataFrame, columns: list[str], limit: int) -> dict[str, list[str] | None]:
+def vocabulary(df: DataFrame, columns: list[str], limit: int | None) -> dict[str, list[str] | None]:
     """Sorted distinct texts per column, or None for a column with more than ``limit``.
 
-    At most ``limit + 1`` rows per column reach the driver; the rank filter cuts them
-    per task before the shuffle.
+    Columns that may exceed the limit are counted exactly before any value is collected.
     """
     items = [x for c in columns for x in (F.lit(c), quoted(c).cast("string"))]
     stacked = df.select(F.stack(F.lit(len(columns)), *items).alias("column", "value"))
     values = stacked.where("value IS NOT NULL").distinct()
     sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()} \
-        if _maybe_large(df, columns, limit) else {c: 0 for c in columns}
-    small = [c for c in columns if sizes.get(c, 0) <= limit]
+        if limit is not None and _maybe_large(df, columns, limit) else {c: 0 for c in columns}
+    small = [c for c in columns if limit is None or sizes.get(c, 0) <= limit]
     found: dict[str, list[str] | None] = {c: ([] if c in small else None) for c in columns}
     if small:
         for row in values.where(F.col("column").isin(small)).collect():
@@ -48,13 +46,14 @@ class EncodeCategorical(Operation):
     """``label``: the position of the value among the sorted values; ``onehot``: a column per value.
 
     A missing value keeps no code (null) unless ``missing_as`` names a text for it;
-    one-hot gives all false. A value not seen in the fit gets code -1.
+    one-hot gives all false. A value not seen in the fit gets code -1. ``max_width`` lets a user
+    refuse columns with more values than that; there is no limit of its own.
     """
 
     method: str = "label"
     columns: list[str] | None = None
     missing_as: str | None = None
-    max_width: int = ONE_HOT_WIDTH
+    max_width: int | None = None
     max_literals: int = VOCABULARY_ROWS
 
     def __post_init__(self):

@@ -6,7 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.functions.columns import as_double, ensure_columns, is_missing, is_numeric, quoted
+from tablewright.functions.columns import as_double, ensure_columns, flat_columns, is_missing, is_numeric, quoted
 from tablewright.functions.counts import top_values, value_counts, value_text
 from tablewright.functions.ordering import fill_in_order
 from tablewright.functions.quantiles import exact_quantiles
@@ -71,6 +71,8 @@ class FillNa(Operation):
         if self.method in ("ffill", "bfill"):
             skip = {*(self.order or []), *(self.by or [])}
             return [c for c in listed if c not in skip]
+        if self.method == "mode" and not self.columns:
+            return [c for c in listed if c in flat_columns(df)]
         return listed
 
     def fit(self, df: DataFrame) -> State:
@@ -95,7 +97,9 @@ class FillNa(Operation):
     def apply(self, df: DataFrame, state: State) -> DataFrame:
         if self.method in ("ffill", "bfill"):
             ensure_columns(df, [*self.order, *(self.by or [])])
-            return fill_in_order(df, state["columns"], self.order, self.by or (), self.method == "ffill")
+            # NaN is missing: it must neither stay nor be carried on
+            gaps = {c: F.when(~is_missing(df, c), quoted(c)) for c in state["columns"] if c in df.columns}
+            return fill_in_order(df.withColumns(gaps), state["columns"], self.order, self.by or (), self.method == "ffill")
         filled = {}
         for c, v in state["values"].items():
             if v is not None and c in df.columns:

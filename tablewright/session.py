@@ -78,10 +78,8 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on the file system that Spark would read it from."""
-    if "://" not in path:
-        return os.path.exists(path)
     try:
-        spark.read.format("binaryFile").load(path).limit(1).count()
+        spark.read.format("binaryFile").load(path).select("path").limit(1).count()
         return True
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):

@@ -228,7 +228,9 @@ def unique_columns(df: DataFrame) -> list[str]:
     names = [f.name for f in df.schema if not isinstance(f.dataType, NESTED)]
     if not names:
         return []
-    spans = {c: F.max(quoted(c)) - F.min(quoted(c)) for c in names if is_integral(df.schema[c].dataType)}
+    # wide enough for any difference of two whole numbers
+    wide = "decimal(38,0)"
+    spans = {c: F.max(quoted(c)).cast(wide) - F.min(quoted(c)).cast(wide) for c in names if is_integral(df.schema[c].dataType)}
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)],

@@ -176,3 +176,13 @@ def sample_frac(spark, sf):
 @query("head_rows", "SELECT * FROM customer ORDER BY c_custkey LIMIT 100")
 def head_rows(spark, sf):
     return HeadRows(order=["c_custkey"])(table(spark, sf, "customer"))
+
+
+@query("fillna_ffill_nan", """
+SELECT event_id, ts, user_id, last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS)
+         OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+FROM events""")
+def fillna_ffill_nan(spark, sf):
+    """Unknown values arrive as NaN and are filled like nulls."""
+    rows = events_gaps(spark, sf).select("event_id", "ts", "user_id", F.coalesce("value", F.lit(float("nan"))).alias("value"))
+    return FillNa(method="ffill", columns=["value"], order=["ts", "event_id"], by=["user_id"])(rows)

@@ -463,3 +463,27 @@ for _name in M.REGRESSION:
     _candidate("regressor_" + _name.lower().replace(" ", "_").replace("-", "_"), _price_problem, _name)
 for _name in M.CLASSIFICATION:
     _candidate("classifier_" + _name.lower().replace(" ", "_").replace("-", "_"), _quality_problem, _name)
+
+
+@query("model_on_label_column", "SELECT vec_id, label, true AS scored FROM embeddings")
+def model_on_label_column(spark, sf):
+    """A table whose feature has the name of a Spark ML column."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    problem = M.prepare_problem(rows, "x", "regression", key=["vec_id"], features=["label"])
+    done = M.fit_model(problem, "Linear Regression").predict(rows)
+    return done.select("vec_id", "label", F.col("prediction").isNotNull().alias("scored"))
+
+
+@query("onehot_features_wide", """
+SELECT l_orderkey, l_linenumber, 1 AS ones,
+       dense_rank() OVER (ORDER BY l_orderkey || '-' || l_linenumber) - 1 AS place FROM lineitem""")
+def onehot_features_wide(spark, sf):
+    """A text feature with nearly as many values as rows, as a sparse vector."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    state = M.fit_features(rows, [], ["line"])
+    ready = M.feature_pipeline(rows, state).transform(rows)
+    # a sparse vector as JSON names its only place
+    packed = F.from_json(F.to_json(F.struct("features")), "features struct<indices:array<bigint>,values:array<double>>")
+    return ready.select("l_orderkey", "l_linenumber", packed["features"].alias("f")).select(
+        "l_orderkey", "l_linenumber", F.size("f.values").alias("ones"), F.get("f.indices", F.lit(0)).alias("place"))

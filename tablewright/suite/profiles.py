@@ -278,3 +278,23 @@ SELECT {z_score('c_nationkey', 'customer')} AS c_nationkey, c_acctbal, c_mktsegm
 def apply_suggested(spark, sf):
     done = A.apply_suggested(customer_ids(spark, sf), "c_acctbal")
     return done.withColumn("c_nationkey", F.round("c_nationkey", 6))
+
+
+@query("insights_all_text", """
+SELECT column_name, count(*) OVER (PARTITION BY column_name) AS classes, value, n
+FROM (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY o_orderstatus)""")
+def insights_all_text(spark, sf):
+    """A table of texts alone: no numeric report, a whole categorical one."""
+    texts = table(spark, sf, "orders").select("o_orderstatus")
+    found = A.categorical_insights(texts).select("column_name", F.col("n_distinct").alias("classes"), "value", "n")
+    return found.join(A.numeric_insights(texts).select("column_name"), "column_name", "left_anti")
+
+
+@query("insights_all_numeric", """
+SELECT 'l_quantity' AS column_name, 0 AS null_count, round(avg(l_quantity), 4) AS mean, min(l_quantity) AS min, max(l_quantity) AS max
+FROM lineitem""")
+def insights_all_numeric(spark, sf):
+    """A table of numbers alone: no categorical report, a whole numeric one."""
+    numbers = table(spark, sf, "lineitem").select("l_quantity")
+    found = A.numeric_insights(numbers).select("column_name", "null_count", "mean", "min", "max")
+    return found.join(A.categorical_insights(numbers).select("column_name"), "column_name", "left_anti")

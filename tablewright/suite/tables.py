@@ -160,16 +160,15 @@ def save_dataset_roundtrip(spark, sf):
 
 @query("save_with_originals", _union(
     [f"SELECT 'preprocessed_data' AS table_name, count(*) AS row_count FROM customer WHERE c_acctbal > 0.0"]
-    + [f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("customer", "nation", "orders", "region")]
+    + [f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES]
 ))
 def save_with_originals(spark, sf):
     opened = source(spark, sf)
     positive = opened.run_sql("SELECT * FROM customer WHERE c_acctbal > 0.0")
     folder = save_dataset(
-        positive, scratch_path(spark, "saved"), "query: SELECT * FROM customer...", opened,
-        names=["customer", "nation", "orders", "region"],
+        positive, scratch_path(spark, "saved"), "query: SELECT * FROM customer...", opened
     )
-    saved = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("preprocessed_data", "customer", "nation", "orders", "region")}
+    saved = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("preprocessed_data", *TABLES)}
     counted = None
     for name, df in saved.items():
         part = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
