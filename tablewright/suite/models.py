@@ -16,8 +16,6 @@ from tablewright.suite.registry import (
     CUSTOMER_IDS, ORDERS_GAPS, customer_ids, orders_gaps, query, table,
 )
 
-# Sizes of the pool in the registered queries; the library's defaults are 100 trees and rounds.
-SMALL = Settings(trees=10, rounds=5, tree_depth=6, forest_depth=6, iterations=100, margin_iterations=20)
 HASH = "('0x' || substr(md5('42:' || {key}), 1, 8))::BIGINT"
 
 
@@ -307,25 +305,23 @@ def doc_quality(spark, sf):
 
 @query("model_leaderboard")
 def model_leaderboard(spark, sf):
-    """All classifiers on document quality, three folds."""
+    """All classifiers on document quality, at the library's own sizes."""
     problem = M.prepare_problem(doc_quality(spark, sf), "quality", key=["doc_id"])
-    return M.compare_models(problem, folds=3, settings=SMALL)
+    return M.compare_models(problem)
 
 
 @query("model_leaderboard_regression")
 def model_leaderboard_regression(spark, sf):
-    """All regressors on the retail price of parts, three folds."""
+    """All regressors on the retail price of parts, at the library's own sizes."""
     rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    return M.compare_models(M.prepare_problem(rows, "p_retailprice", key=["p_partkey"]), folds=3, settings=SMALL)
+    return M.compare_models(M.prepare_problem(rows, "p_retailprice", key=["p_partkey"]))
 
 
 @query("train_best")
 def train_best(spark, sf):
     """The whole route: compare, refit the winner, score all rows with it."""
     rows = doc_quality(spark, sf)
-    model, _ = M.train_best(
-        rows, "quality", key=["doc_id"], folds=2, settings=SMALL, models=["Logistic Regression", "Decision Tree", "Random Forest"]
-    )
+    model, _ = M.train_best(rows, "quality", key=["doc_id"])
     return model.predict(rows)
 
 
@@ -379,48 +375,89 @@ def _line_model(spark, sf):
 
 
 def _quality_model(spark, sf, name="Random Forest"):
-    return M.fit_model(M.prepare_problem(doc_quality(spark, sf), "quality", key=["doc_id"]), name, SMALL)
+    return M.fit_model(M.prepare_problem(doc_quality(spark, sf), "quality", key=["doc_id"]), name)
 
 
-@query("predict_batch_wide")
+@query("predict_batch_wide", """
+SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, true AS scored
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def predict_batch_wide(spark, sf):
-    """Numeric and one-hot features of a joined table."""
-    return _line_model(spark, sf).predict(line_features(spark, sf))
+    """Numeric and one-hot features of a joined table: every row is scored once."""
+    done = _line_model(spark, sf).predict(line_features(spark, sf))
+    return done.select(*LINE_KEY, F.col("prediction").isNotNull().alias("scored"))
+
 
+def _shares_agree(scored, key: str):
+    """(key, whole, likeliest): the shares add up to one, and the prediction has the largest."""
+    shares = [c for c in scored.columns if c.startswith("prob_")]
+    total = sum((F.col(c) for c in shares[1:]), F.col(shares[0]))
+    own = F.element_at(F.create_map(*[x for c in shares for x in (F.lit(c.removeprefix("prob_")), F.col(c))]),
+                       F.col("prediction").cast("string"))
+    return scored.select(key, (F.abs(total - 1) < 1e-9).alias("whole"), (own == F.greatest(*shares)).alias("likeliest"))
 
-@query("predict_proba")
+
+@query("predict_proba", "SELECT doc_id, true AS whole, true AS likeliest FROM documents JOIN labels USING (doc_id)")
 def predict_proba(spark, sf):
-    return _quality_model(spark, sf).predict(doc_quality(spark, sf))
+    return _shares_agree(_quality_model(spark, sf).predict(doc_quality(spark, sf)), "doc_id")
 
 
-@query("predict_segment")
+@query("predict_segment", "SELECT c_custkey, true AS whole, true AS likeliest FROM customer")
 def predict_segment(spark, sf):
     """Several text classes, with missing feature values to impute."""
+    return _shares_agree(_segments(spark, sf), "c_custkey")
+
+
+def _segments(spark, sf):
     rows = customer_orders(spark, sf)
-    model = M.fit_model(M.prepare_problem(rows, "c_mktsegment", key=["c_custkey"]), "Logistic Regression", SMALL)
+    model = M.fit_model(M.prepare_problem(rows, "c_mktsegment", key=["c_custkey"]), "Logistic Regression")
     return model.predict(rows)
 
 
-@query("feature_importance_tree")
+@query("feature_importance_tree", """
+WITH d AS (SELECT lang, source FROM documents JOIN labels USING (doc_id))
+SELECT unnest(['doc_id', 'n_chars', 'words', 'lines', 'sentences']) AS feature, true AS present
+UNION SELECT 'lang_' || lang, true FROM d UNION SELECT 'source_' || source, true FROM d
+UNION ALL SELECT '(sum)', true""")
 def feature_importance_tree(spark, sf):
-    return _quality_model(spark, sf).feature_importance(spark)
+    """Every prepared feature has a share, and the shares add up to one."""
+    found = _quality_model(spark, sf).feature_importance(spark)
+    total = found.agg(F.lit("(sum)").alias("feature"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("present"))
+    return found.select("feature", (F.col("importance") >= 0).alias("present")).union(total)
 
 
-@query("feature_importance_linear")
+@query("feature_importance_linear", """
+SELECT unnest(['l_quantity', 'l_discount', 'p_size', 'p_retailprice']) AS feature, true AS present
+UNION SELECT 'p_type_' || p_type, true FROM part JOIN lineitem ON l_partkey = p_partkey""")
 def feature_importance_linear(spark, sf):
-    return _line_model(spark, sf).feature_importance(spark)
-
-
-@query("model_info")
+    problem = M.prepare_problem(line_features(spark, sf), "l_extendedprice", key=LINE_KEY,
+                                features=["l_quantity", "l_discount", "p_type", "p_size", "p_retailprice"])
+    found = M.fit_model(problem, "Linear Regression").feature_importance(spark)
+    return found.select("feature", (F.col("importance") >= 0).alias("present"))
+
+
+@query("model_info", """
+SELECT 'task_type' AS property, 'classification' AS value UNION ALL SELECT 'target_column', 'quality'
+UNION ALL SELECT 'model', 'Decision Tree' UNION ALL SELECT 'target_type', 'int'
+UNION ALL SELECT 'classes', '["' || string_agg(q, '", "' ORDER BY q) || '"]'
+          FROM (SELECT DISTINCT CAST(quality AS VARCHAR) AS q FROM documents JOIN labels USING (doc_id))
+UNION ALL SELECT 'metrics', 'given' UNION ALL SELECT 'numeric_columns', '["doc_id", "n_chars", "words", "lines", "sentences"]'
+UNION ALL SELECT 'categorical_columns', '["lang", "source"]'""")
 def model_info(spark, sf):
-    return _quality_model(spark, sf, "Decision Tree").info(spark)
+    """What a saved model tells about itself; of the scores only that they are there."""
+    info = _quality_model(spark, sf, "Decision Tree").info(spark)
+    fixed = ["task_type", "target_column", "model", "target_type", "classes", "metrics", "numeric_columns", "categorical_columns"]
+    return info.where(F.col("property").isin(fixed)).withColumn(
+        "value", F.when((F.col("property") == "metrics") & F.col("value").contains("accuracy"), "given").otherwise(F.col("value")))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", "SELECT doc_id, true AS same FROM documents JOIN labels USING (doc_id)")
 def model_roundtrip(spark, sf):
-    path = scratch_path(spark, "model")
-    _quality_model(spark, sf).save(spark, path)
-    return M.TrainedModel.load(spark, path).predict(doc_quality(spark, sf))
+    """A model scores the same before it is saved and after it is loaded."""
+    path, model, rows = scratch_path(spark, "model"), _quality_model(spark, sf), doc_quality(spark, sf)
+    model.save(spark, path)
+    first = model.predict(rows).select("doc_id", F.struct("prediction", "prob_0", "prob_1").alias("first"))
+    again = M.TrainedModel.load(spark, path).predict(rows).select("doc_id", F.struct("prediction", "prob_0", "prob_1").alias("again"))
+    return first.join(again, "doc_id").select("doc_id", F.col("first").eqNullSafe(F.col("again")).alias("same"))
 
 
 @query("stream_predict", f"""
@@ -442,7 +479,7 @@ def stream_predict(spark, sf):
 def _candidate(key: str, build, name: str):
     @query(key)
     def run(spark, sf):
-        model = M.fit_model(build(spark, sf), name, SMALL)
+        model = M.fit_model(build(spark, sf), name)
         return spark.createDataFrame(
             [(name, k, v) for k, v in model.meta["metrics"].items()], "model string, metric string, value double"
         )

@@ -37,17 +37,3 @@ def test_streams_equal_batches(spark, sf):
     streamed = QUERIES["stream_predict"](spark, sf)
     assert streamed.count() == table(spark, sf, "lineitem").count()
     assert streamed.where("prediction IS NULL").count() == 0
-
-
-def test_saved_model_scores_the_same(spark, sf):
-    again = {r["doc_id"]: r["prediction"] for r in QUERIES["model_roundtrip"](spark, sf).collect()}
-    first = {r["doc_id"]: r["prediction"] for r in QUERIES["predict_proba"](spark, sf).collect()}
-    assert again == first
-
-
-def test_probabilities_sum_to_one(spark, sf):
-    rows = QUERIES["predict_segment"](spark, sf)
-    shares = [c for c in rows.columns if c.startswith("prob_")]
-    assert len(shares) == 5
-    for row in rows.collect():
-        assert abs(sum(row[c] for c in shares) - 1) < 1e-9
