@@ -12,7 +12,8 @@ a few bytes, so positions are named only where names are needed:
    four ... anchors, and reranks: a run is named by its parts, and goes on while its name
    recurs and it is shorter than ``LENGTH``. Past that, all windows inside it are repeated.
 3. *Edges.* What remains are windows at the ends of repeats, between the runs and the first
-   differing byte. They are compared by hash with all windows under the same anchor name.
+   differing byte. They are compared by hash with each other and with the windows under the
+   same anchor name inside one run of each name, which stands for all its equals.
 
 Names and hashes have 64 bits and stand for the bytes they were made of. Equal names are
 counted map-side, then joined, so passages shared by a third of the corpus spread out. Each
@@ -171,46 +172,58 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.join(names, "name", "left_semi")
 
 
-def _open_windows(rows: dict) -> dict:
-    """Windows of surviving anchors (level 0) that no long run covers: (name, from, to) as offsets
-    from the anchor."""
-    out = {"name": [], "low": [], "high": []}
+def _to_compare(rows: dict) -> dict:
+    """What windows of surviving anchors (level 0) have to be compared: (rid, name, at, low, high,
+    open), low and high as offsets from the anchor. Open windows lie in no long run (level 1);
+    of those that do, the ones in a run that stands for its equals (level 2) are named."""
+    out = {c: [] for c in ("rid", "name", "at", "low", "high", "open")}
     bounds = np.flatnonzero(np.r_[True, rows["rid"][1:] != rows["rid"][:-1], True])
     for a, b in zip(bounds, bounds[1:]):
         part = {c: v[a:b] for c, v in rows.items()}
         anchor = part["level"] == 0
+        if not anchor.any():
+            continue
         at, first, last = _unpack(part["low"][anchor])
         base, end = int(first.min()), int(last.max()) + 2
-        covered = np.zeros(end - base + 1, np.int32)
-        low = part["low"][~anchor] - REACH - base
-        high = part["high"][~anchor] + REACH + GRAM - LENGTH - base
-        np.add.at(covered, np.clip(low, 0, end - base), 1)
-        np.add.at(covered, np.clip(high + 1, 0, end - base), -1)
-        free = np.flatnonzero(np.cumsum(covered)[: end - base] == 0)
-        i, j = np.searchsorted(free, first - base), np.searchsorted(free, last - base, "right")
-        has = np.flatnonzero(i < j)
-        out["name"].append(part["name"][anchor][has])
-        out["low"].append(free[i[has]] + base - at[has])
-        out["high"].append(free[j[has] - 1] + base - at[has])
+
+        def inside(level: int) -> np.ndarray:
+            covered = np.zeros(end - base + 1, np.int32)
+            low = part["low"][part["level"] == level] - REACH - base
+            high = part["high"][part["level"] == level] + REACH + GRAM - LENGTH - base
+            np.add.at(covered, np.clip(low, 0, end - base), 1)
+            np.add.at(covered, np.clip(high + 1, 0, end - base), -1)
+            return np.cumsum(covered)[: end - base] > 0
+
+        for kind, places in ((True, np.flatnonzero(~inside(1))), (False, np.flatnonzero(inside(2)))):
+            i, j = np.searchsorted(places, first - base), np.searchsorted(places, last - base, "right")
+            has = np.flatnonzero(i < j)
+            out["rid"].append(np.full(len(has), part["rid"][0]))
+            out["name"].append(part["name"][anchor][has])
+            out["at"].append(at[has])
+            out["low"].append(places[i[has]] + base - at[has] if len(has) else at[has])
+            out["high"].append(places[j[has] - 1] + base - at[has] if len(has) else at[has])
+            out["open"].append(np.full(len(has), kind))
     return {c: np.concatenate(v) for c, v in out.items()} if out["name"] else {c: [] for c in out}
 
 
 def _window_hashes(batch) -> dict:
-    """(rid, window, hash) of the asked windows of each text."""
-    out = {"rid": [], "at": [], "hash": []}
+    """(rid, window, hash, open) of the asked windows of each text, each window once."""
+    out = {"rid": [], "at": [], "hash": [], "open": []}
     for rid, text, asked in zip(batch["rid"].to_pylist(), batch["text"].to_pylist(), batch["asked"].to_pylist()):
         data = np.frombuffer(text.encode(), np.uint8)
-        wanted = np.zeros(len(data) + 1, np.int32)
+        wanted = np.zeros((2, len(data) + 1), np.int32)
         for r in asked:
-            wanted[r["low"]] += 1
-            wanted[r["high"] + 1] -= 1
-        places = np.flatnonzero(np.cumsum(wanted))
+            wanted[int(r["open"]), r["low"]] += 1
+            wanted[int(r["open"]), r["high"] + 1] -= 1
+        wanted = np.cumsum(wanted, axis=1) > 0
+        places = np.flatnonzero(wanted.any(0))
         for start, piece in _pieces(data):
-            mine = places[(places >= start) & (places < start + PIECE)] - start
+            mine = places[(places >= start) & (places < start + PIECE)]
             if len(mine):
                 out["rid"].append(np.full(len(mine), rid))
-                out["at"].append(mine + start)
-                out["hash"].append(_span_hash(gram_hashes(piece), mine, LENGTH).view(np.int64))
+                out["at"].append(mine)
+                out["hash"].append(_span_hash(gram_hashes(piece), mine - start, LENGTH).view(np.int64))
+                out["open"].append(wanted[1, mine])
     return {c: np.concatenate(v) for c, v in out.items()} if out["rid"] else {c: [] for c in out}
 
 
@@ -228,25 +241,29 @@ def repeats(stored: DataFrame) -> DataFrame:
         kept = cut_lineage(_repeated(cut_lineage(more)))
         runs = runs.union(kept)
         level += 1
-    past = runs.where(F.col("high") - F.col("low") >= _FAR).select("rid", "low", "high").distinct()
-    # Edges: for each anchor name the offsets at which some window is still open.
-    both = first.select("rid", F.lit(0).alias("level"), F.col("spot").alias("low"), F.lit(0).cast("long").alias("high"),
-                        "name").union(past.select("rid", F.lit(1), "low", "high", F.lit(0).cast("long")))
-    asked = (
-        whole_groups(both, "rid", ["level", "low"], _open_windows, "name long, low long, high long")
-        .groupBy("name").agg(F.min("low").alias("from"), F.max("high").alias("to"))
-    )
-    at = F.shiftright("spot", 14)
-    windows = first.join(asked, "name").select(
-        "rid",
-        F.greatest(at - REACH - F.shiftright("spot", 7).bitwiseAND(127), at + F.col("from")).alias("low"),
-        F.least(at - REACH - F.col("spot").bitwiseAND(127), at + F.col("to")).alias("high"),
-    ).where("low <= high").groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("asked"))
+    past = runs.where(F.col("high") - F.col("low") >= _FAR).select("rid", "low", "high", "name")
+    # Edges. Windows inside a run are those of any equal run, so one run stands for all.
+    chosen = past.groupBy("name").agg(F.min(F.struct("rid", "low", "high")).alias("r")).select("r.*", "name")
+
+    def at_level(rows: DataFrame, level: int) -> DataFrame:
+        return rows.select("rid", F.lit(level).alias("level"), "low", "high", "name")
+
+    spots = first.select("rid", F.col("spot").alias("low"), F.lit(0).cast("long").alias("high"), "name")
+    marks = cut_lineage(whole_groups(
+        at_level(spots, 0).union(at_level(past, 1)).union(at_level(chosen, 2)), "rid", ["level", "low"], _to_compare,
+        "rid long, name long, at long, low long, high long, open boolean"))
+    asked = marks.where("open").groupBy("name").agg(F.min("low").alias("from"), F.max("high").alias("to"))
+    settled = marks.where("NOT open").join(asked, "name").select(
+        "rid", "at", F.greatest("low", "from").alias("low"), F.least("high", "to").alias("high"), "open"
+    ).where("low <= high")
+    windows = marks.where("open").select("rid", "at", "low", "high", "open").union(settled).groupBy("rid").agg(
+        F.collect_list(F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"), "open"))
+        .alias("asked"))
     # The texts that have candidates at all, once more on their own.
     texts = cut_lineage(stored.select("rid", "text").join(first.select("rid").distinct(), "rid"))
-    hashes = arrow_map(texts.join(windows, "rid"), _window_hashes, "rid long, at long, hash long")
+    hashes = arrow_map(texts.join(windows, "rid"), _window_hashes, "rid long, at long, hash long, open boolean")
     same = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    edges = hashes.join(same, "hash", "left_semi").select(
+    edges = hashes.where("open").join(same, "hash", "left_semi").select(
         "rid", F.col("at").alias("low"), (F.col("at") + LENGTH).alias("high"))
     spans = past.select("rid", (F.col("low") - REACH).alias("low"), (F.col("high") + REACH + GRAM).alias("high"))
     return texts.join(
