@@ -45,7 +45,7 @@ def suggest_target(df: DataFrame, preferred: str | None = None) -> dict[str, Any
     elif texts:
         best = texts[0]
     else:
-        raise ValueError("No suitable target column found")
+        raise ValueError("no column varies enough to be predicted")
     return {"target_column": best.name, "task_type": task_of(best), "source": "heuristic"}
 
 

@@ -110,7 +110,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """
     names = list(columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)])
     if len(names) < 2:
-        raise ValueError("Need at least 2 numeric columns for correlation analysis")
+        raise ValueError(f"a correlation matrix takes two numeric columns or more, here are {names}")
     plain = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(names)])
     facts = plain.agg(
         F.count(F.lit(1)).alias("n"),

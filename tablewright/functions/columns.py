@@ -39,7 +39,7 @@ def ensure_columns(df: DataFrame, names: Iterable[str]) -> None:
     """Raise a ``ValueError`` that lists the names missing from ``df``."""
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise ValueError(f"Columns not found: {missing}")
+        raise ValueError(f"the table has no columns {missing}")
 
 
 def as_double(df: DataFrame, name: str) -> Column:

@@ -43,7 +43,7 @@ def feature_set(df: DataFrame, target: str, only: Sequence[str] | None = None) -
     ``only`` restricts the features that are considered.
     """
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in data.")
+        raise ValueError(f"the table has no column {target!r} to predict")
     wanted = None if only is None else [target, *only]
     traits = {t.name: t for t in column_traits(df, wanted)}
     if target not in traits:
@@ -52,7 +52,7 @@ def feature_set(df: DataFrame, target: str, only: Sequence[str] | None = None) -
     pruned = prune_columns(list(traits.values()))
     usable = [t for t in traits.values() if t.name not in pruned]
     if not usable:
-        raise ValueError("No usable feature columns found after removing constants/IDs.")
+        raise ValueError(f"every column but the target was pruned: {pruned}")
     return FeatureSet(
         [t.name for t in usable if t.numeric], [t.name for t in usable if not t.numeric], pruned, about
     )

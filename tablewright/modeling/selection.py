@@ -55,9 +55,9 @@ def prepare_problem(
     columns by default), ``features`` restricts the columns to learn from.
     """
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in data.")
+        raise ValueError(f"the table has no column {target!r} to predict")
     if task not in (None, "regression", "classification"):
-        raise ValueError(f"Unknown task type: {task}")
+        raise ValueError(f"task is regression or classification, not {task!r}")
     rows = drop_missing_target(df, target)
     found = feature_set(rows, target, features)
     chosen = task or task_of(found.target)
@@ -288,7 +288,7 @@ def train_best(
     ranked = board.collect()                       # one row per candidate
     if not ranked or ranked[0]["score"] is None:
         reasons = "; ".join(f"{r['model']}: {r['failure']}" for r in ranked)
-        raise ValueError(f"No models could be evaluated successfully. {reasons}")
+        raise ValueError(f"every candidate failed: {reasons}")
     model = fit_model(problem, ranked[0]["model"], settings, test_size, seed)
     model.meta["cv_score"] = ranked[0]["score"]
     model.meta["model_scores"] = {r["model"]: r["score"] for r in ranked}

@@ -63,7 +63,7 @@ def make_operation(spec: dict[str, Any]) -> Operation:
     params = dict(spec)
     name = params.pop("op", None)
     if name not in OPERATIONS:
-        raise ValueError(f"Unknown preprocessing operation: {name}")
+        raise ValueError(f"no operation is called {name!r}")
     cls = OPERATIONS[name]
     known = {f.name for f in dataclasses.fields(cls)}
     unknown = sorted(set(params) - known)

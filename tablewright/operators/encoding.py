@@ -58,7 +58,7 @@ class EncodeCategorical(Operation):
 
     def __post_init__(self):
         if self.method not in ("label", "onehot"):
-            raise ValueError(f"Unknown encoding method: {self.method}")
+            raise ValueError(f"method is label or onehot, not {self.method!r}")
 
     def columns_used(self) -> list[str]:
         return list(self.columns or [])

@@ -12,6 +12,7 @@ from tablewright.functions.ordering import fill_in_order
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.operators.base import Operation, State, operation
 
+# The method names of the fill operation.
 FILL_METHODS = ("mean", "median", "mode", "zero", "constant", "ffill", "bfill")
 
 
@@ -48,7 +49,7 @@ class FillNa(Operation):
 
     def __post_init__(self):
         if self.method not in FILL_METHODS:
-            raise ValueError(f"Unknown fill method: {self.method}")
+            raise ValueError(f"method is one of {FILL_METHODS}, not {self.method!r}")
         if self.method == "constant" and self.value is None:
             raise ValueError("method 'constant' needs a value")
         if self.method in ("ffill", "bfill"):

@@ -22,7 +22,7 @@ class ScaleNumeric(Operation):
 
     def __post_init__(self):
         if self.method not in ("standard", "minmax"):
-            raise ValueError(f"Unknown scaling method: {self.method}")
+            raise ValueError(f"method is standard or minmax, not {self.method!r}")
 
     def columns_used(self) -> list[str]:
         return [c for c in self.columns or [] if c not in (self.exclude or [])]

@@ -16,7 +16,7 @@ from tablewright.sources.catalog import TableSource
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Rows of CSV files with a header; types come from ``schema``, else from an extra scan."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Prediction file not found: {path}")
+        raise FileNotFoundError(f"nothing to read at {path}")
     reader = spark.read.option("header", True).option("enforceSchema", False)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return nan_to_null(reader.csv(path))

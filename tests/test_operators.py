@@ -61,7 +61,7 @@ def test_ordered_fills(df, frame):
 
 
 def test_fill_needs_sense(df):
-    with pytest.raises(ValueError, match="Unknown fill method"):
+    with pytest.raises(ValueError, match="method is one of"):
         FillNa(method="magic")
     with pytest.raises(ValueError, match="order"):
         FillNa(method="ffill")
@@ -82,7 +82,7 @@ def test_dropna(df, frame):
 
 def test_unknown_columns_raise(df):
     for op in (DropColumns(["x", "nope"]), KeepColumns(["nope"]), CreateRatio("x", "nope", "r"), ConvertDtype("nope", "int")):
-        with pytest.raises(ValueError, match="Columns not found"):
+        with pytest.raises(ValueError, match="has no columns"):
             op(df)
 
 
@@ -98,7 +98,7 @@ def test_scaling(df, frame, method):
     flat = df.withColumn("k", F.lit(7.0))
     assert set(column(ScaleNumeric(method, ["k"])(flat), "k")) == {0.0}
     assert column(ScaleNumeric(method, exclude=["y", "id"])(df), "y") == column(df, "y")
-    with pytest.raises(ValueError, match="Unknown scaling method"):
+    with pytest.raises(ValueError, match="method is standard"):
         ScaleNumeric("robust")
 
 
@@ -107,7 +107,7 @@ def test_label_codes(df):
     assert column(EncodeCategorical("label", missing_as="None")(df), "g") == [2, 1, 0, 2, 3, 1, 1, 0]
     # a vocabulary too large for literals is ranked in slices and joined from a written table
     assert column(EncodeCategorical("label", max_literals=0)(df), "g") == [1, 0, None, 1, 2, 0, 0, None]
-    with pytest.raises(ValueError, match="Unknown encoding method"):
+    with pytest.raises(ValueError, match="method is label"):
         EncodeCategorical("target")
 
 
@@ -188,7 +188,7 @@ def test_large_head_is_ranked_in_slices(spark, monkeypatch):
 
 def test_closed_registry():
     for bad in ({"op": "reset"}, {"op": "get_data"}, {"nothing": 1}):
-        with pytest.raises(ValueError, match="Unknown preprocessing operation"):
+        with pytest.raises(ValueError, match="no operation is called"):
             make_operation(bad)
     with pytest.raises(ValueError, match="Unknown parameters"):
         make_operation({"op": "head_rows", "size": 3})

@@ -107,7 +107,7 @@ def test_key_like_columns(spark):
 
 
 def test_no_target_left(spark):
-    with pytest.raises(ValueError, match="No suitable target"):
+    with pytest.raises(ValueError, match="varies enough"):
         A.suggest_target(spark.createDataFrame([(1, f"t{i}") for i in range(20)], "k int, t string"))
     few = A.suggest_target(spark.createDataFrame([(1, f"t{i % 3}") for i in range(20)], "k int, t string"))
     assert few["target_column"] == "t" and few["task_type"] == "classification"
@@ -159,9 +159,9 @@ def test_walk_through(spark, sf, tmp_path):
 def test_nothing_left_to_learn_from(spark, sf):
     from tablewright.modeling import prepare_problem
 
-    with pytest.raises(ValueError, match="No usable feature"):
+    with pytest.raises(ValueError, match="pruned"):
         prepare_problem(customer_ids(spark, sf).select("customer_id", "channel", "c_acctbal"), "c_acctbal")
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="has no column"):
         prepare_problem(customer_ids(spark, sf), "nope")
 
 
