@@ -12,8 +12,8 @@ a few bytes, so positions are named only where names are needed:
    four ... anchors, and reranks: a run is named by its parts, and goes on while its name
    recurs and it is shorter than ``LENGTH``. Past that, all windows inside it are repeated.
 3. *Edges.* What remains are windows at the ends of repeats, between the runs and the first
-   differing byte. They are compared by hash with each other and with the windows under the
-   same anchor name inside one run of each name, which stands for all its equals.
+   differing byte. They are compared by hash, in blocks that shrink, with each other and with
+   the windows under the same anchor name inside one run of each name, which stands for its equals.
 
 Names and hashes have 64 bits and stand for the bytes they were made of. Equal names are
 counted map-side, then joined, so passages shared by a third of the corpus spread out. Each
@@ -30,9 +30,10 @@ import hashlib
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm.common import arrow_map, texts_of, with_row_ids
+from tablewright.llm.common import arrow_map, texts_of, union_all, with_row_ids
 from tablewright.llm.pairs import whole_groups
 from tablewright.llm.registry import query, table
 from tablewright.session import cut_lineage
@@ -41,6 +42,8 @@ LENGTH = 400
 GRAM = 16
 # The anchor lies REACH to 2 REACH - 1 bytes into its window: 3 * REACH + GRAM - 1 <= LENGTH.
 REACH = 128
+# Windows at the edges of repeats are judged so many at a time, then fewer.
+BLOCKS = (64, 16, 4, 1)
 # Bytes of text hashed at once; longer texts go in overlapping pieces.
 PIECE = 1 << 21
 
@@ -206,25 +209,85 @@ def _to_compare(rows: dict) -> dict:
     return {c: np.concatenate(v) for c, v in out.items()} if out["name"] else {c: [] for c in out}
 
 
-def _window_hashes(batch) -> dict:
-    """(rid, window, hash, open) of the asked windows of each text, each window once."""
-    out = {"rid": [], "at": [], "hash": [], "open": []}
+def _string_hash(grams: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes (``GRAM`` at least) from each start on."""
+    out = _span_hash(grams, starts, size // GRAM * GRAM)
+    return _mix(out * _B + grams[starts + size - GRAM]) if size % GRAM else out
+
+
+def _block_hashes(width: int, batch) -> dict:
+    """For blocks of ``width`` windows of each text: hashes of the bytes that they cover together
+    (``outer``, null where the block overhangs the text) and that all of them share (``core``).
+    ``first`` marks one row of those that begin at the same place."""
+    out = {c: [] for c in ("rid", "name", "at", "off", "open", "outer", "core", "first")}
     for rid, text, asked in zip(batch["rid"].to_pylist(), batch["text"].to_pylist(), batch["asked"].to_pylist()):
         data = np.frombuffer(text.encode(), np.uint8)
-        wanted = np.zeros((2, len(data) + 1), np.int32)
-        for r in asked:
-            wanted[int(r["open"]), r["low"]] += 1
-            wanted[int(r["open"]), r["high"] + 1] -= 1
-        wanted = np.cumsum(wanted, axis=1) > 0
-        places = np.flatnonzero(wanted.any(0))
+        at, off = (np.array([r[c] for r in asked], np.int64) for c in ("at", "off"))
+        name, is_open = np.array([r["name"] for r in asked], np.int64), np.array([r["open"] for r in asked], bool)
+        x = at + off
         for start, piece in _pieces(data):
-            mine = places[(places >= start) & (places < start + PIECE)]
-            if len(mine):
-                out["rid"].append(np.full(len(mine), rid))
-                out["at"].append(mine)
-                out["hash"].append(_span_hash(gram_hashes(piece), mine - start, LENGTH).view(np.int64))
-                out["open"].append(wanted[1, mine])
-    return {c: np.concatenate(v) for c, v in out.items()} if out["rid"] else {c: [] for c in out}
+            mine = np.flatnonzero((x + width > 0) & (x + LENGTH <= len(data)) & (np.maximum(x, 0) >= start)
+                                  & (np.maximum(x, 0) < start + PIECE))
+            if not len(mine):
+                continue
+            piece = data[max(0, start - width): start + PIECE + LENGTH + width]
+            grams, place = gram_hashes(piece), x[mine] - max(0, start - width)
+            whole = (x[mine] >= 0) & (x[mine] + LENGTH + width - 1 <= len(data))
+            outer = np.zeros(len(mine), np.int64)
+            outer[whole] = _string_hash(grams, place[whole], LENGTH + width - 1).view(np.int64)
+            core = _string_hash(grams, place + width - 1, LENGTH + 1 - width).view(np.int64)
+            once = np.zeros(len(mine), bool)
+            once[np.unique(x[mine], return_index=True)[1]] = True
+            out["rid"].append(np.full(len(mine), rid))
+            for c, v in (("name", name), ("at", at), ("off", off), ("open", is_open)):
+                out[c].append(v[mine])
+            out["outer"].append(np.ma.masked_array(outer, ~whole))
+            out["core"].append(core)
+            out["first"].append(once)
+    if not out["rid"]:
+        return {c: [] for c in out}
+    outer = np.ma.concatenate(out.pop("outer"))
+    done = {c: np.concatenate(v) for c, v in out.items()}
+    return {**done, "outer": pa.array(outer.data, mask=np.ma.getmaskarray(outer))}
+
+
+def _edges(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Repeated windows at the edges of runs, as (rid, low, high) byte ranges.
+
+    Windows are judged in blocks at equal distances from their anchors. A block is repeated
+    if the bytes that it covers are, and unique if the bytes that its windows share are;
+    only the blocks between are cut into smaller ones, down to single windows. A block that is
+    settled goes on as a possible equal of others, one for all that cover the same bytes.
+    """
+    blocks, found = None, []
+    for step, width in enumerate(BLOCKS):
+        if blocks is None:
+            offsets = F.explode(F.sequence(F.floor(F.col("low") / width) * width, F.floor(F.col("high") / width) * width, F.lit(width)))
+            blocks = marks.select("rid", "name", "at", "open", offsets.alias("off"))
+        else:
+            parts = F.explode(F.sequence(F.col("off"), F.col("off") + BLOCKS[step - 1] - 1, F.lit(width)))
+            blocks = blocks.select("rid", "name", "at", "open", parts.alias("off"))
+        blocks = blocks.groupBy("rid", "name", "at", "off").agg(F.max("open").alias("open"))
+        wanted = blocks.where("open").select("name", "off").distinct()
+        blocks = blocks.where("open").unionByName(
+            blocks.where("NOT open").join(wanted, ["name", "off"], "left_semi").select("rid", "name", "at", "off", "open"))
+        asked = blocks.groupBy("rid").agg(F.collect_list(F.struct("name", "at", "off", "open")).alias("asked"))
+        hashed = cut_lineage(arrow_map(
+            texts.join(asked, "rid"), partial(_block_hashes, width),
+            "rid long, name long, at long, off long, open boolean, outer long, core long, first boolean"))
+        place = F.struct("rid", "at", "off")
+        same = hashed.where("outer IS NOT NULL").groupBy("outer").agg(
+            F.count_if("first").alias("n_outer"), F.min(place).alias("head"))
+        near = hashed.groupBy("core").agg(F.count_if("first").alias("n_core")).where("n_core > 1").select("core")
+        judged = cut_lineage(
+            hashed.join(near, "core", "left_semi").join(same.where("n_outer > 1"), "outer", "left")
+            .select("rid", "name", "at", "off", "open", F.col("n_outer").isNotNull().alias("settled"),
+                    (F.col("head").isNull() | (F.col("head") == place)).alias("stays")))
+        found.append(judged.where("open AND settled").select(
+            "rid", (F.col("at") + F.col("off")).alias("low"), (F.col("at") + F.col("off") + LENGTH + width - 1).alias("high")))
+        blocks = judged.where("(open AND NOT settled) OR stays").select(
+            "rid", "name", "at", "off", (F.col("open") & ~F.col("settled")).alias("open"))
+    return union_all(found)
 
 
 def repeats(stored: DataFrame) -> DataFrame:
@@ -252,19 +315,9 @@ def repeats(stored: DataFrame) -> DataFrame:
     marks = cut_lineage(whole_groups(
         at_level(spots, 0).union(at_level(past, 1)).union(at_level(chosen, 2)), "rid", ["level", "low"], _to_compare,
         "rid long, name long, at long, low long, high long, open boolean"))
-    asked = marks.where("open").groupBy("name").agg(F.min("low").alias("from"), F.max("high").alias("to"))
-    settled = marks.where("NOT open").join(asked, "name").select(
-        "rid", "at", F.greatest("low", "from").alias("low"), F.least("high", "to").alias("high"), "open"
-    ).where("low <= high")
-    windows = marks.where("open").select("rid", "at", "low", "high", "open").union(settled).groupBy("rid").agg(
-        F.collect_list(F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"), "open"))
-        .alias("asked"))
     # The texts that have candidates at all, once more on their own.
     texts = cut_lineage(stored.select("rid", "text").join(first.select("rid").distinct(), "rid"))
-    hashes = arrow_map(texts.join(windows, "rid"), _window_hashes, "rid long, at long, hash long, open boolean")
-    same = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    edges = hashes.where("open").join(same, "hash", "left_semi").select(
-        "rid", F.col("at").alias("low"), (F.col("at") + LENGTH).alias("high"))
+    edges = _edges(texts, marks)
     spans = past.select("rid", (F.col("low") - REACH).alias("low"), (F.col("high") + REACH + GRAM).alias("high"))
     return texts.join(
         spans.union(edges).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "rid")
