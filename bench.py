@@ -22,13 +22,13 @@ HEADLINE = [
     "drop_duplicates_subset", "sample_frac", "scale_minmax", "encode_label", "encode_label_large",
     "encode_onehot", "create_bins", "op_chain", "stream_transform",
     # catalog and profiles
-    "table_summary", "candidate_keys", "foreign_keys", "describe", "correlation_matrix", "insights_numeric",
+    "table_summary", "candidate_keys", "foreign_keys", "database_overview", "describe", "correlation_matrix", "insights_numeric",
     "insights_categorical", "duplicate_rows", "target_correlations", "summary_report",
     # relational
     "sql_inner_join", "sql_group_avg", "sql_window_rank", "sql_grouping_sets",
     # features, models, metrics
     "stratified_kfold_assign", "stratified_split", "onehot_features", "ols_fit", "ridge_fit", "predict_batch",
-    "knn_classify", "metric_roc_auc", "metric_f1", "suggest_preprocessing",
+    "knn_classify", "knn_regress", "predict_batch_wide", "model_on_label_column", "metric_roc_auc", "metric_f1", "suggest_preprocessing",
 ]
 
 
