@@ -4,7 +4,8 @@ A word enters with two inputs: the embedding of the word itself (hashed) and the
 character trigrams' embeddings (hashed), so unseen spellings still resemble known ones. A
 window of ``WINDOW`` words runs through one gated recurrent layer in each direction;
 attention pools the states into one vector and a logistic unit scores it. A document is scored by all
-windows, each beginning ``STRIDE`` words after the last, and its logit is the highest of them.
+its overlapping windows, one from every word on, and its logit is the highest of them. Training reads
+the same windows of each sampled document on every visit.
 
 The network is written and trained here in numpy, on the driver, from at most ``SAMPLE``
 labelled documents of either class: the ones with the smallest hash of their id, so the
@@ -20,6 +21,7 @@ no rows; other columns are never inputs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,11 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablewright.llm.common import arrow_map, texts_of
 from tablewright.llm.registry import query, table
 
-WINDOW, STRIDE = 32, 24
+WINDOW = 32
 BUCKETS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 1 << 13, 8, 8, 8, 8
 SAMPLE = 3_000
 # Documents shown in training, at least EPOCHS times each.
-VISITS, EPOCHS, BAG, BATCH, RATE = 12_000, 4, 8, 64, 0.01
+VISITS, EPOCHS, BATCH, RATE = 12_000, 4, 64, 0.01
+# Windows run side by side, and threads that run them in training.
+SIDE, THREADS = 2_048, 4
 WORD_MEMORY = 200_000
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
@@ -85,8 +89,8 @@ def inputs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def windows_of(length: int) -> np.ndarray:
-    """First words of the windows that cover a text."""
-    return np.arange(0, max(1, length - WINDOW + STRIDE), STRIDE)
+    """First words of the windows of a text: all places from which it has ``WINDOW`` words."""
+    return np.arange(max(1, length - WINDOW + 1))
 
 
 # -- the network --------------------------------------------------------------------------
@@ -157,6 +161,67 @@ class Network:
         logits = pooled @ p["o"] + p["o0"][0]
         return (logits, (states, bent, weight, pooled, there, cache)) if keep else logits
 
+    def sweep(self, gates: np.ndarray, numbers: np.ndarray, threads: int = 1) -> np.ndarray:
+        """Logits as of :meth:`run` of the windows from each place of ``numbers`` on that has
+        ``WINDOW`` numbers, which point into ``gates``; 0 is padding."""
+        both = 2 * HIDDEN
+        signs = np.repeat(np.array([-1, -1, 2], np.float32), both)  # for sigmoids and tanh by exp
+        inner, bend = np.ascontiguousarray((self.p["h"] * signs).T), np.ascontiguousarray(2 * self.p["a"].T)
+        out = np.empty(max(0, len(numbers) - WINDOW + 1), np.float32)
+
+        def tanh_of_half(x: np.ndarray) -> None:
+            np.exp(np.minimum(x, 80, out=x), out=x)
+            x += 1
+            np.divide(-2, x, out=x)
+            x += 1
+
+        def some(at: int) -> None:
+            n = min(SIDE, len(out) - at)
+            mine = numbers[at: at + n + WINDOW - 1]
+            x = np.ascontiguousarray((gates.take(mine, axis=0) * signs).T)
+            there = (mine > 0).astype(np.float32)
+            whole = bool(there.all())
+            state, states = np.zeros((both, n), np.float32), np.empty((WINDOW, both, n), np.float32)
+            g, gap = np.empty((3 * both, n), np.float32), np.empty((both, n), np.float32)
+            zr, new, z, r = g[: 2 * both], g[2 * both:], g[:both], g[both: 2 * both]
+            for t in range(WINDOW):
+                back = WINDOW - 1 - t
+                np.matmul(inner, state, out=g)
+                for first, time in ((0, t), (HIDDEN, back)):
+                    z[first: first + HIDDEN] += x[first: first + HIDDEN, time: time + n]
+                    r[first: first + HIDDEN] += x[both + first: both + first + HIDDEN, time: time + n]
+                np.exp(np.minimum(zr, 80, out=zr), out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                new *= r
+                for first, time in ((0, t), (HIDDEN, back)):
+                    new[first: first + HIDDEN] += x[2 * both + first: 2 * both + first + HIDDEN, time: time + n]
+                tanh_of_half(new)
+                np.subtract(state, new, out=gap)
+                gap *= z
+                np.add(new, gap, out=state)
+                if not whole:
+                    state[:HIDDEN] *= there[t: t + n]
+                    state[HIDDEN:] *= there[back: back + n]
+                states[t, :HIDDEN], states[back, HIDDEN:] = state[:HIDDEN], state[HIDDEN:]
+            bent = np.matmul(bend, states)
+            tanh_of_half(bent)
+            weight = np.matmul(self.p["v"], bent)
+            if not whole:
+                weight[np.lib.stride_tricks.sliding_window_view(there, n) == 0] = -30
+            weight -= weight.max(0)
+            np.exp(weight, out=weight)
+            out[at: at + n] = (weight * np.matmul(self.p["o"], states)).sum(0) / weight.sum(0) + self.p["o0"][0]
+
+        parts = range(0, len(out), SIDE)
+        if threads > 1:
+            with ThreadPool(threads) as pool:
+                pool.map(some, parts)
+        else:
+            for at in parts:
+                some(at)
+        return out
+
     def gradients(self, gates, index, slope) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the summed loss, given its slope at each logit: parameters, and ``gates``."""
         p, (steps, n), both = self.p, index.shape, 2 * HIDDEN
@@ -205,17 +270,23 @@ def _block() -> np.ndarray:
     return np.tile(same, (1, 3)).astype(np.float32)
 
 
-def _index(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(steps, windows) of word numbers, 0 beyond the text."""
-    padded = np.r_[numbers, np.zeros(WINDOW, np.int64)]
-    return padded[starts[None, :] + np.arange(WINDOW)[:, None]]
+def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All numbers in a row, short texts filled up to a window; the first window of each text in
+    it, and the number of its windows. No window of a text reaches the next one."""
+    count = np.array([len(windows_of(len(d))) for d in docs])
+    sizes = count + WINDOW - 1
+    offset = np.cumsum(sizes) - sizes
+    numbers = np.zeros(sizes.sum(), np.int64)
+    for d, at in zip(docs, offset):
+        numbers[at: at + len(d)] = d
+    return numbers, offset, count
 
 
 # -- training ---------------------------------------------------------------------------------
 
 
 def train(texts: list[str], toxic: np.ndarray, share: float, visits: int = VISITS, seed: int = 6) -> Network:
-    """Fit to whole documents: each step scores some windows of each and moves the highest."""
+    """Fit to whole documents: each step scores all windows of each and moves the highest."""
     net, rng, words = Network.fresh(seed), np.random.default_rng(seed), Words()
     docs = [words.numbers(t) for t in texts]
     names = [b""] + words.new
@@ -226,23 +297,17 @@ def train(texts: list[str], toxic: np.ndarray, share: float, visits: int = VISIT
         order = rng.permutation(len(docs))
         rate = RATE * (1 - epoch / epochs) + 1e-4
         for at in range(0, len(order), BATCH):
-            batch, parts, owner = order[at: at + BATCH], [], []
-            for k, i in enumerate(batch):
-                starts = windows_of(len(docs[i]))
-                if len(starts) > BAG:
-                    starts = np.sort(rng.choice(starts, BAG, replace=False))
-                parts.append(_index(docs[i], starts))
-                owner.append(np.full(len(starts), k))
-            index, owner = np.hstack(parts), np.concatenate(owner)
-            used, index = np.unique(np.r_[0, index.ravel()], return_inverse=True)
-            index = index[1:].reshape(WINDOW, -1)
+            batch = order[at: at + BATCH]
+            numbers, offset, count = _joined([docs[i] for i in batch])
+            used, numbers = np.unique(np.r_[0, numbers], return_inverse=True)
+            numbers = numbers[1:]
             x, (bucket, chars, counts) = net.embed([names[i] for i in used])
             gates = net.project(x)
-            logits = net.run(gates, index)
-            best = np.lexsort((-logits, owner))
-            best = best[np.r_[True, np.diff(owner[best]) > 0]]
+            logits = net.sweep(gates, numbers, THREADS)
+            best = np.array([a + logits[a: a + n].argmax() for a, n in zip(offset, count)])
+            index = numbers[best[None, :] + np.arange(WINDOW)[:, None]]
             slope = ((_sigmoid(logits[best]) - toxic[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            grads, d_gates = net.gradients(gates, index[:, best], slope)
+            grads, d_gates = net.gradients(gates, index, slope)
             grads["x"], grads["x0"] = x.T @ d_gates, d_gates.sum(0)
             d_x = d_gates @ net.p["x"].T
             grads["word"], grads["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
@@ -319,19 +384,11 @@ class Scorer:
         if self.words.new:
             added = self.net.project(self.net.embed(self.words.new)[0])
             self.gates, self.words.new = np.vstack([self.gates, added]), []
-        starts = [windows_of(len(d)) for d in docs]
-        offset = np.cumsum([0, *(len(d) + WINDOW for d in docs)])
-        padded = np.zeros(offset[-1], np.int64)
-        for d, at in zip(docs, offset):
-            padded[at: at + len(d)] = d
-        first = np.concatenate([s + at for s, at in zip(starts, offset)])
-        top = np.empty(len(first), np.float32)
-        for at in range(0, len(first), 2_048):
-            index = padded[first[None, at: at + 2_048] + np.arange(WINDOW)[:, None]]
-            # Past the end of a text come at least WINDOW zeros, so no window sees the next one.
-            top[at: at + 2_048] = self.net.run(self.gates, index)
-        ends = np.cumsum([0, *map(len, starts)])[:-1]
-        return np.maximum.reduceat(top, ends)
+        numbers, offset, count = _joined(docs)
+        every = self.net.sweep(self.gates, numbers)
+        # Between the last window of a text and the first of the next lie some that read both.
+        bounds = np.stack([offset, offset + count], 1).ravel()
+        return np.maximum.reduceat(np.r_[every, -np.inf], bounds)[::2].astype(np.float32)
 
 
 def score(docs: DataFrame, model: Network | float, column: str = "score") -> DataFrame:

@@ -145,6 +145,34 @@ def test_windows_cover_every_word():
         assert covered == set(range(n)) and len(starts) >= 1
 
 
+def test_the_highest_of_all_overlapping_windows_counts():
+    net, rng = toxicity.Network.fresh(), np.random.default_rng(2)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], n)) for n in (0, 1, 31, 32, 33, 57, 100, 700)]
+    got = toxicity.Scorer(net).logits(texts)
+    for text, logit in zip(texts, got):
+        words = text.encode().split()
+        gates = net.project(np.vstack([np.zeros((1, 16), np.float32), *([net.embed(words)[0]] if words else [])]))
+        starts = range(max(1, len(words) - 31))
+        index = np.array([[s + t + 1 if s + t < len(words) else 0 for s in starts] for t in range(32)])
+        assert abs(net.run(gates, index).max() - logit) < 1e-4
+
+
+def test_training_reads_every_window_of_long_texts(monkeypatch):
+    seen = []
+    sweep = toxicity.Network.sweep
+
+    def noted(self, gates, numbers, threads=1):
+        logits = sweep(self, gates, numbers, threads)
+        seen.append(len(logits))
+        return logits
+
+    monkeypatch.setattr(toxicity.Network, "sweep", noted)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(50)], 2_000)) for _ in range(4)]
+    toxicity.train(texts, np.array([0, 1, 0, 1], np.float32), 0.5, visits=16)
+    assert seen and min(seen) >= 4 * (2_000 - 31)
+
+
 def test_a_learned_word_is_found_anywhere():
     rng = np.random.default_rng(0)
     plain = [f"word{i}" for i in range(80)]
