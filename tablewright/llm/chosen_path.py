@@ -6,8 +6,9 @@ which two classes share as large a part as their sets do. A run starts with all
 one bucket. A bucket samples coordinates (1 / similarity of them expected) and passes each class
 on to the bucket of each sampled token, so only classes that share the token stay together.
 Buckets of at most ``SMALL`` classes are compared by brute force, larger ones are split
-again, and after ``DEPTH`` splits compared block by block. Similar classes survive a run
-with a known probability, so the number of runs follows from the target recall.
+again, and after ``DEPTH`` splits compared block by block. How many coordinates agree varies
+from pair to pair, and with it the probability to survive a run; the number of runs follows
+from the target recall over all pairs at the threshold, for buckets that are split to the end.
 
 Classes whose signatures look similar are grouped, and inside each group all pairs are
 compared on the whole sets: every link is exact, each pair counts once, and copies are never
@@ -34,7 +35,7 @@ from tablewright.session import cut_lineage
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.98
+RECALL = 0.9998
 COORDINATES = 48
 SMALL = 256
 DEPTH = 4
@@ -84,16 +85,28 @@ def signature(runs: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def runs_for(recall: float, similarity: float, depth: int) -> int:
-    """Runs until a pair at the threshold has met with probability ``recall``.
+def recall_of(runs: int, similarity: float, depth: int, coordinates: int = COORDINATES) -> float:
+    """Share of the pairs at the threshold that meet in one of ``runs`` and are told to be alike.
 
-    A bucket passes a pair on to a Poisson number of children, one expected; a pair
-    survives ``depth`` splits with the probability of that branching process.
+    Of a pair's coordinates a binomial number agrees. A bucket samples each of them with the
+    same small probability and passes the pair on for every sampled one that agrees; the
+    pair survives ``depth`` splits with the probability of that branching process.
     """
-    alive = 1.0
-    for _ in range(depth):
-        alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+    drawn, met = 1 / (similarity * coordinates), 0.0
+    for agree in range(math.ceil((similarity - SLACK) * coordinates - 1e-9), coordinates + 1):
+        alive = 1.0
+        for _ in range(depth):
+            alive = 1 - (1 - drawn * alive) ** agree
+        share = math.comb(coordinates, agree) * similarity ** agree * (1 - similarity) ** (coordinates - agree)
+        met += share * (1 - (1 - alive) ** runs)
+    return met
+
+
+def runs_for(recall: float, similarity: float, depth: int) -> int:
+    """Runs until the pairs at the threshold have met with probability ``recall``."""
+    if recall >= recall_of(1 << 20, similarity, depth):
+        raise ValueError(f"{COORDINATES} coordinates cannot find a share of {recall} of the pairs")
+    return next(n for n in range(1, 1 << 20) if recall_of(n, similarity, depth) >= recall)
 
 
 def _children(paths: np.ndarray, signs: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:

@@ -149,6 +149,25 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     check_documents(chosen_path.link_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
 
 
+def test_runs_find_pairs_of_any_agreement_in_crowded_buckets():
+    # All buckets split to the end; signatures agree in a binomial number of coordinates.
+    rng, pairs_, size = np.random.default_rng(6), 3_000, chosen_path.COORDINATES
+    runs_ = chosen_path.runs_for(chosen_path.RECALL, chosen_path.SIMILARITY, chosen_path.DEPTH)
+    ours = rng.integers(0, 1 << 32, (pairs_, size), np.uint32)
+    theirs = np.where(rng.random((pairs_, size)) < chosen_path.SIMILARITY, ours, ours ^ np.uint32(1))
+    met = np.zeros(pairs_, bool)
+    for run in range(runs_):
+        pair, path = np.arange(pairs_), rng.integers(0, 1 << 63, pairs_).astype(np.uint64)
+        for _ in range(chosen_path.DEPTH):
+            (i, a), (j, b) = (chosen_path._children(path, side[pair], chosen_path.SIMILARITY) for side in (ours, theirs))
+            both = set(zip(pair[i].tolist(), a.tolist())) & set(zip(pair[j].tolist(), b.tolist()))
+            pair, path = np.array([p for p, _ in both], int), np.array([c for _, c in both], np.uint64)
+        met[pair] = True
+    assert met.mean() >= 0.9985
+    with pytest.raises(ValueError):
+        chosen_path.runs_for(1.0, chosen_path.SIMILARITY, chosen_path.DEPTH)
+
+
 def test_jaccard_matrix_in_chunks():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(20)]
