@@ -9,7 +9,8 @@ double precision, so that every link has been verified and each counts once.
 
 The number of blocks follows from the number of vectors (an unrelated pair shares a cell of
 one block with probability ``FAR``), the number of tables from the target recall at the
-threshold (``NEAR``: probability to meet in one table of one block; both were measured on
+threshold (``NEAR``: probability to meet in one table of one, two and three blocks; a neighbour
+is probed in one block at a time, so it is no power of the first; all were measured on
 random vectors). Equal vectors are one vector with a number of copies throughout.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link with
@@ -35,7 +36,9 @@ COSINE = 0.9
 RECALL = 0.97
 SCALE = 0.6
 PROBES = 2
-NEAR, FAR = 0.5, 0.0018
+NEAR, FAR = (0.5, 0.25, 0.095), 0.0018
+# Probability to lie in the same cell of one block, probes aside.
+SAME = 0.18
 CROWD = 200
 BLOCK = 1_024
 # Small copies have 8-bit components; their cosines are off by less than this.
@@ -96,6 +99,15 @@ def cells(vectors: np.ndarray, tables: int, blocks: int, scale: float = SCALE, p
     return np.stack(out, 1).view(np.int64)
 
 
+def meeting(blocks: int) -> float:
+    """A lower bound of the probability that a pair at the threshold meets in one table."""
+    return NEAR[min(blocks, len(NEAR)) - 1] * SAME ** max(0, blocks - len(NEAR))
+
+
+def tables_for(recall: float, blocks: int) -> int:
+    return math.ceil(math.log(1 - recall) / math.log(1 - meeting(blocks)))
+
+
 def _unit(column) -> tuple[list, np.ndarray]:
     """Valid vectors' places, and all vectors as unit rows grouped by length."""
     out = []
@@ -127,7 +139,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
         named.join(copies, F.col("rid") == F.col("first")).select("rid", "unit", "copies"))
     n = max(1, distinct.count())
     blocks = max(1, math.ceil(math.log(max(1.0, n / CROWD)) / -math.log(FAR)))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - NEAR ** blocks))
+    tables = tables_for(recall, blocks)
 
     def file(batch):
         out = {"cell": [], "rid": [], "small": []}

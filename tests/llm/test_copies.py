@@ -1,6 +1,7 @@
 """Near copies, repeated passages and near vectors against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -77,6 +78,33 @@ def test_vectors_link_like_brute_force(spark, block):
     assert missed <= 0.1 * len(rows)
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4])
+def test_tables_reach_the_recall_with_more_blocks(blocks):
+    rng = np.random.default_rng(9)
+    n, size = 1_500, 64
+    x, y = rng.normal(size=(2, n, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.9 ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    tables = lattice_near_dedup.tables_for(lattice_near_dedup.RECALL, blocks)
+    ours, theirs = (lattice_near_dedup.cells(v, tables, blocks).reshape(n, tables, -1) for v in (x, y))
+    met = np.zeros(n, bool)
+    for t in range(tables):
+        met |= (ours[:, t, :, None] == theirs[:, t, None, :]).any((1, 2))
+    assert met.mean() >= lattice_near_dedup.RECALL - 0.005
+
+
+def test_vectors_link_in_two_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lattice_near_dedup, "CROWD", 0.1)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(200, 32))
+    rows = [(2 * i + k, [float(c) for c in v + k * rng.normal(0, 0.4, 32)]) for i, v in enumerate(base) for k in (0, 1)]
+    assert math.ceil(math.log(len(rows) / 0.1) / -math.log(lattice_near_dedup.FAR)) == 2
+    got = lattice_near_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    links = 2 * len(brute_vectors(rows))
+    assert links > 200 and 0.97 * links <= sum(r["n_links"] for r in got) <= links
+
+
 def test_no_vectors(spark):
     assert lattice_near_dedup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
