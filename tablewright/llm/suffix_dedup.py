@@ -257,7 +257,8 @@ def _edges(texts: DataFrame, marks: DataFrame) -> DataFrame:
     Windows are judged in blocks at equal distances from their anchors. A block is repeated
     if the bytes that it covers are, and unique if the bytes that its windows share are;
     only the blocks between are cut into smaller ones, down to single windows. A block that is
-    settled goes on as a possible equal of others, one for all that cover the same bytes.
+    settled goes on as a possible equal of others, one for all that cover the same bytes at the
+    same distance from an anchor of the same name: others may look for it under any of its names.
     """
     blocks, found = None, []
     for step, width in enumerate(BLOCKS):
@@ -276,11 +277,13 @@ def _edges(texts: DataFrame, marks: DataFrame) -> DataFrame:
             texts.join(asked, "rid"), partial(_block_hashes, width),
             "rid long, name long, at long, off long, open boolean, outer long, core long, first boolean"))
         place = F.struct("rid", "at", "off")
-        same = hashed.where("outer IS NOT NULL").groupBy("outer").agg(
-            F.count_if("first").alias("n_outer"), F.min(place).alias("head"))
+        heads = hashed.where("outer IS NOT NULL").groupBy("outer", "name", "off").agg(
+            F.count_if("first").alias("n"), F.min(place).alias("head"))
+        same = heads.groupBy("outer").agg(F.sum("n").alias("n_outer")).where("n_outer > 1")
+        heads = heads.drop("n").join(same, "outer")
         near = hashed.groupBy("core").agg(F.count_if("first").alias("n_core")).where("n_core > 1").select("core")
         judged = cut_lineage(
-            hashed.join(near, "core", "left_semi").join(same.where("n_outer > 1"), "outer", "left")
+            hashed.join(near, "core", "left_semi").join(heads, ["outer", "name", "off"], "left")
             .select("rid", "name", "at", "off", "open", F.col("n_outer").isNotNull().alias("settled"),
                     (F.col("head").isNull() | (F.col("head") == place)).alias("stays")))
         found.append(judged.where("open AND settled").select(

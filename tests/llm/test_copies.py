@@ -266,6 +266,24 @@ def test_passages_of_odd_texts(spark, monkeypatch, piece):
             assert removed == 0
 
 
+def test_truncated_third_copies_lose_nothing(spark):
+    # Two copies of a short passage and a third without its first bytes; in the chosen ones it
+    # begins after a change of anchor inside a block of windows.
+    rng = random.Random(11)
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    texts = []
+    for i in range(530):
+        n = rng.randrange(420, 541)
+        passage = own(n)
+        start = rng.randrange(1, n - 399)
+        three = [own(150) + passage + own(150), own(170) + passage + own(150), own(160) + passage[start:] + own(140)]
+        if i in (429, 489, 528):
+            texts += three
+    docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    got = {r["rid"]: bytes(r["kept"]) for r in suffix_dedup.cut(suffix_dedup.repeats(docs)).collect()}
+    assert [got.get(i) for i in range(len(texts))] == [kept for _, _, _, kept in brute_passages(texts)]
+
+
 def test_cutting_keeps_columns_and_rows(spark, odd, none):
     done = suffix_dedup.cut_repeats(odd)
     assert done.columns == odd.columns
