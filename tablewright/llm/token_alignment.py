@@ -25,6 +25,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -40,7 +41,9 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Most pairs sent to every task: 16 bytes each.
 PAIRS = 1 << 21
 # Chunks, and characters of them, that one worker remembers: bounds memory, not results.
-CHUNKS, CHUNK_CHARS = 250_000, 1 << 24
+CHUNKS, CHUNK_CHARS = 400_000, 1 << 24
+# New chunks are given to the libraries together, up to so many characters.
+TOGETHER_CHARS = 1 << 13
 # Texts are counted together up to so many characters, pair counts gathered up to so many pairs.
 SLICE_CHARS, GATHERED = 1 << 19, 1 << 20
 
@@ -95,6 +98,9 @@ class Aligner:
         entries = [self.b.id_to_piece(n) for n in range(self.b_size)]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(entries)]
+        self.a_sizes = np.zeros(self.a.get_vocab_size(), np.int64)
+        self.a_sizes[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         # A piece with a blank after another character could reach over a cut; then texts stay whole.
         self.splits = not any("▁" in p.lstrip("▁") for p in entries)
         self.forget()
@@ -121,15 +127,59 @@ class Aligner:
         b_ends = cuts([p.end + 1 for p in pieces], [self.b_bytes[n] for n in b_ids], whole)
         return None if a_ends is None or b_ends is None else (a_ids, a_ends, b_ids, b_ends)
 
-    def number(self, chunk: str) -> int:
-        known = self.numbers.get(chunk)
-        if known is not None:
-            return known
-        n, made = len(self.texts), self.align(chunk)
-        if n == len(self.first):
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        text, pairs = "", {}
+    def learn(self, chunks: list[str]) -> None:
+        """Number new chunks: those that stand between cuts by a few calls for many, the others one by one."""
+        together, held = [], 0
+        for chunk in chunks:
+            # A cut needs a character before it and a blank with a character after it.
+            if chunk[:1] != " " or chunk[1:2].isspace() or chunk[-1:].isspace() or "▁" in chunk:
+                self._learn_one(chunk)
+                continue
+            together.append(chunk)
+            held += len(chunk)
+            if held >= TOGETHER_CHARS:
+                self._learn_many(together)
+                together, held = [], 0
+        if together:
+            self._learn_many(together)
+
+    def _learn_many(self, chunks: list[str]) -> None:
+        text = "".join(chunks)
+        whole = text.encode()
+        found = self.a.encode(text, add_special_tokens=False)
+        a_ids, pieces = np.array(found.ids, np.int64), self.b.encode(text[1:], return_type="proto").pieces
+        b_ids, b_spans = np.array([(p.id, p.end) for p in pieces], np.int64).T
+        a_fine, b_fine = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
+        chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        byte_at = np.cumsum(np.r_[0, 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)])
+        a_spans = byte_at[np.array(found.offsets, np.int64)[:, 1]]
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        # Cuts that spans and bytes agree on; between them the bytes decide. Every chunk must end at one.
+        held = np.intersect1d(a_fine[a_fine == a_spans], b_fine[b_fine == b_spans + 1], assume_unique=True)
+        if not np.isin(ends, held, assume_unique=True).all() or any(
+                b"".join(map(own.__getitem__, ids.tolist())) != whole for own, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids))):
+            for chunk in chunks:
+                self._learn_one(chunk)
+            return
+        # Between two neighbouring ends of either side lies exactly one overlap of an A and a B token.
+        any_end, both = np.union1d(a_fine, b_fine), np.intersect1d(a_fine, b_fine, assume_unique=True)
+        keys = a_ids[np.searchsorted(a_fine, any_end)] * self.b_size + b_ids[np.searchsorted(b_fine, any_end)]
+        link_of = np.searchsorted(ends, any_end)
+        order = np.lexsort((keys, link_of))
+        keys, link_of = keys[order], link_of[order]
+        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (link_of[1:] != link_of[:-1])])
+        times = np.diff(np.r_[new, len(keys)])
+        size = len(chunks)
+        counts = np.stack([*(np.bincount(np.searchsorted(ends, x), minlength=size) for x in (a_fine, b_fine, both)),
+                           np.bincount(link_of, minlength=size), np.ones(size, np.int64), np.bincount(link_of[new], minlength=size)], 1)
+        a_text, b_text = list(map(str, found.ids)), list(map(str, b_ids.tolist()))
+        a_to, b_to = ((np.searchsorted(x, both) + 1).tolist() for x in (a_fine, b_fine))
+        groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip([0, *a_to], a_to, [0, *b_to], b_to)]
+        last = np.cumsum(counts[:, 2]).tolist()
+        self._add(chunks, [";".join(groups[i:j]) for i, j in zip([0, *last], last)], counts, keys[new], times)
+
+    def _learn_one(self, chunk: str) -> None:
+        made, text, pairs, counts = self.align(chunk), "", {}, np.zeros((1, 6), np.int64)
         if made:
             a_ids, a_ends, b_ids, b_ends = made
             groups, links = groups_and_links(a_ends, b_ends)
@@ -138,19 +188,23 @@ class Aligner:
                 pairs[key] = pairs.get(key, 0) + 1
             text = ";".join(
                 f"{','.join(map(str, a_ids[g]))}|{','.join(map(str, b_ids[h]))}" for g, h in groups)
-            self.counts[n] = len(a_ids), len(b_ids), len(groups), len(links), 1, len(pairs)
-        else:
-            self.counts[n] = 0
-        while self.used + len(pairs) > len(self.keys):
+            counts[0] = len(a_ids), len(b_ids), len(groups), len(links), 1, len(pairs)
+        self._add([chunk], [text], counts, list(pairs.keys()), list(pairs.values()))
+
+    def _add(self, chunks: list[str], texts: list[str], counts: np.ndarray, keys, times) -> None:
+        at, size = len(self.texts), len(chunks)
+        self.numbers.update(zip(chunks, range(at, at + size)))
+        self.texts += texts
+        self.chars += sum(map(len, chunks))
+        while at + size > len(self.first):
+            self.counts, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.counts, self.first))
+        while self.used + len(keys) > len(self.keys):
             self.keys, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.times))
-        self.first[n] = self.used
-        self.keys[self.used: self.used + len(pairs)] = list(pairs.keys())
-        self.times[self.used: self.used + len(pairs)] = list(pairs.values())
-        self.used += len(pairs)
-        self.texts.append(text)
-        self.chars += len(chunk)
-        self.numbers[chunk] = n
-        return n
+        self.counts[at: at + size] = counts
+        self.first[at: at + size] = self.used + np.cumsum(counts[:, 5]) - counts[:, 5]
+        self.keys[self.used: self.used + len(keys)] = keys
+        self.times[self.used: self.used + len(keys)] = times
+        self.used += len(keys)
 
     def chunks(self, text: str) -> list[str]:
         return _BEFORE_WORD.split(" " + text) if self.splits else [" " + text]
@@ -158,16 +212,12 @@ class Aligner:
     def describe(self, texts: list[str]) -> dict:
         """Per text: counts (n, 4), digests, and its distinct linked pairs as flat (owner, key, times) arrays."""
         self.tidy()
-        lists = []
-        for text in texts:
-            parts = self.chunks(text) if text else []
-            try:
-                lists.append(list(map(self.numbers.__getitem__, parts)))
-            except KeyError:
-                lists.append(list(map(self.number, parts)))
+        lists = [self.chunks(text) if text else [] for text in texts]
+        self.learn(list({c for parts in lists for c in parts}.difference(self.numbers)))
+        lists = [list(map(self.numbers.__getitem__, parts)) for parts in lists]
         sizes = np.array([len(x) for x in lists], np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        chunk = np.fromiter((n for x in lists for n in x), np.int64, sizes.sum())
+        chunk = np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum())
         good = sizes > 0
         good[owner[self.counts[chunk, 4] == 0]] = False
         use = good[owner]
