@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tablewright.functions.columns import NESTED, is_integral, quoted
 from tablewright.functions.counts import distinct_estimate
+from tablewright.sources.relations import included, open_pairs, ranges, within
 
 KEY_SCHEMA = "table_name string, column_name string"
+RELATION_SCHEMA = (
+    "table_name string, column_name string, parent_table string, parent_column string, "
+    "n_values long, n_parent_values long, names_agree boolean"
+)
 
 
 class TableSource:
@@ -116,61 +121,25 @@ class TableSource:
         self._keys.update(zip(fresh, _side_by_side(lambda t: unique_columns(self.table(t)), fresh)))
         return self.spark.createDataFrame([(t, c) for t in wanted for c in self._keys[t]], KEY_SCHEMA)
 
-    def foreign_keys(self, match_names: bool = True) -> DataFrame:
-        """Inferred relations: every child value occurs in a candidate key of another table.
+    def foreign_keys(self, match_names: bool = False) -> DataFrame:
+        """Inferred relations: every value of a column occurs in a candidate key of another table.
 
-        A pair is tried when the types agree, the child's range lies inside the
-        parent's, and (``match_names``) the names agree after their table prefix; it
-        holds when an anti join of the child's distinct values finds nothing.
+        Any column of the key's class is tried, whatever its name; what values happen to lie
+        inside a key by chance (small counters inside long row numbers) is listed too. ``names_agree``
+        and the numbers of distinct values tell such pairs apart; ``match_names`` tries only pairs whose
+        names agree after their table prefix. A column without values relates to nothing.
         """
         keys = [(r.table_name, r.column_name) for r in self.candidate_keys().collect()]
-        pairs = [
-            (child, f.name, parent, key)
-            for parent, key in keys
-            for child, df in self.tables.items() if child != parent
-            for f in df.schema
-            if f.dataType.simpleString() == self._type(parent, key)
-            and (not match_names or _stem(f.name) == _stem(key))
+        agree = (lambda a, b: _stem(a) == _stem(b)) if match_names else None
+        pairs = open_pairs(self.tables, keys, agree)
+        spans = ranges(self.tables, [p for pair in pairs for p in pair], _side_by_side)
+        pairs = [(child, parent) for child, parent in pairs if within(spans[child], spans[parent])]
+        found = included(self.tables, [p for pair in pairs for p in pair])
+        rows = [
+            (*child, *parent, found[child][0], found[parent][0], _stem(child[1]) == _stem(parent[1]))
+            for child, parent in pairs if parent in found[child][1]
         ]
-        pairs = self._in_range(pairs)
-        schema = "table_name string, column_name string, parent_table string, parent_column string"
-        if not pairs:
-            return self.spark.createDataFrame([], schema)
-        return reduce(DataFrame.unionByName, [self._inclusion(*p) for p in pairs])
-
-    def _type(self, table: str, column: str) -> str:
-        return self.table(table).schema[column].dataType.simpleString()
-
-    def _in_range(self, pairs: list[tuple[str, str, str, str]]) -> list[tuple[str, str, str, str]]:
-        """Keep the pairs whose child range lies inside the parent range: one scan per table."""
-        wanted: dict[str, set[str]] = {}
-        for child, column, parent, key in pairs:
-            wanted.setdefault(child, set()).add(column)
-            wanted.setdefault(parent, set()).add(key)
-        def span(table: str) -> dict:
-            names = sorted(wanted[table])
-            row = self.table(table).agg(
-                *[F.min(quoted(c)).alias(f"lo{i}") for i, c in enumerate(names)],
-                *[F.max(quoted(c)).alias(f"hi{i}") for i, c in enumerate(names)],
-            ).first()
-            return {(table, c): (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(names)}
-
-        ranges = {k: v for found in _side_by_side(span, list(wanted)) for k, v in found.items()}
-        kept = []
-        for child, column, parent, key in pairs:
-            (lo, hi), (low, high) = ranges[child, column], ranges[parent, key]
-            if lo is not None and low is not None and low <= lo and hi <= high:
-                kept.append((child, column, parent, key))
-        return kept
-
-    def _inclusion(self, child: str, column: str, parent: str, key: str) -> DataFrame:
-        values = self.table(child).select(quoted(column).alias("v")).where("v IS NOT NULL").distinct()
-        parents = self.table(parent).select(quoted(key).alias("v"))
-        orphans = values.join(parents, "v", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-        return orphans.where("orphans = 0").select(
-            F.lit(child).alias("table_name"), F.lit(column).alias("column_name"),
-            F.lit(parent).alias("parent_table"), F.lit(key).alias("parent_column"),
-        )
+        return self.spark.createDataFrame(rows, RELATION_SCHEMA)
 
     def overview(self) -> DataFrame:
         """One row per table: size, columns with types, inferred keys and relations."""

@@ -25,19 +25,6 @@ COLUMNS = {
     "conversations": "conv_id turn role text",
 }
 COLUMNS = {t: c.split() for t, c in COLUMNS.items()}
-RELATIONS = (
-    ("nation", "n_regionkey", "region", "r_regionkey"),
-    ("customer", "c_nationkey", "nation", "n_nationkey"),
-    ("supplier", "s_nationkey", "nation", "n_nationkey"),
-    ("orders", "o_custkey", "customer", "c_custkey"),
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-    ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-    ("labels", "doc_id", "documents", "doc_id"),
-    ("documents", "doc_id", "labels", "doc_id"),
-)
-
-
 def _union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -48,12 +35,22 @@ KEYS = _union(
     f"HAVING count(*) = count({c}) AND count(*) = count(DISTINCT {c})"
     for t in TABLES for c in COLUMNS[t] if c != "embedding"
 )
-FOREIGN = _union(
-    f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{p}' AS parent_table, '{k}' AS parent_column "
-    f"WHERE (SELECT count(*) = count(DISTINCT {k}) FROM {p}) AND NOT EXISTS "
-    f"(SELECT 1 FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {p}))"
-    for t, c, p, k in RELATIONS
+# Every column against every key of its class: all of its distinct values must find an equal one.
+VALUES = _union(
+    f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v, "
+    f"CASE WHEN typeof({c}) IN ('INTEGER', 'BIGINT') THEN 'whole' ELSE typeof({c}) END AS k FROM {t} WHERE {c} IS NOT NULL"
+    for t in TABLES for c in COLUMNS[t] if c != "embedding"
 )
+STEM = "lower(CASE WHEN regexp_matches({0}, '^[^_]{{0,2}}_.') THEN substr({0}, strpos({0}, '_') + 1) ELSE {0} END)"
+FOREIGN = f"""
+WITH column_values AS MATERIALIZED ({VALUES}), key_columns AS ({KEYS}),
+sizes AS (SELECT t, c, count(*) AS n FROM column_values GROUP BY ALL),
+key_values AS (SELECT v.* FROM column_values v JOIN key_columns ON t = table_name AND c = column_name),
+hits AS (SELECT a.t, a.c, b.t AS pt, b.c AS pc, count(*) AS n
+         FROM column_values a JOIN key_values b ON a.k = b.k AND a.v = b.v AND a.t <> b.t GROUP BY ALL)
+SELECT h.t AS table_name, h.c AS column_name, h.pt AS parent_table, h.pc AS parent_column, h.n AS n_values,
+       p.n AS n_parent_values, {STEM.format("h.c")} = {STEM.format("h.pc")} AS names_agree
+FROM hits h JOIN sizes s ON h.t = s.t AND h.c = s.c AND h.n = s.n JOIN sizes p ON h.pt = p.t AND h.pc = p.c"""
 
 
 @query("row_count", COUNTS)
@@ -71,6 +68,11 @@ def foreign_keys(spark, sf):
     return source(spark, sf).foreign_keys()
 
 
+@query("foreign_keys_named", f"SELECT * FROM ({FOREIGN}) WHERE names_agree")
+def foreign_keys_named(spark, sf):
+    return source(spark, sf).foreign_keys(match_names=True)
+
+
 @query("table_summary", _union(
     f"SELECT '{t}' AS table_name, count(*) AS row_count, {len(c)} AS column_count, '{','.join(c)}' AS columns FROM {t}"
     for t, c in COLUMNS.items()

@@ -48,12 +48,37 @@ def test_relations_without_orphans(spark, tmp_path):
     spark.createDataFrame([(10, 1), (11, 1), (12, None)], "emp_id int, dept_id int").write.parquet(str(tmp_path / "emp.parquet"))
     spark.createDataFrame([(7, 1), (8, 2), (9, 2), (6, 99)], "sale_id int, dept_id int").write.parquet(str(tmp_path / "sale.parquet"))
     source = TableSource.from_parquet(spark, str(tmp_path))
-    found = {tuple(r) for r in source.foreign_keys().collect()}
-    assert found == {("emp", "dept_id", "dept", "dept_id")}
+    named = {tuple(r) for r in source.foreign_keys(match_names=True).collect()}
+    assert named == {("emp", "dept_id", "dept", "dept_id", 1, 3, True)}
+    assert {tuple(r) for r in source.foreign_keys().collect()} == named
     overview = {r["table_name"]: r for r in source.overview().collect()}
     assert overview["emp"]["primary_keys"] == ["emp_id"] and overview["dept"]["foreign_keys"] is None
 
 
+def test_relations_need_no_equal_names(spark, tmp_path):
+    """Whole numbers of two widths, texts with long equal beginnings, gaps, signed zeros and NaN."""
+    tables = {
+        "emp": spark.createDataFrame([(i, "x" * 80 + str(i), i / 2) for i in range(1, 9)], "emp_id bigint, code string, pay double"),
+        "team": spark.createDataFrame(
+            [(100, 3, "x" * 80 + "4", 0.5, None), (101, 3, "x" * 80 + "9", float("nan"), None), (102, None, None, 4.0, None)],
+            "team_id int, manager_id int, label string, best double, nothing int"),
+        "zero": spark.createDataFrame([(0.0, 3), (1.0, 8)], "z double, boss smallint"),
+        "sign": spark.createDataFrame([(-0.0,), (1.0,), (-0.0,)], "s double"),
+    }
+    found = {tuple(r)[:6] for r in TableSource(spark, tables).foreign_keys().collect()}
+    assert found == {
+        ("team", "manager_id", "emp", "emp_id", 1, 8), ("zero", "boss", "emp", "emp_id", 2, 8), ("sign", "s", "zero", "z", 2, 2),
+        ("team", "manager_id", "zero", "boss", 1, 2),
+    }
+
+
+def test_relations_over_more_columns_than_one_word(spark):
+    wide = spark.createDataFrame([tuple(range(k, k + 150)) for k in range(3)], [f"c{i}" for i in range(150)])
+    keys = spark.createDataFrame([(i,) for i in range(120)], "k long")
+    found = {(r["table_name"], r["column_name"]) for r in TableSource(spark, {"wide": wide, "keys": keys}).foreign_keys().collect()}
+    assert found == {("wide", f"c{i}") for i in range(118)}
+
+
 def test_records(spark):
     schema = "a int, x double, s string, unused int"
     assert records(spark, {"a": 1, "x": 2}, schema).collect()[0].asDict() == {"a": 1, "x": 2.0}
