@@ -70,14 +70,15 @@ class NeighborModel:
             found = near.groupBy("vector").agg(F.avg("label").alias("prediction"))
         else:
             votes = near.groupBy("vector", "label").agg(F.count(F.lit(1)).alias("votes"))
-            shares = [
-                F.coalesce(F.sum(F.when(F.col("label") == c, F.col("votes"))), F.lit(0)) / F.sum("votes")
-                for c in range(self.classes)
-            ]
             found = votes.groupBy("vector").agg(
                 F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("prediction"),
-                F.array(*shares).alias("probability"),
+                # at most k entries
+                F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("int"), "votes"))).alias("by_class"),
+                F.sum("votes").alias("all_votes"),
             )
+            share = lambda c: F.coalesce(F.try_element_at("by_class", c), F.lit(0)) / F.col("all_votes")
+            found = found.select(
+                "vector", "prediction", F.transform(F.sequence(F.lit(0), F.lit(self.classes - 1)), share).alias("probability"))
         return rows.join(found, "vector", "left").drop("vector")
 
 

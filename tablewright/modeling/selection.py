@@ -18,8 +18,8 @@ from tablewright.functions.columns import quoted
 from tablewright.functions.hashing import default_key
 from tablewright.modeling.candidates import NeighborModel, Settings, TrainingFacts, coefficients, pool_of
 from tablewright.modeling.features import (
-    FEATURES, LABEL, FeatureSet, FeatureState, as_double, decode_labels, drop_missing_target, feature_pipeline, feature_set,
-    fit_features, label_codes, target_classes,
+    FEATURES, LABEL, Classes, FeatureSet, FeatureState, as_double, decode_labels, drop_missing_target, feature_pipeline, feature_set,
+    class_count, fit_features, label_codes, relocate, target_vocabulary,
 )
 from tablewright.modeling.folds import kfold, stratified_kfold, stratified_train_test, train_test
 from tablewright.modeling.metrics import classification_metrics, regression_metrics, roc_auc
@@ -37,7 +37,7 @@ class Problem:
     target_type: str
     task: str
     features: FeatureSet
-    classes: list[str] | None
+    classes: Classes | None
     key: list[str]
 
     @property
@@ -61,7 +61,7 @@ def prepare_problem(
     rows = drop_missing_target(df, target)
     found = feature_set(rows, target, features)
     chosen = task or task_of(found.target)
-    classes = target_classes(rows, target) if chosen == "classification" else None
+    classes = target_vocabulary(rows, target) if chosen == "classification" else None
     labelled = (
         label_codes(rows, target, classes, LABEL) if classes is not None else rows.withColumn(LABEL, as_double(rows, target)))
     return Problem(
@@ -82,7 +82,7 @@ def _held(*frames: DataFrame):
 
 def _facts(train: DataFrame, problem: Problem, state: FeatureState) -> TrainingFacts:
     row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-    return TrainingFacts(row["n"], row["s"] or 0.0, len(problem.classes or ()), len(state.names()))
+    return TrainingFacts(row["n"], row["s"] or 0.0, class_count(problem.classes), state.width())
 
 
 def _score(problem: Problem, scored: DataFrame) -> float:
@@ -166,10 +166,10 @@ def _ready(preparation: PipelineModel, df: DataFrame) -> DataFrame:
     return prepared.select(F.col(FEATURES).alias("features"), *label, row.alias(ROW))
 
 
-def _shares(scored: DataFrame, classes: list[str] | None) -> Column | None:
+def _shares(scored: DataFrame, classes: Classes | None) -> Column | None:
     """An array with a share per class: the model's probabilities, else its margins through the
     logistic function, made to add up to one."""
-    if classes is None:
+    if not isinstance(classes, list):  # classes in a table are too many for a column each
         return None
     if "probability" in scored.columns:
         shares = F.col("probability")
@@ -221,24 +221,38 @@ class TrainedModel:
         return spark.createDataFrame(rows, "property string, value string")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        meta = dict(self.meta)
+        meta, moves = dict(self.meta), {}
+        for i, stored in enumerate(meta.get("vocabularies", [])):
+            moves[stored["path"]] = own = f"{path}/vocabulary/{i}"
+            if own != stored["path"]:
+                spark.read.parquet(stored["path"]).write.mode("overwrite").parquet(own)
+        meta["vocabularies"] = [{**stored, "path": moves[stored["path"]]} for stored in meta.get("vocabularies", [])]
+        if isinstance(meta["classes"], dict) and meta["classes"]["path"] != f"{path}/classes":
+            spark.read.parquet(meta["classes"]["path"]).write.mode("overwrite").parquet(f"{path}/classes")
+            meta["classes"] = {**meta["classes"], "path": f"{path}/classes"}
+        preparation = relocate(self.preparation, moves)
         if isinstance(self.estimator, NeighborModel):
-            self.preparation.write().overwrite().save(f"{path}/pipeline")
+            preparation.write().overwrite().save(f"{path}/pipeline")
             self.estimator.train.write.mode("overwrite").parquet(f"{path}/neighbors")
             meta["neighbors"] = {"k": self.estimator.k, "classes": self.estimator.classes}
         else:
-            PipelineModel([self.preparation, self.estimator]).write().overwrite().save(f"{path}/pipeline")
+            PipelineModel([preparation, self.estimator]).write().overwrite().save(f"{path}/pipeline")
         write_text(spark, f"{path}/meta", json.dumps(meta))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TrainedModel:
         meta = json.loads(read_text(spark, f"{path}/meta"))
         loaded = PipelineModel.load(f"{path}/pipeline")
+        # the folder may have been copied since it was written
+        moves = {stored["path"]: f"{path}/vocabulary/{i}" for i, stored in enumerate(meta.get("vocabularies", []))}
+        meta["vocabularies"] = [{**stored, "path": moves[stored["path"]]} for stored in meta.get("vocabularies", [])]
+        if isinstance(meta["classes"], dict):
+            meta["classes"]["path"] = f"{path}/classes"
         if "neighbors" in meta:
             known = meta["neighbors"]
             train = spark.read.parquet(f"{path}/neighbors")
-            return cls(loaded, NeighborModel(train, known["k"], known["classes"]), meta)
-        return cls(loaded.stages[0], loaded.stages[1], meta)
+            return cls(relocate(loaded, moves), NeighborModel(train, known["k"], known["classes"]), meta)
+        return cls(relocate(loaded.stages[0], moves), loaded.stages[1], meta)
 
 
 def fit_model(
@@ -246,7 +260,7 @@ def fit_model(
 ) -> TrainedModel:
     """Fit one candidate on the training split and score it on the holdout."""
     settings = settings or Settings(seed=seed)
-    if problem.classification and len(problem.classes) > 1:
+    if problem.classification and class_count(problem.classes) > 1:
         placed = stratified_train_test(problem.data, LABEL, test_size, problem.key, seed, "__test")
     else:
         placed = train_test(problem.data, test_size, problem.key, seed, "__test")
@@ -261,7 +275,7 @@ def fit_model(
                 "task_type": problem.task, "target_column": problem.target, "target_type": problem.target_type,
                 "model": name, "classes": problem.classes, "feature_columns": problem.features.columns,
                 "numeric_columns": problem.features.numeric, "categorical_columns": problem.features.categorical,
-                "feature_names": state.names(), "pruned_columns": problem.features.pruned,
+                "feature_names": state.names(), "vocabularies": list(state.tables.values()), "pruned_columns": problem.features.pruned,
             }
             model = TrainedModel(preparation, estimator, meta)
             meta["metrics"] = _holdout_metrics(problem, model.predict_codes(test))
@@ -273,7 +287,7 @@ def _holdout_metrics(problem: Problem, scored: DataFrame) -> dict[str, float | N
         return regression_metrics(scored).first().asDict()
     metrics = classification_metrics(scored).first().asDict()
     shares = _shares(scored, problem.classes)
-    if len(problem.classes) == 2 and shares is not None:
+    if class_count(problem.classes) == 2 and shares is not None:
         metrics["roc_auc"] = roc_auc(scored.withColumn("score", F.get(shares, F.lit(1)))).first()["roc_auc"]
     return metrics
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import is_categorical, quoted
 from tablewright.functions.counts import distinct_estimate
-from tablewright.functions.ordering import number_rows
+from tablewright.functions.vocabularies import read_codes, store_codes
 from tablewright.operators.base import Operation, State, operation
-from tablewright.session import BROADCAST_ROWS, scratch_path
+from tablewright.session import BROADCAST_ROWS
 
 # Vocabularies up to this size are kept as literals; larger ones become a code table.
 VOCABULARY_ROWS = 10_000
@@ -80,18 +80,11 @@ class EncodeCategorical(Operation):
                 raise ValueError(f"More than {self.max_width} values to one-hot in {wide}; use label encoding")
             return {"values": values, "tables": {}}
         values = vocabulary(texts, targets, self.max_literals)
-        tables = {c: self._store_codes(texts, c) for c, v in values.items() if v is None}
+        tables = {
+            c: store_codes(texts.select(quoted(c).alias("value")).where("value IS NOT NULL").distinct())
+            for c, v in values.items() if v is None}
         return {"values": {c: v for c, v in values.items() if v is not None}, "tables": tables}
 
-    def _store_codes(self, texts: DataFrame, name: str) -> State:
-        """Codes of a large vocabulary, ranked in slices and written to the shared folder."""
-        distinct = texts.select(quoted(name).alias("value")).where("value IS NOT NULL").distinct()
-        path = scratch_path(texts.sparkSession, "codes")
-        number_rows(distinct, ["value"], name="position").select(
-            "value", (F.col("position") - 1).alias("code")
-        ).write.parquet(path)
-        return {"path": path, "rows": texts.sparkSession.read.parquet(path).count()}
-
     def apply(self, df: DataFrame, state: State) -> DataFrame:
         if self.method == "onehot":
             return self._one_hot(df, state["values"])
@@ -100,7 +93,7 @@ class EncodeCategorical(Operation):
                 df = self._join_codes(df, name, F.broadcast(_code_table(df, state["values"][name])))
             elif name in state["tables"]:
                 stored = state["tables"][name]
-                codes = df.sparkSession.read.schema("value string, code bigint").parquet(stored["path"])
+                codes = read_codes(df, stored)
                 small = stored["rows"] <= BROADCAST_ROWS
                 df = self._join_codes(df, name, F.broadcast(codes) if small else codes)
         return df

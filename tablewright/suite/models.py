@@ -524,3 +524,46 @@ def onehot_features_wide(spark, sf):
     packed = F.from_json(F.to_json(F.struct("features")), "features struct<indices:array<bigint>,values:array<double>>")
     return ready.select("l_orderkey", "l_linenumber", packed["features"].alias("f")).select(
         "l_orderkey", "l_linenumber", F.size("f.values").alias("ones"), F.get("f.indices", F.lit(0)).alias("place"))
+
+
+@query("onehot_features_joined", """
+WITH filled AS (SELECT o_orderkey, o_totalprice AS x, coalesce(nullif(o_orderpriority, '4-NOT SPECIFIED'), (
+         SELECT o_orderpriority FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS p,
+       o_orderstatus AS s, CAST(o_custkey AS VARCHAR) AS c FROM orders),
+places AS (SELECT *, dense_rank() OVER (ORDER BY p) - 1 AS at_p, dense_rank() OVER (ORDER BY c) - 1 AS at_c, dense_rank() OVER (ORDER BY s) - 1 AS at_s FROM filled)
+SELECT o_orderkey, round((x - (SELECT avg(x) FROM places)) / (SELECT stddev_pop(x) FROM places), 6) AS price,
+       1 + at_s AS status_place,
+       1 + (SELECT count(DISTINCT s) FROM places) + at_p AS priority_place,
+       1 + (SELECT count(DISTINCT s) FROM places) + (SELECT count(DISTINCT p) FROM places) + at_c AS customer_place FROM places""")
+def onehot_features_joined(spark, sf):
+    """Codes of two columns joined from their tables, one beside a listed column and a number, all in one sparse vector."""
+    rows = orders_gaps(spark, sf).withColumn("customer", F.col("o_custkey").cast("string")).drop("o_totalprice").join(
+        table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    state = M.fit_features(rows, ["o_totalprice"], ["o_orderstatus", "o_orderpriority", "customer"], most_listed=3)
+    ready = M.feature_pipeline(rows, state).transform(rows)
+    packed = F.from_json(F.to_json(F.struct("features")), "features struct<indices:array<bigint>,values:array<double>>")
+    f = ready.select("o_orderkey", packed["features"].alias("f"))
+    return f.select("o_orderkey", F.round(F.get("f.values", F.lit(0)), 6).alias("price"), *[
+        F.get("f.indices", F.lit(i)).alias(n) for i, n in ((1, "status_place"), (2, "priority_place"), (3, "customer_place"))])
+
+
+@query("encode_target_wide", """
+SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY l_orderkey || '-' || l_linenumber) - 1 AS DOUBLE) AS label,
+       l_orderkey || '-' || l_linenumber AS decoded FROM lineitem""")
+def encode_target_wide(spark, sf):
+    """A target with nearly as many classes as rows: coded and decoded by joins, no class on the driver."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    classes = M.target_vocabulary(rows, "line", most_listed=0)
+    return M.decode_labels(M.label_codes(rows, "line", classes), "label", classes, "decoded").select(
+        "l_orderkey", "l_linenumber", "label", "decoded")
+
+
+@query("encode_target_numbers", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS DOUBLE) AS label, o_custkey AS decoded FROM orders""")
+def encode_target_numbers(spark, sf):
+    """Numeric classes keep the order of numbers in their table."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    classes = M.target_vocabulary(rows, "o_custkey", most_listed=0)
+    return M.decode_labels(M.label_codes(rows, "o_custkey", classes), "label", classes, "decoded", "bigint").select(
+        "o_orderkey", "label", "decoded")
