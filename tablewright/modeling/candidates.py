@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
@@ -14,7 +15,9 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.modeling.kernel import KernelClassifier
 from tablewright.modeling.neighbors import PIVOTS, _answers, _distinct_vectors
+from tablewright.modeling.random_trees import ExtraTrees, RandomCuts, importances
 
 # The normal-equation solver reads the data once; it holds a square of the width.
 NORMAL_WIDTH = 4_096
@@ -139,6 +142,12 @@ def _linear_svc(s: Settings, f: TrainingFacts):
     return machine if f.classes <= 2 else OneVsRest(classifier=machine)
 
 
+def _extra_trees(forest) -> Factory:
+    """All features may compete at a node of a regression tree, as many as their root at one of a classifier."""
+    share = (lambda n: n) if forest is RandomForestRegressor else (lambda n: n**0.5)
+    return lambda s, f: ExtraTrees(forest(numTrees=s.trees, maxDepth=s.forest_depth, seed=s.seed), share, s.seed)
+
+
 REGRESSION: dict[str, Factory] = {
     "Linear Regression": linear_regression,
     "Ridge Regression": ridge_regression,
@@ -148,8 +157,7 @@ REGRESSION: dict[str, Factory] = {
         numTrees=s.trees, maxDepth=s.forest_depth, featureSubsetStrategy="all", seed=s.seed),
     "Gradient Boosting": lambda s, f: GBTRegressor(
         maxIter=s.rounds, stepSize=0.1, maxDepth=s.boost_depth, seed=s.seed),
-    "Unbagged Forest": lambda s, f: RandomForestRegressor(
-        numTrees=s.trees, maxDepth=s.forest_depth, bootstrap=False, featureSubsetStrategy="onethird", seed=s.seed),
+    "Extra Trees": _extra_trees(RandomForestRegressor),
     "K-Neighbors": lambda s, f: NeighborEstimator(s.neighbors, None),
 }
 
@@ -159,19 +167,34 @@ CLASSIFICATION: dict[str, Factory] = {
     "Random Forest": lambda s, f: RandomForestClassifier(
         numTrees=s.trees, maxDepth=s.forest_depth, featureSubsetStrategy="sqrt", seed=s.seed),
     "Gradient Boosting": _boosted_classifier,
+    "Extra Trees": _extra_trees(RandomForestClassifier),
+    "K-Neighbors": lambda s, f: NeighborEstimator(s.neighbors, f.classes),
+    "Kernel SVC": lambda s, f: KernelClassifier(f.classes, s.margin_iterations, 1.0 / max(1, f.rows), s.seed),
+}
+
+# Fitted when asked for by name; no part of a comparison unless it names them.
+OTHER_REGRESSION: dict[str, Factory] = {
+    "Unbagged Forest": lambda s, f: RandomForestRegressor(
+        numTrees=s.trees, maxDepth=s.forest_depth, bootstrap=False, featureSubsetStrategy="onethird", seed=s.seed),
+}
+OTHER_CLASSIFICATION: dict[str, Factory] = {
     "Unbagged Forest": lambda s, f: RandomForestClassifier(
         numTrees=s.trees, maxDepth=s.forest_depth, bootstrap=False, featureSubsetStrategy="sqrt", seed=s.seed),
-    "K-Neighbors": lambda s, f: NeighborEstimator(s.neighbors, f.classes),
     "Linear SVC": _linear_svc,
 }
 
 
-def pool_of(task: str) -> dict[str, Factory]:
-    return CLASSIFICATION if task == "classification" else REGRESSION
+def pool_of(task: str, others: bool = False) -> dict[str, Factory]:
+    """The candidates of a task, by name; ``others`` adds those that a comparison leaves out."""
+    if task == "classification":
+        return {**CLASSIFICATION, **(OTHER_CLASSIFICATION if others else {})}
+    return {**REGRESSION, **(OTHER_REGRESSION if others else {})}
 
 
 def coefficients(model) -> list[float] | None:
     """Importance per assembled feature: tree importances or absolute coefficients, if the model has any."""
+    if isinstance(model, PipelineModel) and isinstance(model.stages[0], RandomCuts):
+        return importances(model)
     if hasattr(model, "featureImportances"):
         return [float(x) for x in model.featureImportances.toArray()]
     if hasattr(model, "coefficientMatrix"):

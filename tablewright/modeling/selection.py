@@ -115,7 +115,7 @@ def compare_models(
     listed with the reason.
     """
     settings = settings or Settings(seed=seed)
-    pool = {n: f for n, f in pool_of(problem.task).items() if models is None or n in models}
+    pool = {n: f for n, f in pool_of(problem.task, others=models is not None).items() if models is None or n in models}
     if problem.classification:
         placed = stratified_kfold(problem.data, LABEL, folds, problem.key, seed, "__fold")
     else:
@@ -270,7 +270,7 @@ def fit_model(
         preparation = feature_pipeline(train, state, FEATURES)
         with _held(_ready(preparation, train)) as (fit_on,):
             facts = _facts(fit_on, problem, state)
-            estimator = pool_of(problem.task)[name](settings, facts).fit(fit_on)
+            estimator = pool_of(problem.task, others=True)[name](settings, facts).fit(fit_on)
             meta = {
                 "task_type": problem.task, "target_column": problem.target, "target_type": problem.target_type,
                 "model": name, "classes": problem.classes, "feature_columns": problem.features.columns,

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tablewright import modeling as M
 from tablewright.modeling.candidates import (
     Settings, TrainingFacts, lasso_regression, linear_regression, ridge_regression,
 )
+from tablewright.modeling.random_trees import ExtraTrees
 from tablewright.session import cut_lineage, scratch_path
 from tablewright.streaming import predict_stream, through_stream
 from tablewright.suite.registry import (
@@ -496,9 +498,9 @@ def _quality_problem(spark, sf):
     return M.prepare_problem(doc_quality(spark, sf), "quality", key=["doc_id"])
 
 
-for _name in M.REGRESSION:
+for _name in M.pool_of("regression", others=True):
     _candidate("regressor_" + _name.lower().replace(" ", "_").replace("-", "_"), _price_problem, _name)
-for _name in M.CLASSIFICATION:
+for _name in M.pool_of("classification", others=True):
     _candidate("classifier_" + _name.lower().replace(" ", "_").replace("-", "_"), _quality_problem, _name)
 
 
@@ -567,3 +569,14 @@ def encode_target_numbers(spark, sf):
     classes = M.target_vocabulary(rows, "o_custkey", most_listed=0)
     return M.decode_labels(M.label_codes(rows, "o_custkey", classes), "label", classes, "decoded", "bigint").select(
         "o_orderkey", "label", "decoded")
+
+
+@query("extra_trees_split", """
+SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderstatus = 'F'), 3) AS prediction FROM orders""")
+def extra_trees_split(spark, sf):
+    """One feature of two values and one split: whatever the threshold drawn, a tree predicts the mean of a row's side."""
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderstatus") == "F").cast("double").alias("done"), F.col("o_totalprice").alias("label"))
+    ready = VectorAssembler(inputCols=["done"], outputCol="features").transform(rows)
+    model = ExtraTrees(RandomForestRegressor(numTrees=8, maxDepth=1), lambda n: 8 * n).fit(ready)
+    return model.transform(ready).select("o_orderkey", F.round("prediction", 3).alias("prediction"))
