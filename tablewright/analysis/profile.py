@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablewright.functions.columns import (
     as_double, ensure_columns, flat_columns, is_categorical, is_missing, is_numeric, quoted, split_columns,
 )
-from tablewright.functions.counts import top_values, value_counts, value_text
+from tablewright.functions.counts import most_frequent, value_counts
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.operators.columns import coerce_numeric
+from tablewright.session import cut_lineage
 
 PLACES = 4
 REPORT_COLUMNS = ("section", "column_name", "metric", "value")
@@ -177,9 +178,9 @@ def categorical_insights(df: DataFrame, columns: Sequence[str] | None = None, k:
     names = list(columns or split_columns(df)[1])
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, n_distinct bigint, rank int, value string, n bigint")
-    counts = value_counts(df, names)
+    counts = cut_lineage(value_counts(df, names))
     distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    top = value_text(top_values(counts, k))
+    top = most_frequent(df, counts, k)
     # one row per column on this side: its size is the width of the table
     joined = top.join(F.broadcast(distinct), "column")
     return joined.select(F.col("column").alias("column_name"), "n_distinct", "rank", "value", "n")
@@ -311,10 +312,10 @@ def _categorical_report(df: DataFrame, columns: Sequence[str], target: str | Non
 def dataset_digest(df: DataFrame, k: int = 5) -> DataFrame:
     """(column_name, data_type, n_distinct, null_count, min, max, mean, top): one row per flat column."""
     names = flat_columns(df)
-    counts = value_counts(df, names)
+    counts = cut_lineage(value_counts(df, names))
     distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
     texts = [c for c in names if is_categorical(df.schema[c].dataType)]
-    ranked = value_text(top_values(counts.where(F.col("column").isin(texts)), k))
+    ranked = most_frequent(df, counts.where(F.col("column").isin(texts)), k)
     shown = F.concat_ws("", F.col("value"), F.lit("("), F.col("n").cast("string"), F.lit(")"))
     top = ranked.groupBy("column").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", shown.alias("t")))), lambda s: s["t"]), ", ")

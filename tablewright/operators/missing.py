@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import as_double, ensure_columns, flat_columns, is_missing, is_numeric, quoted
-from tablewright.functions.counts import top_values, value_counts, value_text
+from tablewright.functions.counts import most_frequent, value_counts
 from tablewright.functions.ordering import fill_in_order
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.operators.base import Operation, State, operation
@@ -87,7 +87,7 @@ class FillNa(Operation):
             found = exact_quantiles(df, targets, [0.5])
             return {"values": {c: found[c][0.5] for c in targets}}
         if self.method == "mode":
-            best = value_text(top_values(value_counts(df, targets), 1))
+            best = most_frequent(df, value_counts(df, targets), 1)
             return {"values": {r["column"]: r["value"] for r in best.select("column", "value").collect()}}
         if self.method == "zero":
             return {"values": {c: "0" for c in targets}}
