@@ -11,12 +11,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions.columns import quoted
 from tablewright.session import MAX_SLICES
 
+# A head of up to this many rows is a top-k (kept per task, merged in one).
+TOP_K_ROWS = 500
+# Slices that a longer head is counted in, and how often the last one may be cut again.
+SELECT_SLICES, SELECT_LEVELS = 256, 4
+
 _SLICE = "__slice"
 _GROUP = "__group"
 _CUT_TEXT = 256
@@ -133,6 +139,44 @@ def number_rows(
     return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, slices, share, with_total)
 
 
+def first_rows(df: DataFrame, n: int, order: Sequence[str], share: Column | None = None) -> DataFrame:
+    """The ``n`` first rows in ``order`` (in any order beyond ``TOP_K_ROWS``).
+
+    A short head is a top-k. A longer one is selected where the rows lie: they are counted per slice of the order, all
+    slices before the one in which the ``n``-th row falls are taken by a filter, and only that slice is cut again, until
+    a short head of it is left. No row is shuffled for it, but for those of the last slice. Where ``order`` starts with a hash,
+    ``share`` (the hash as a number in [0, 1)) gives the slices without a sample.
+    """
+    if n <= TOP_K_ROWS:
+        return df.orderBy(*[quoted(c) for c in order]).limit(max(n, 0))
+    taken, rest, left, before = [], df, n, 0
+    for level in range(1, SELECT_LEVELS + 1):
+        if share is None:
+            at = slice_of(order, cut_points(rest, order, SELECT_SLICES))
+        else:
+            at = (F.floor(share * SELECT_SLICES**level) - before * SELECT_SLICES).cast("int")
+        counted = sorted((r["at"], r["n"]) for r in rest.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect())
+        whole, last = 0, None
+        for number, rows in counted:
+            if whole + rows > left:
+                last = number
+                break
+            whole += rows
+        if last is None:  # all that is left belongs to the head
+            return reduce(DataFrame.unionByName, [*taken, rest])
+        if whole:
+            taken.append(rest.where(at < last))
+        rest, left, before = rest.where(at == last), left - whole, before * SELECT_SLICES + last
+        if left <= TOP_K_ROWS or share is None and len(counted) == 1:
+            break
+    if left <= TOP_K_ROWS:
+        taken.append(rest.orderBy(*[quoted(c) for c in order]).limit(left))
+    else:  # the order's beginnings don't tell these rows apart
+        ranked = number_rows(rest, order, name="__position")
+        taken.append(ranked.where(F.col("__position") <= left).drop("__position"))
+    return reduce(DataFrame.unionByName, taken)
+
+
 def fill_in_order(
     df: DataFrame, columns: Sequence[str], order: Sequence[str], by: Sequence[str] = (),
     forward: bool = True, slices: int | None = None,

@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.columns import ensure_columns, flat_columns, quoted
 from tablewright.functions.hashing import hash_text, unit_hash
-from tablewright.functions.ordering import number_rows
+from tablewright.functions.ordering import first_rows
 from tablewright.operators.base import Operation, State, operation
 
-# Up to this many rows a top-k (kept per task, merged in one) beats a sliced ranking.
-TOP_K_ROWS = 100_000
-
 
 @operation("drop_duplicates", row_wise=False)
 class DropDuplicates(Operation):
@@ -37,14 +34,6 @@ class DropDuplicates(Operation):
         return kept.select(*[place.get(c, quoted(c)) for c in df.columns])
 
 
-def first_rows(df: DataFrame, n: int, order: list[str], share=None) -> DataFrame:
-    """The first ``n`` rows in ``order``; large ``n`` is ranked in slices, not in one task."""
-    if n <= TOP_K_ROWS:
-        return df.orderBy(*[quoted(c) for c in order]).limit(n)
-    ranked = number_rows(df, order, name="__position", share=share)
-    return ranked.where(F.col("__position") <= n).drop("__position")
-
-
 @operation("sample_rows", row_wise=False)
 class SampleRows(Operation):
     """Exactly ``n`` rows, or exactly the rounded share ``frac``, without replacement.

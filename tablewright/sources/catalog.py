@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tablewright.functions.columns import NESTED, is_integral, quoted
 from tablewright.functions.counts import distinct_estimate
+from tablewright.functions.ordering import first_rows
 from tablewright.sources.relations import included, open_pairs, ranges, within
 
 KEY_SCHEMA = "table_name string, column_name string"
@@ -74,7 +75,7 @@ class TableSource:
         df = self.table(name)
         if limit is None:
             return df
-        return (df.orderBy(*[quoted(c) for c in order]) if order else df).limit(limit)
+        return first_rows(df, limit, order) if order else df.limit(limit)
 
     def preview(self, name: str, n: int = 50, order: Sequence[str] | None = None) -> DataFrame:
         return self.load_table(name, n, order)

@@ -105,6 +105,11 @@ def load_table_limit(spark, sf):
     return source(spark, sf).load_table("customer", 500, order=["c_custkey"])
 
 
+@query("load_table_limit_large", "SELECT * FROM lineitem ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 4000")
+def load_table_limit_large(spark, sf):
+    return source(spark, sf).load_table("lineitem", 4000, order=["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
 @query("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50")
 def preview(spark, sf):
     return source(spark, sf).preview("orders", order=["o_orderkey"])

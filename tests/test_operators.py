@@ -176,10 +176,10 @@ def test_samples_repeat_and_are_exact(spark):
         SampleRows(n=1, frac=0.5)
 
 
-def test_large_head_is_ranked_in_slices(spark, monkeypatch):
-    from tablewright.operators import rows
+def test_large_head_is_selected_in_slices(spark, monkeypatch):
+    from tablewright.functions import ordering
 
-    monkeypatch.setattr(rows, "TOP_K_ROWS", 10)
+    monkeypatch.setattr(ordering, "TOP_K_ROWS", 10)
     df = spark.range(3000).withColumn("v", (F.col("id") * 7919) % 3001)
     wanted = sorted(range(3000), key=lambda i: (i * 7919) % 3001)[:1234]
     assert sorted(r["id"] for r in HeadRows(1234, ["v"])(df).collect()) == sorted(wanted)

@@ -1,6 +1,8 @@
 """Sliced windows and exact quantiles against pandas and numpy, with crowded keys and values."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -8,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import exact_quantiles, fill_in_order, number_rows, running_totals
+from tablewright.functions import ordering
+from tablewright.functions.hashing import hash_text, unit_hash
 from tablewright.functions.ordering import cut_points, slice_of
 
 
@@ -92,3 +96,40 @@ def test_bracketed_quantiles(spark, gather):
     assert set(got["empty"].values()) == {None}
     builtin = exact_quantiles(df, ["smooth"], probs)
     assert builtin["smooth"][0.5] == pytest.approx(got["smooth"][0.5], rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 40, 199, 200, 333, 500, 501, 900])
+def test_long_heads_are_selected_where_they_lie(spark, monkeypatch, n):
+    """A value shared by a third of the rows, gaps, and texts that agree in their first 256 characters."""
+    monkeypatch.setattr(ordering, "TOP_K_ROWS", 3)
+    monkeypatch.setattr(ordering, "SELECT_SLICES", 5)
+    rows = [(None if i % 3 == 0 else i * 7 % 50, "x" * 300 + str(i % 4) if i % 2 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, t string, i int").repartition(5)
+    wanted = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", r[2]))[:n]
+    found = ordering.first_rows(df, n, ["a", "t", "i"]).collect()
+    assert Counter(map(tuple, found)) == Counter(wanted)
+
+
+def test_equal_rows_in_a_long_head(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "TOP_K_ROWS", 3)
+    df = spark.createDataFrame([(1,)] * 50 + [(2,)] * 50, "a int").repartition(4)
+    for n, ones in ((20, 20), (50, 50), (70, 50)):
+        found = Counter(r["a"] for r in ordering.first_rows(df, n, ["a"]).collect())
+        assert found == Counter({1: ones, 2: n - ones}) - Counter()
+
+
+@pytest.mark.parametrize("n", [2, 57, 300, 400])
+def test_hash_ordered_heads_need_no_sample(spark, monkeypatch, n):
+    monkeypatch.setattr(ordering, "TOP_K_ROWS", 3)
+    monkeypatch.setattr(ordering, "SELECT_SLICES", 4)
+    df = spark.range(300).withColumn("h", hash_text(["id"], 42)).repartition(3)
+    wanted = sorted((r["h"], r["id"]) for r in df.collect())[:n]
+    found = ordering.first_rows(df, n, ["h", "id"], unit_hash(["id"], 42)).collect()
+    assert sorted((r["h"], r["id"]) for r in found) == wanted
+
+
+def test_long_heads_sort_few_rows(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    plan = ordering.first_rows(rows, 4_000, ["l_orderkey", "l_linenumber"])._jdf.queryExecution().toString()
+    limits = [int(x) for x in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan)]
+    assert limits and max(limits) <= ordering.TOP_K_ROWS and "Window" not in plan
