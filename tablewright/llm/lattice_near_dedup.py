@@ -3,8 +3,8 @@
 Unit vectors are projected at random to eight dimensions a block and decoded to the nearest
 point of the E8 lattice; the points of all blocks name a cell. Every table uses projections
 of its own and files a vector under its cell and the cells of neighbouring lattice points
-that it lies next to. Vectors that share a cell are compared on small copies, those close
-enough to matter are grouped, and inside each group all pairs are compared by cosine in
+that it lies next to. Vectors that share a cell are compared on small copies, those that
+may be close enough, given how far each copy lies from its vector, are grouped, and inside each group all pairs are compared by cosine in
 double precision, so that every link has been verified and each counts once.
 
 The number of blocks follows from the number of vectors (an unrelated pair shares a cell of
@@ -41,8 +41,8 @@ NEAR, FAR = (0.5, 0.25, 0.095), 0.0018
 SAME = 0.18
 CROWD = 200
 BLOCK = 1_024
-# Small copies have 8-bit components; their cosines are off by less than this.
-SLACK = 0.02
+# Allowance for single precision in the cosines of small copies.
+SINGLE = 1e-4
 
 
 def minimal_vectors() -> np.ndarray:
@@ -142,7 +142,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     tables = tables_for(recall, blocks)
 
     def file(batch):
-        out = {"cell": [], "rid": [], "small": []}
+        out = {"cell": [], "rid": [], "small": [], "error": []}
         rids, raw = batch["rid"].to_numpy(), batch["unit"].to_pylist()
         sizes = np.array([len(u) for u in raw])
         for size in np.unique(sizes):
@@ -150,21 +150,26 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
             x = np.array([np.frombuffer(raw[i], "<f8") for i in rows])
             names = cells(x, tables, blocks)
             small = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
+            back = small / np.linalg.norm(small.astype(float), axis=1, keepdims=True)
+            error = np.linalg.norm(x - back, axis=1)
             for i, row in enumerate(rows):
                 for name in np.unique(names[i]):
                     out["cell"].append(name)
                     out["rid"].append(rids[row])
                     out["small"].append(small[i].tobytes())
+                    out["error"].append(error[i])
         return out
 
-    filed = arrow_map(distinct, file, "cell long, rid long, small binary")
+    filed = arrow_map(distinct, file, "cell long, rid long, small binary, error double")
 
     def close(group):
         x = np.array([np.frombuffer(s, np.int8) for s in group["small"]], np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        return links_of(x @ x.T >= cosine - SLACK, group)
+        # a cosine of two copies is off by their distances from the vectors at most
+        error = np.array(group["error"], np.float32)
+        return links_of(x @ x.T + error[:, None] + error >= cosine - SINGLE, group)
 
-    found = by_group(block_pairs(filed, "cell", block), close, LINKS).select("rid", "root").distinct()
+    found = cut_lineage(by_group(block_pairs(filed, "cell", block), close, LINKS).select("rid", "root").distinct())
     groups = components(found, "rid", "root").select(F.col("node").alias("rid"), F.col("component").alias("grp"))
 
     def exact(group):

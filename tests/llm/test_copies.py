@@ -291,3 +291,21 @@ def test_cutting_keeps_columns_and_rows(spark, odd, none):
     assert len(by_id) == len(ROWS)
     assert [t for (d, _), t in by_id.items() if d == 6] == [""] and [t for (d, _), t in by_id.items() if d == 7] == [" end"]
     assert suffix_dedup.cut_repeats(none).count() == 0
+
+
+def test_wide_vectors_with_one_large_component_keep_their_links(spark):
+    """Components far below one 256th of the largest, which eight bits lose, make most of the length."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=8_192) * 0.01
+    x[0] = 6.0
+    near, far = x + rng.normal(size=8_192) * 1e-4, np.concatenate([[0.6], rng.normal(size=8_191) * 0.01])
+    rows = [(1, x.tolist()), (2, near.tolist()), (3, far.tolist()), (4, (-x).tolist())]
+    turned = x.copy()
+    turned[1:] = rng.permutation(x[1:]) * 6
+    rows.append((5, turned.tolist()))
+    vectors = np.array([v for _, v in rows])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    wanted = {i: int(((unit @ unit[k]) >= 0.9).sum()) - 1 for k, (i, _) in enumerate(rows)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in lattice_near_dedup.link_vectors(df).collect()} == wanted
+    assert wanted[1] >= 1
