@@ -16,8 +16,9 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.modeling.kernel import KernelClassifier
-from tablewright.modeling.neighbors import PIVOTS, _answers, _distinct_vectors
+from tablewright.modeling.neighbors import _answers, _distinct_vectors
 from tablewright.modeling.random_trees import ExtraTrees, RandomCuts, importances
+from tablewright.session import cut_lineage
 
 # The normal-equation solver reads the data once; it holds a square of the width.
 NORMAL_WIDTH = 4_096
@@ -52,23 +53,24 @@ class TrainingFacts:
 class NeighborEstimator:
     """K nearest neighbours with the fit / transform shape of the other candidates."""
 
-    def __init__(self, k: int, classes: int | None, pivots: int = PIVOTS):
+    def __init__(self, k: int, classes: int | None, pivots: int | None = None):
         self.k, self.classes, self.pivots = k, classes, pivots
 
     def fit(self, train: DataFrame) -> NeighborModel:
-        return NeighborModel(_as_vectors(train), self.k, self.classes, self.pivots)
+        # written once: a prediction doesn't prepare the training table again
+        return NeighborModel(cut_lineage(_distinct_vectors(_as_vectors(train), self.k)), self.k, self.classes, self.pivots)
 
 
 class NeighborModel:
-    """Scores each distinct feature vector once and joins the answer back to the rows."""
+    """The ``k`` smallest ids of each training vector, as a written table. Scores each distinct feature vector once and joins the answer back to the rows."""
 
-    def __init__(self, train: DataFrame, k: int, classes: int | None, pivots: int = PIVOTS):
+    def __init__(self, train: DataFrame, k: int, classes: int | None, pivots: int | None = None):
         self.train, self.k, self.classes, self.pivots = train, k, classes, pivots
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows = df.withColumn("vector", vector_to_array("features"))
         asked = rows.select("vector").distinct().withColumn("query", F.md5(F.to_json(F.struct("vector"))))
-        near = _answers(asked, _distinct_vectors(self.train, self.k), self.k, self.pivots)
+        near = _answers(asked, self.train, self.k, self.pivots)
         if self.classes is None:
             found = near.groupBy("vector").agg(F.avg("label").alias("prediction"))
         else:

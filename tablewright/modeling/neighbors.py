@@ -1,15 +1,17 @@
-"""Exact nearest neighbours as a pruned, partitioned join.
-
-Training rows are assigned to the nearest of a bounded set of pivots. Per pivot cell a
-small summary is kept: its radius and its ``k`` smallest distances to the pivot. By
-the triangle inequality the summaries bound a query's k-th neighbour distance from
-above and its distance to each cell from below, so a query visits only the cells
-that can hold a neighbour. (Voronoi pruning for kNN joins, Lu et al., VLDB 2012.)
-
-Equal training vectors are reduced to their ``k`` smallest ids before the shuffle and
-equal query vectors are asked once, so copies cost nothing; cells and their queries
-are cut into blocks of bounded size, so no task holds a whole cell. Only the best
-``k`` per query and block leave a task.
+"""Exact nearest neighbours as a pruned, partitioned join in two rounds.
+
+Pivots are a hash sample of the training vectors; their number grows with the rows. They form two
+levels: about the square root of them are tops, every pivot belongs to its nearest top, and a row
+to the nearest pivot under its nearest top. A row's cell need not be the very nearest one: the
+triangle inequality bounds hold for any cell with its pivot and radius.
+
+In the first round a query meets its own cell only, which gives a distance that its k-th neighbour
+can't exceed. In the second it visits the other cells that may hold something nearer: first tops,
+then the cells under the tops that are left. (After Voronoi pruning for kNN joins, Lu et al., VLDB 2012.)
+
+Equal training vectors are reduced to their ``k`` smallest ids before the shuffle and equal query
+vectors are asked once, so copies cost nothing; cells and their queries are cut into blocks of
+bounded size, so no task holds a whole cell. Only the best ``k`` per query and block leave a task.
 """
 
 from __future__ import annotations
@@ -23,18 +25,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablewright.functions.ordering import slice_count
 from tablewright.session import cut_lineage
 
-PIVOTS = 1_024
+# Training rows a cell is meant to hold; a cell beyond BLOCK_ROWS is searched in blocks.
+CELL_ROWS = 1_024
+FEWEST_PIVOTS = 32
+# The pivots travel to every task: at most this many numbers (32 MB). Larger tables get larger cells.
+PIVOT_NUMBERS = 4_000_000
 BLOCK_ROWS = 4_096
 # Training sets up to this many rows (and numbers) are sent whole to the query tasks.
 SMALL_ROWS = 20_000
 SMALL_NUMBERS = 2_000_000
 
 
-def _sample(train: DataFrame, rows: int) -> list:
-    """Up to ``rows`` training rows in hash order: the whole table, or a repeatable sample of it."""
-    return train.orderBy(F.xxhash64("vector"), "vector", "id").limit(rows).collect()
-
-
 def _kernels():
     """The numeric kernels that run inside tasks.
 
@@ -69,7 +70,18 @@ def _kernels():
     def matrix(vectors):
         return np.array(vectors.tolist(), dtype=float)
 
-    return distances, best, matrix
+    def place(points, tops, starts, pivots):
+        """Cell of each point and distance to its pivot; pivots ``starts[t]`` to ``starts[t + 1]`` are those of top t."""
+        top = distances(points, tops).argmin(axis=1)
+        cell, gap = np.empty(len(points), np.int32), np.empty(len(points))
+        for t in np.unique(top):
+            mine = np.flatnonzero(top == t)
+            gaps = distances(points[mine], pivots[starts[t]:starts[t + 1]])
+            near = gaps.argmin(axis=1)
+            cell[mine], gap[mine] = starts[t] + near, gaps[np.arange(len(mine)), near]
+        return cell, gap
+
+    return distances, best, matrix, place
 
 
 def _distinct_vectors(df: DataFrame, k: int) -> DataFrame:
@@ -78,57 +90,89 @@ def _distinct_vectors(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("__copy", F.row_number().over(window)).where(F.col("__copy") <= k).drop("__copy")
 
 
-def _with_cell(train: DataFrame, pivots: np.ndarray) -> DataFrame:
-    distances, _, matrix = _kernels()
+def _pivots(distinct: DataFrame, rows: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tops, starts, pivots): about ``wanted`` training vectors below a hash threshold, ordered by top."""
+    share = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = distinct.where(share < wanted / rows).select("vector").distinct().collect()
+    drawn = drawn or distinct.select("vector").limit(1).collect()
+    points = np.array(sorted(tuple(r["vector"]) for r in drawn), dtype=float)
+    tops = points[np.random.default_rng(len(points)).permutation(len(points))[:int(np.ceil(len(points) ** 0.5))]]
+    distances = _kernels()[0]
+    owner = distances(points, tops).argmin(axis=1)
+    order = np.argsort(owner, kind="stable")
+    return tops, np.searchsorted(owner[order], np.arange(len(tops) + 1)), points[order]
+
+
+def _with_cell(df: DataFrame, grid: tuple) -> DataFrame:
+    _, _, matrix, place = _kernels()
 
     @F.pandas_udf("struct<cell:int,gap:double>")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
-        gaps = distances(matrix(vectors), pivots)
-        cell = gaps.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "gap": gaps[np.arange(len(cell)), cell]})
-
-    return train.withColumn("__near", nearest("vector")).select("*", "__near.cell", "__near.gap").drop("__near")
-
-
-def _summaries(cells: DataFrame, k: int) -> pd.DataFrame:
-    """Per cell: size, radius and the ``k`` smallest gaps; at most PIVOTS rows."""
-    window = Window.partitionBy("cell").orderBy("gap", "id")
-    # the rank limit runs per task first, so a crowded cell sends k rows per task
-    small = cells.select("cell", "gap", "id").withColumn("r", F.row_number().over(window)).where(F.col("r") <= k)
-    gaps = small.groupBy("cell").agg(F.sort_array(F.collect_list("gap")).alias("gaps"))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("gap").alias("radius"))
-    rows = sizes.join(gaps, "cell").orderBy("cell").collect()
-    return pd.DataFrame([r.asDict() for r in rows])
-
-
-def _visits(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, k: int) -> DataFrame:
-    """One row per query and cell that may hold one of its ``k`` nearest."""
-    distances, _, matrix = _kernels()
-    numbers = cells["cell"].to_numpy()
-    radius = cells["radius"].to_numpy()
-    own = pivots[numbers]
-    near_gaps = [np.array(g) for g in cells["gaps"]]
-    owner = np.concatenate([np.full(len(g), i) for i, g in enumerate(near_gaps)])
-    flat = np.concatenate(near_gaps)
+        cell, gap = place(matrix(vectors), *grid) if len(vectors) else ([], [])
+        return pd.DataFrame({"cell": np.array(cell, "int32"), "gap": np.array(gap, float)})
+
+    return df.withColumn("__near", nearest("vector")).select("*", "__near.cell", "__near.gap").drop("__near")
+
+
+def _summaries(cells: DataFrame) -> pd.DataFrame:
+    """Per cell: size and radius; one row per pivot."""
+    rows = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("gap").alias("radius")).collect()
+    return pd.DataFrame([r.asDict() for r in rows]).sort_values("cell", ignore_index=True)
+
+
+def _visits(asked: DataFrame, grid: tuple, summaries: pd.DataFrame, k: int) -> DataFrame:
+    """(query, vector, bound, cells): the cells but its own (``cell``) that may hold a neighbour of a query.
+
+    ``bound`` in ``asked`` is the distance of the k-th neighbour so far, infinite if there are fewer.
+    """
+    distances, _, matrix, _ = _kernels()
+    tops, starts, pivots = grid
+    size, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+    size[summaries["cell"]], radius[summaries["cell"]] = summaries["size"], summaries["radius"]
+    owner = np.repeat(np.arange(len(tops)), np.diff(starts))
+    reach = np.sqrt(((pivots - tops[owner]) ** 2).sum(axis=1)) + radius
+    top_size, top_radius = np.add.reduceat(size, starts[:-1]), np.maximum.reduceat(reach, starts[:-1])
+    rows_at_once = max(1, 2_000_000 // len(pivots))
+
+    def first_bound(to_top):
+        """A radius that surely holds ``k`` rows: whole tops, the nearest ends first."""
+        far = to_top + top_radius[None, :]
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(top_size[order], axis=1) >= k
+        at = enough.argmax(axis=1)
+        found = np.take_along_axis(far, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0]
+        return np.where(enough.any(axis=1), found, np.inf)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            to_pivot = distances(matrix(batch["vector"]), own)
-            reach = to_pivot[:, owner] + flat[None, :]
-            at = min(k, reach.shape[1]) - 1
-            bound = np.partition(reach, at, axis=1)[:, at] if reach.shape[1] >= k else np.full(len(batch), np.inf)
-            # a hair of slack keeps rounding from excluding a neighbour on the boundary
-            keep = to_pivot - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
-            row, col = np.nonzero(keep)
-            yield pd.DataFrame({
-                "query": batch["query"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row],
-                "cell": numbers[col].astype("int32"),
-            })
-
-    kind = queries.schema["query"].dataType.simpleString()
-    return queries.mapInPandas(visit, f"query {kind}, vector array<double>, cell int")
+            for start in range(0, len(batch), rows_at_once):
+                part = batch.iloc[start:start + rows_at_once]
+                points, own = matrix(part["vector"]), part["cell"].to_numpy()
+                to_top = distances(points, tops)
+                bound = part["bound"].to_numpy(dtype=float)
+                bound = np.where(np.isinf(bound), first_bound(to_top), bound)
+                # a hair of slack keeps rounding from excluding a neighbour on the boundary
+                bound = bound * (1 + 1e-9) + 1e-9
+                near = to_top - top_radius[None, :] <= bound[:, None]
+                row, cell = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for t in np.flatnonzero(near.any(axis=0)):
+                    mine, under = np.flatnonzero(near[:, t]), slice(starts[t], starts[t + 1])
+                    least = distances(points[mine], pivots[under]) - radius[None, under]
+                    r, c = np.nonzero(least <= bound[mine][:, None])
+                    row.append(mine[r])
+                    cell.append(starts[t] + c)
+                row, cell = np.concatenate(row), np.concatenate(cell)
+                other = cell != own[row]
+                row, cell = row[other], cell[other]
+                order = np.argsort(row, kind="stable")
+                has, at = np.unique(row[order], return_index=True)
+                yield pd.DataFrame({
+                    "query": part["query"].to_numpy()[has], "vector": part["vector"].to_numpy()[has], "bound": bound[has],
+                    "cells": pd.Series(np.split(cell[order].astype("int32"), at[1:]) if len(has) else [], dtype=object),
+                })
+
+    kind = asked.schema["query"].dataType.simpleString()
+    return asked.mapInPandas(visit, f"query {kind}, vector array<double>, bound double, cells array<int>")
 
 
 def _result_type(asked: DataFrame, train: DataFrame) -> str:
@@ -138,7 +182,7 @@ def _result_type(asked: DataFrame, train: DataFrame) -> str:
 
 def _small_join(asked: DataFrame, train: DataFrame, rows: list, k: int) -> DataFrame:
     """(query, id, label, distance) against a training set whose size was checked: no shuffle."""
-    _, best, matrix = _kernels()
+    _, best, matrix, _ = _kernels()
     known = pd.DataFrame([r.asDict() for r in sorted(rows, key=lambda r: r["id"])])
     ids, labels, points = known["id"].to_numpy(), known["label"].to_numpy(), matrix(known["vector"])
 
@@ -151,7 +195,7 @@ def _small_join(asked: DataFrame, train: DataFrame, rows: list, k: int) -> DataF
 
 
 def _block_join(visits: DataFrame, cells: DataFrame, summaries: pd.DataFrame, k: int) -> DataFrame:
-    """(query, id, label, distance): the best ``k`` per query and block of training rows.
+    """(query, id, label, distance): the best ``k`` within ``bound`` per query and block of training rows.
 
     Both sides of a cell are cut into blocks by hash and every pair of blocks of the
     cell is one group: bounded memory, and a crowded cell becomes many tasks.
@@ -162,7 +206,7 @@ def _block_join(visits: DataFrame, cells: DataFrame, summaries: pd.DataFrame, k:
     blocks = sizes.join(asked, "cell").select(
         "cell", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("tb"),
         F.ceil(F.col("asked") / BLOCK_ROWS).cast("int").alias("qb"),
-    ).collect()                                    # at most PIVOTS rows
+    ).collect()                                    # one row per pivot
     table = F.broadcast(spark.createDataFrame(blocks, "cell int, tb int, qb int"))
 
     def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
@@ -170,26 +214,28 @@ def _block_join(visits: DataFrame, cells: DataFrame, summaries: pd.DataFrame, k:
         placed = df.join(table, "cell").withColumn(own + "_no", F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
         return placed.withColumn(other + "_no", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    left = spread(visits, "query", "qb", "tb").select("cell", "tb_no", "qb_no", "query", "vector")
+    left = spread(visits, "query", "qb", "tb").select("cell", "tb_no", "qb_no", "query", "vector", "bound")
     right = spread(cells, "id", "tb", "qb").select("cell", "tb_no", "qb_no", "id", "label", "vector")
 
-    _, best, matrix = _kernels()
+    _, best, matrix, _ = _kernels()
 
     def search(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:
             return pd.DataFrame({"query": [], "id": [], "label": [], "distance": []})
         known = known.sort_values("id", kind="stable")
-        return best(
+        found = best(
             asked["query"].to_numpy(), matrix(asked["vector"]), known["id"].to_numpy(), known["label"].to_numpy(),
             matrix(known["vector"]), k,
         )
+        limit = asked.set_index("query")["bound"]
+        return found[found["distance"].to_numpy() <= limit.loc[found["query"]].to_numpy()]
 
     keys = ["cell", "tb_no", "qb_no"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, _result_type(visits, cells))
 
 
 def nearest_neighbors(
-    queries: DataFrame, train: DataFrame, k: int = 5, pivots: int = PIVOTS, exclude_self: bool = False,
+    queries: DataFrame, train: DataFrame, k: int = 5, pivots: int | None = None, exclude_self: bool = False,
     small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """(id, rank, neighbor_id, label, distance): the ``k`` nearest training rows of each query, exactly.
@@ -199,7 +245,7 @@ def nearest_neighbors(
     with the query's id.
     """
     wanted = k + 1 if exclude_self else k
-    distinct = _distinct_vectors(train.select("id", "label", "vector"), wanted)
+    distinct = cut_lineage(_distinct_vectors(train.select("id", "label", "vector"), wanted))
     keyed = queries.select("id", "vector")
     answers = _answers(keyed.groupBy("vector").agg(F.min("id").alias("query")), distinct, wanted, pivots, small_rows)
     joined = keyed.join(answers, "vector").drop("vector")
@@ -212,31 +258,47 @@ def nearest_neighbors(
 
 
 def _answers(
-    asked: DataFrame, distinct: DataFrame, k: int, pivots: int = PIVOTS, small_rows: int = SMALL_ROWS
+    asked: DataFrame, distinct: DataFrame, k: int, pivots: int | None = None, small_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """(vector, rank, neighbor_id, label, distance) for distinct query vectors with a unique ``query`` id."""
-    drawn = _sample(distinct, max(small_rows + 1, pivots))
-    if not drawn:
+    """(vector, rank, neighbor_id, label, distance) for distinct query vectors with a unique ``query`` id.
+
+    ``distinct`` is a written table (:func:`_distinct_vectors`), since it is read several times.
+    """
+    known = distinct.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width")).first()
+    if not known["rows"]:
         raise ValueError("no training rows to search")
     # the search is heavy per row: spread the queries over all tasks whatever their size in bytes
-    ordered = asked.select("query", "vector").repartition(slice_count(asked), "query")
-    if len(drawn) <= small_rows and len(drawn) * len(drawn[0]["vector"]) <= SMALL_NUMBERS:
-        near = _small_join(ordered, distinct, drawn, k)
+    spread = asked.select("query", "vector").repartition(slice_count(asked), "query")
+    if known["rows"] <= small_rows and known["rows"] * known["width"] <= SMALL_NUMBERS:
+        near = _small_join(spread, distinct, distinct.collect(), k)
     else:
-        near = _cell_join(ordered, distinct, drawn, k, pivots)
-    window = Window.partitionBy("query").orderBy("distance", "id")
-    merged = near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+        most = max(1, PIVOT_NUMBERS // max(1, known["width"]))
+        wanted = pivots or min(most, max(FEWEST_PIVOTS, known["rows"] // CELL_ROWS))
+        near = _cell_join(spread, distinct, known["rows"], k, wanted)
+    merged = _best(near, k)
     merged = merged.select("query", F.col("id").alias("neighbor_id"), "label", "distance", "rank")
     return asked.join(merged, "query").drop("query")
 
 
-def _cell_join(asked: DataFrame, distinct: DataFrame, drawn: list, k: int, pivots: int) -> DataFrame:
-    """The pruned join. Cells and visits are written once, since each is read twice."""
-    points = np.array(sorted({tuple(r["vector"]) for r in drawn[:pivots]}), dtype=float)
-    cells = cut_lineage(_with_cell(distinct, points))
-    summaries = _summaries(cells, k)
-    visits = cut_lineage(_visits(asked, points, summaries, k))
-    return _block_join(visits, cells.select("cell", "id", "label", "vector"), summaries, k)
+def _best(near: DataFrame, k: int) -> DataFrame:
+    window = Window.partitionBy("query").orderBy("distance", "id")
+    return near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+def _cell_join(asked: DataFrame, distinct: DataFrame, rows: int, k: int, pivots: int) -> DataFrame:
+    """The pruned join: own cells for a bound, then only the cells inside it. What is read twice is written once."""
+    grid = _pivots(distinct, rows, pivots)
+    cells = cut_lineage(_with_cell(distinct, grid).select("cell", "gap", "id", "label", "vector"))
+    summaries = _summaries(cells)
+    cells = cells.drop("gap")
+    placed = cut_lineage(_with_cell(asked, grid).select("query", "vector", "cell"))
+    home = placed.withColumn("bound", F.lit(float("inf")))
+    first = cut_lineage(_best(_block_join(home, cells, summaries, k), k).drop("rank"))
+    bounds = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+    bounded = placed.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    # a query's vector is kept once, beside the numbers of its cells
+    visits = cut_lineage(_visits(bounded, grid, summaries, k)).select("query", "vector", "bound", F.explode("cells").alias("cell"))
+    return first.unionByName(_block_join(visits, cells, summaries, k))
 
 
 def knn_regress(queries: DataFrame, train: DataFrame, k: int = 5, **how) -> DataFrame:

@@ -161,15 +161,17 @@ SPENDING = """spending AS (
   FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3)"""
 
 
-@query("knn_regress", f"""
+NEAR_CUSTOMERS = f"""
 WITH {SPENDING},
 near AS (SELECT s.s_suppkey AS id, t.label,
                 row_number() OVER (PARTITION BY s.s_suppkey ORDER BY (s.s_acctbal - t.a) * (s.s_acctbal - t.a)
                                    + (s.s_nationkey - t.b) * (s.s_nationkey - t.b), t.id) AS place
          FROM supplier s, spending t)
-SELECT id, round(avg(label), 4) AS prediction FROM near WHERE place <= 5 GROUP BY id""")
-def knn_regress(spark, sf):
-    """How many orders to expect from a supplier's five most similar customers."""
+SELECT id, round(avg(label), 4) AS prediction FROM near WHERE place <= 5 GROUP BY id"""
+
+
+def near_customers(spark, sf):
+    """Customers with their number of orders, suppliers to ask about."""
     customer, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
     known = customer.join(orders.select("o_custkey", "o_orderkey"), customer.c_custkey == orders.o_custkey, "left")
     known = known.groupBy(F.col("c_custkey").alias("id"), "c_acctbal", "c_nationkey").agg(F.count("o_orderkey").alias("label"))
@@ -177,23 +179,49 @@ def knn_regress(spark, sf):
     asked = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("id"), F.array("s_acctbal", F.col("s_nationkey").cast("double")).alias("vector")
     )
-    return M.knn_regress(asked, train).withColumn("prediction", F.round("prediction", 4))
+    return asked, train
+
+
+@query("knn_regress", NEAR_CUSTOMERS)
+def knn_regress(spark, sf):
+    """How many orders to expect from a supplier's five most similar customers."""
+    return M.knn_regress(*near_customers(spark, sf)).withColumn("prediction", F.round("prediction", 4))
+
+
+@query("knn_regress_cells", NEAR_CUSTOMERS)
+def knn_regress_cells(spark, sf):
+    """The same by the pruned join, as training sets beyond SMALL_ROWS take it."""
+    return M.knn_regress(*near_customers(spark, sf), small_rows=0).withColumn("prediction", F.round("prediction", 4))
 
 
-@query("knn_classify", """
+LIKE_VECTORS = """
 WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 near AS (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id) AS place
          FROM v a JOIN v b ON a.id <> b.id),
 votes AS (SELECT id, label, count(*) AS n FROM near WHERE place <= 5 GROUP BY id, label)
-SELECT id, label AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1""")
-def knn_classify(spark, sf):
-    """Each embedding labelled by its five nearest others."""
-    vectors = table(spark, sf, "embeddings").select(
+SELECT id, label AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1"""
+
+
+def labelled_vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vector")
     )
+
+
+@query("knn_classify", LIKE_VECTORS)
+def knn_classify(spark, sf):
+    """Each embedding labelled by its five nearest others."""
+    vectors = labelled_vectors(spark, sf)
     return M.knn_classify(vectors, vectors, exclude_self=True)
 
 
+@query("knn_classify_cells", LIKE_VECTORS)
+def knn_classify_cells(spark, sf):
+    """The same by the pruned join."""
+    vectors = labelled_vectors(spark, sf)
+    return M.knn_classify(vectors, vectors, exclude_self=True, small_rows=0)
+
+
 # -- metrics -----------------------------------------------------------------------
 
 SCORED = """scored AS (

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.modeling import neighbors
 from tablewright.modeling.neighbors import knn_classify, knn_regress, nearest_neighbors
@@ -59,13 +60,46 @@ def test_exclude_self(spark, points, frames, small_rows):
 
 def test_pruning_skips_far_cells(frames):
     queries, _, train = frames
-    distinct = neighbors._distinct_vectors(train, 5)
-    drawn = neighbors._sample(distinct, 12)
-    pivots = np.array(sorted({tuple(r["vector"]) for r in drawn}), dtype=float)
-    cells = neighbors._with_cell(distinct, pivots)
-    summaries = neighbors._summaries(cells, 5)
-    visits = neighbors._visits(queries.withColumnRenamed("id", "query").select("query", "vector"), pivots, summaries, 5)
-    assert visits.count() < queries.count() * len(summaries)
+    distinct = neighbors._distinct_vectors(train, 5).cache()
+    grid = neighbors._pivots(distinct, distinct.count(), 40)
+    cells = neighbors._with_cell(distinct, grid)
+    summaries = neighbors._summaries(cells)
+    assert summaries["size"].sum() == distinct.count()
+    asked = neighbors._with_cell(queries.withColumnRenamed("id", "query"), grid).withColumn("bound", F.lit(2.0))
+    visited = neighbors._visits(asked, grid, summaries, 5).select(F.size("cells").alias("n")).collect()
+    assert sum(r["n"] for r in visited) < len(summaries) * queries.count() / 2
+
+
+def test_two_levels_place_every_pivot_in_its_own_cell(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 4)))]
+    distinct = spark.createDataFrame(rows, "id bigint, label int, vector array<double>")
+    tops, starts, pivots = neighbors._pivots(distinct, 400, 100)
+    assert starts[0] == 0 and starts[-1] == len(pivots) and (np.diff(starts) > 0).all()
+    cell, gap = neighbors._kernels()[3](pivots, tops, starts, pivots)
+    assert (cell == np.arange(len(pivots))).all() and (gap == 0).all()
+
+
+def test_large_route_has_no_top_k_merge_and_no_vector_window(spark, frames):
+    """The training vectors are sampled by a filter; the best of a query are found by its id."""
+    queries, _, train = frames
+    plan = nearest_neighbors(queries, train, 5, pivots=12, small_rows=0)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
+@pytest.mark.parametrize("width, spread", [(1, 1.0), (8, 1.0), (2, 0.0)])
+def test_exact_over_widths_and_ties(spark, width, spread):
+    """Grid points with many equal distances; one table is a single vector."""
+    rng = np.random.default_rng(width)
+    train = [(i, i % 3, [float(round(x)) * spread for x in v]) for i, v in enumerate(rng.normal(size=(150, width)) * 3)]
+    asked = [(i, [float(round(x)) for x in v]) for i, v in enumerate(rng.normal(size=(40, width)) * 3)]
+    got = nearest_neighbors(
+        spark.createDataFrame(asked, "id bigint, vector array<double>"),
+        spark.createDataFrame(train, "id bigint, label int, vector array<double>"), 4, pivots=10, small_rows=0).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["id"], []).append(r["neighbor_id"])
+    assert found == brute(asked, train, 4)
 
 
 def test_fewer_training_rows_than_neighbours(spark):
