@@ -296,8 +296,8 @@ def _edges(texts: DataFrame, marks: DataFrame) -> DataFrame:
 def repeats(stored: DataFrame) -> DataFrame:
     """Texts with repeated passages: (rid, text, spans), spans as an array of (low, high) byte
     ranges that may overlap. ``stored`` has rid, unique and stable, and text."""
-    every = arrow_map(stored.select("rid", "text").where(F.octet_length("text") >= LENGTH), _anchor_rows,
-                      "rid long, spot long, name long")
+    every = cut_lineage(arrow_map(stored.select("rid", "text").where(F.octet_length("text") >= LENGTH), _anchor_rows,
+                                  "rid long, spot long, name long"))
     first = cut_lineage(_repeated(every))
     candidates = cut_lineage(whole_groups(first, "rid", ["spot"], _neighbours, RUNS))
     kept = runs = cut_lineage(_repeated(candidates))
