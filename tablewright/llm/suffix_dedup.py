@@ -220,10 +220,13 @@ def _block_hashes(width: int, batch) -> dict:
     (``outer``, null where the block overhangs the text) and that all of them share (``core``).
     ``first`` marks one row of those that begin at the same place."""
     out = {c: [] for c in ("rid", "name", "at", "off", "open", "outer", "core", "first")}
-    for rid, text, asked in zip(batch["rid"].to_pylist(), batch["text"].to_pylist(), batch["asked"].to_pylist()):
-        data = np.frombuffer(text.encode(), np.uint8)
-        at, off = (np.array([r[c] for r in asked], np.int64) for c in ("at", "off"))
-        name, is_open = np.array([r["name"] for r in asked], np.int64), np.array([r["open"] for r in asked], bool)
+    # the questions of all texts stay in flat arrays
+    bounds, flat = batch["asked"].offsets.to_numpy(), batch["asked"].flatten()
+    asked = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "off", "name", "open")]
+    bounds = bounds - bounds[0]
+    for i, rid in enumerate(batch["rid"].to_pylist()):
+        data = np.frombuffer(batch["text"][i].as_py().encode(), np.uint8)
+        at, off, name, is_open = (v[bounds[i]: bounds[i + 1]] for v in asked)
         x = at + off
         for start, piece in _pieces(data):
             mine = np.flatnonzero((x + width > 0) & (x + LENGTH <= len(data)) & (np.maximum(x, 0) >= start)
