@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, functions as F
 from tablewright.modeling.kernel import KernelClassifier
 from tablewright.modeling.neighbors import _answers, _distinct_vectors
 from tablewright.modeling.random_trees import ExtraTrees, RandomCuts, importances
+from tablewright.modeling.softmax_trees import SoftmaxBoosting
 from tablewright.session import cut_lineage
 
 # The normal-equation solver reads the data once; it holds a square of the width.
 NORMAL_WIDTH = 4_096
+# The softmax booster keeps a bin of every feature beside a row.
+BOOSTED_WIDTH = 4_096
 
 
 @dataclasses.dataclass
@@ -135,8 +138,11 @@ def logistic_regression(s: Settings, f: TrainingFacts) -> LogisticRegression:
 
 
 def _boosted_classifier(s: Settings, f: TrainingFacts):
+    """Two classes by Spark's booster; several by one softmax loss, one against the rest where a bin per feature is too wide."""
     boosted = GBTClassifier(maxIter=s.rounds, stepSize=0.1, maxDepth=s.boost_depth, seed=s.seed)
-    return boosted if f.classes <= 2 else OneVsRest(classifier=boosted)
+    if f.classes <= 2:
+        return boosted
+    return SoftmaxBoosting(f.classes, s.rounds, 0.1, s.boost_depth) if f.width <= BOOSTED_WIDTH else OneVsRest(classifier=boosted)
 
 
 def _linear_svc(s: Settings, f: TrainingFacts):

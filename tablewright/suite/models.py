@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from tablewright.modeling.candidates import (
     Settings, TrainingFacts, lasso_regression, linear_regression, ridge_regression,
 )
 from tablewright.modeling.random_trees import ExtraTrees
+from tablewright.modeling.softmax_trees import SoftmaxBoosting
 from tablewright.session import cut_lineage, scratch_path
 from tablewright.streaming import predict_stream, through_stream
 from tablewright.suite.registry import (
@@ -503,6 +504,31 @@ def stream_predict(spark, sf):
     return done.withColumn("prediction", F.round("prediction", 2))
 
 
+# One round, depth one, one yes/no feature: the Newton step of a side has a closed form.
+@query("softmax_round", """
+WITH cells AS (SELECT l_linestatus, l_returnflag, count(*) AS c FROM lineitem GROUP BY ALL),
+sides AS (SELECT l_linestatus, sum(c) AS n FROM cells GROUP BY ALL),
+classes AS (SELECT l_returnflag, sum(c) / (SELECT count(*) FROM lineitem) AS p FROM cells GROUP BY ALL),
+scores AS (
+  SELECT l_linestatus, l_returnflag,
+         ln(p) + 0.1 * ((SELECT count(*) FROM classes) - 1) / (SELECT count(*) FROM classes)
+                     * (coalesce(c, 0) / n - p) / (p * (1 - p)) AS score
+  FROM sides CROSS JOIN classes LEFT JOIN cells USING (l_linestatus, l_returnflag))
+SELECT l_linestatus, l_returnflag, round(exp(score) / sum(exp(score)) OVER (PARTITION BY l_linestatus), 6) AS share
+FROM scores""")
+def softmax_round(spark, sf):
+    """Shares of the return flags after one boosting round on the line status."""
+    lines = table(spark, sf, "lineitem").select("l_linestatus", "l_returnflag")
+    flags = sorted(r[0] for r in lines.select("l_returnflag").distinct().collect())  # three flags
+    place = F.array_position(F.array(*map(F.lit, flags)), F.col("l_returnflag")) - 1
+    shown = lines.select(
+        "l_linestatus", place.cast("double").alias("label"),
+        array_to_vector(F.array((F.col("l_linestatus") == "O").cast("double"))).alias("features"))
+    scored = SoftmaxBoosting(len(flags), rounds=1, depth=1).fit(shown).transform(shown.dropDuplicates(["l_linestatus"]))
+    return scored.select("l_linestatus", F.posexplode("probability").alias("at", "share")).select(
+        "l_linestatus", F.get(F.array(*map(F.lit, flags)), F.col("at")).alias("l_returnflag"), F.round("share", 6).alias("share"))
+
+
 # -- single candidates, each fitted and scored on its holdout ------------------------
 
 

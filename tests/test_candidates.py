@@ -1,4 +1,4 @@
-"""Extremely randomised trees and the kernel machine."""
+"""Extremely randomised trees, the kernel machine and the booster of several classes."""
 
 import math
 import random
@@ -15,6 +15,7 @@ from tablewright.modeling import kernel
 from tablewright.modeling.candidates import Settings, coefficients
 from tablewright.modeling.kernel import FourierFeatures, KernelClassifier
 from tablewright.modeling.random_trees import ExtraTrees, RandomCuts
+from tablewright.modeling.softmax_trees import SoftmaxBoosting, SoftmaxModel
 
 QUICK = Settings(trees=10, rounds=2, forest_depth=8, margin_iterations=20)
 
@@ -100,3 +101,51 @@ def test_saved_and_loaded(spark, ring, tmp_path, name):
     back = M.TrainedModel.load(spark, str(tmp_path / "m"))
     assert {r["id"]: tuple(r) for r in back.predict(df).select(columns).collect()} == before
     assert (back.feature_importance(spark) is None) == (name == "Kernel SVC")
+
+
+def plain_softmax_round(rows, classes, step=0.1):
+    """Shares after one round of depth one on one yes/no feature, row by row."""
+    first = [np.log(sum(y == k for _, y in rows) / len(rows)) for k in range(classes)]
+    shares = np.exp(first)
+    scores = {x: np.array(first) for x, _ in rows}
+    for x in scores:
+        for k in range(classes):
+            r = np.array([(y == k) - shares[k] for v, y in rows if v == x])
+            scores[x][k] += step * (classes - 1) / classes * r.sum() / (abs(r) * (1 - abs(r))).sum()
+    return {x: np.exp(s) / np.exp(s).sum() for x, s in scores.items()}
+
+
+def test_softmax_round_is_the_closed_form(spark):
+    rows = [(float(i % 2), (i // 2 % 3) if i % 2 else (i % 5 > 2) * 2) for i in range(90)]
+    df = spark.createDataFrame([(x, float(y)) for x, y in rows], "x double, label double")
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    model = SoftmaxBoosting(3, rounds=1, depth=1).fit(df)
+    wanted = plain_softmax_round(rows, 3)
+    for r in model.transform(df).select("x", "probability", "prediction").distinct().collect():
+        assert np.allclose(r["probability"], wanted[r["x"]])
+        assert r["prediction"] == np.argmax(wanted[r["x"]])
+    assert model.featureImportances.toArray().tolist() == [1.0]
+
+
+def test_softmax_trees_learn_corners_and_survive_saving(spark, tmp_path):
+    """Four corners of a square, two of them one class: no single cut tells them apart. More rounds than
+    are kept unwritten."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float([[0, 1], [2, 0]][int(a > 0)][int(b > 0)])) for a, b in rng.uniform(-1, 1, (400, 2))]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, label double"))
+    model = SoftmaxBoosting(3, rounds=12, step=0.5, depth=2).fit(df)
+    scored = model.transform(df).cache()
+    assert scored.where("label = prediction").count() > 380
+    assert scored.where("abs(aggregate(probability, 0D, (a, x) -> a + x) - 1) > 1e-9").count() == 0
+    model.save(str(tmp_path / "model"))
+    again = SoftmaxModel.load(str(tmp_path / "model")).transform(df)
+    assert again.select("probability").exceptAll(scored.select("probability")).count() == 0
+
+
+def test_softmax_of_constant_features_gives_the_class_shares(spark):
+    df = spark.createDataFrame([(1.0, float(y)) for y in (0, 0, 1, 2)], "x double, label double")
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    got = SoftmaxBoosting(3, rounds=1, depth=2).fit(df).transform(df).first()["probability"]
+    assert np.allclose(got, [0.5, 0.25, 0.25])
+    with pytest.raises(ValueError):
+        SoftmaxBoosting(3, rounds=1).fit(df.limit(0))
