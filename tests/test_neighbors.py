@@ -80,8 +80,8 @@ def test_two_levels_place_every_pivot_in_its_own_cell(spark):
     assert (cell == np.arange(len(pivots))).all() and (gap == 0).all()
 
 
-def test_large_route_has_no_top_k_merge_and_no_vector_window(spark, frames):
-    """The training vectors are sampled by a filter; the best of a query are found by its id."""
+def test_large_route_ends_without_a_top_k_merge(spark, frames):
+    """The plan after the last written table; earlier ones are not in it."""
     queries, _, train = frames
     plan = nearest_neighbors(queries, train, 5, pivots=12, small_rows=0)._jdf.queryExecution().toString()
     assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
