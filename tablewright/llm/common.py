@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.session import cut_lineage
@@ -15,14 +16,18 @@ from tablewright.session import cut_lineage
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema) -> DataFrame:
-    """``mapInArrow`` with a function from a batch to a dict of output columns."""
+def arrow_map(
+    df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema, most: int | None = None
+) -> DataFrame:
+    """``mapInArrow`` with a function from a batch to a dict of output columns.
+
+    With ``most``, batches are cut between rows into parts of about so many bytes of ``text``."""
     kind = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     names = kind.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = arrow_schema(kind)
-        for batch in batches:
+        for batch in batches if most is None else (p for b in batches for p in parts_of(b, most)):
             out = step(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([_column(out[n], arrow.field(n).type) for n in names], schema=arrow)
@@ -30,6 +35,15 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, kind)
 
 
+def parts_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at least one row and, but for a longer last row, ``most`` bytes of ``text``."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges, edges[1:]):
+        yield batch.slice(low, high - low)
+
+
 def _column(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)
