@@ -7,13 +7,15 @@ attention pools the states into one vector and a logistic unit scores it. A docu
 its overlapping windows, one from every word on, and its logit is the highest of them. Training reads
 the same windows of each sampled document on every visit.
 
-The network is written and trained here in numpy, on the driver, from at most ``SAMPLE``
-labelled documents of either class: the ones with the smallest hash of their id, so the
-model does not depend on the partitioning. The logits are then scaled by logistic regression on
+The network is written and trained here in numpy, by one Spark task, from at most ``SAMPLE``
+labelled documents of either class with at most ``SAMPLE_BYTES`` of text (but one at least): the ones
+with the smallest hash of their id, so the model does not depend on the partitioning; of several texts
+under one id the smallest is read. Only the parameters reach the driver. The logits are then scaled by logistic regression on
 the same documents at their true class shares. Scoring reads every word of every text.
 
 Defined cases: a null or empty text is one empty window and gets its score; equal rows are scored
-each; unlabelled rows and null labels never train; without labelled rows of both
+each; a text of any length is read whole, many short ones at a time; unlabelled rows and null labels
+never train; without labelled rows of both
 classes every score is the share of toxic labels (0 if there is none); an empty table gives
 no rows; other columns are never inputs.
 """
@@ -22,20 +24,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
+from pickle import dumps, loads
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.llm.common import arrow_map, texts_of
 from tablewright.llm.registry import query, table
+from tablewright.session import cut_lineage
 
 WINDOW = 32
 BUCKETS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 1 << 13, 8, 8, 8, 8
-SAMPLE = 3_000
+SAMPLE, SAMPLE_BYTES = 3_000, 1 << 25
 # Documents shown in training, at least EPOCHS times each.
 VISITS, EPOCHS, BATCH, RATE = 12_000, 4, 64, 0.01
 # Windows run side by side, and threads that run them in training.
 SIDE, THREADS = 2_048, 4
+# Bytes of text scored at a time.
+HELD = 1 << 20
 WORD_MEMORY = 200_000
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
@@ -337,7 +344,10 @@ def _scaling(logits: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
     return float(max(b[0], 1e-3)), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Network | float:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, most: int = SAMPLE_BYTES,
+    visits: int = VISITS,
+) -> Network | float:
     """The network trained on the labelled rows outside fold 0, or the share of toxic labels
     if only one class is labelled."""
     key = F.col("doc_id").cast("long")
@@ -349,14 +359,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
         return share
     mixed = F.xxhash64(F.lit(6), "doc_id")
     drawn = [usable.where(F.col("toxic") == c).orderBy(mixed, "doc_id").limit(sample) for c in (0, 1)]
-    # At most two samples of ids go to the tasks, and as many texts come back.
-    rows = docs.select(key.alias("doc_id"), "text").join(
-        F.broadcast(drawn[0].union(drawn[1]).distinct()), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
-    toxic = np.array([r["toxic"] for r in rows], np.float32)
-    if not 0 < toxic.sum() < len(rows):
-        return share
-    return train([r["text"] or "" for r in rows], toxic, share)
+    # At most two samples of ids go to the tasks, and as many texts to the shared folder.
+    texts = cut_lineage(
+        docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(drawn[0].union(drawn[1]).distinct()), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("mixed", mixed))
+    sizes = texts.select("toxic", "mixed", "doc_id", F.octet_length("text").alias("size")).collect()
+    taken = []
+    for c in (0, 1):
+        mine = sorted((r["mixed"], r["doc_id"], r["size"]) for r in sizes if r["toxic"] == c)
+        if not mine:
+            return share
+        inside = max(1, int(np.searchsorted(np.cumsum([r[2] for r in mine]), most, "right")))
+        taken.append((F.col("toxic") == c) & (F.col("mixed") <= mine[inside - 1][0]))
+
+    def learn(batches):
+        rows = [r for batch in batches for r in zip(*(batch[n].to_pylist() for n in ("doc_id", "text", "toxic")))]
+        rows.sort()
+        net = train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32), share, visits)
+        yield pa.RecordBatch.from_arrays([pa.array([dumps(net)], pa.binary())], ["network"])
+
+    chosen = texts.where(taken[0] | taken[1]).select("doc_id", "text", "toxic")
+    return loads(chosen.coalesce(1).mapInArrow(learn, "network binary").collect()[0]["network"])
 
 
 # -- scoring ----------------------------------------------------------------------------------
@@ -406,17 +430,15 @@ def score(docs: DataFrame, model: Network | float, column: str = "score") -> Dat
             return out
         if not made:
             made.append(Scorer(model))
-        # A few hundred documents at a time keep the windows of long texts in bounds.
-        out[column] = np.concatenate([
-            made[0].scores(texts[at: at + 200]) for at in range(0, len(texts), 200)]) if texts else np.empty(0)
+        out[column] = made[0].scores(texts) if texts else np.empty(0)
         return out
 
-    return arrow_map(docs, step, docs.withColumn(column, F.lit(0.0)).schema)
+    return arrow_map(docs, step, docs.withColumn(column, F.lit(0.0)).schema, HELD)
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.5, visits: int = VISITS) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, with their columns."""
-    return score(docs, fit(docs, labels), "__toxic").where(F.col("__toxic") < limit).drop("__toxic")
+    return score(docs, fit(docs, labels, visits=visits), "__toxic").where(F.col("__toxic") < limit).drop("__toxic")
 
 
 @query("op6_toxicity")

@@ -6,12 +6,14 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, difference, oracle_rows, spark_rows
 from odd_tables import ROWS, odd_documents
 from pyspark.sql import functions as F
 
 from tablewright.llm import context_mixing, quality_rules, toxicity, url_filters
+from tablewright.llm.common import parts_of
 from tablewright.llm.registry import ORACLES, QUERIES, table
 
 
@@ -99,6 +101,32 @@ def test_scores_do_not_depend_on_the_neighbours(monkeypatch):
     assert np.allclose(alone, together, rtol=1e-6)
 
 
+def test_long_texts_are_refined_to_their_end_in_bounded_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "the", "of"], 60_000))
+    mixer = small_mixer([text[:2_000]])
+    whole = mixer.scores([context_mixing.stream(text), b"x\x00"])
+    seen, block = [], context_mixing.Mixer._block
+
+    def noted(self, doc, *rest):
+        seen.append((len(doc), rest[-1] is not None))
+        block(self, doc, *rest)
+
+    monkeypatch.setattr(context_mixing.Mixer, "_block", noted)
+    monkeypatch.setattr(context_mixing, "CHUNK", 5_000)
+    assert np.allclose(mixer.scores([context_mixing.stream(text), b"x\x00"]), whole, rtol=1e-5)
+    assert max(n for n, _ in seen) == 5_000
+    assert sum(n for n, learns in seen if learns) > 131_072
+
+
+def test_batches_are_cut_by_bytes():
+    column = pa.array(["ab", None, "", "c" * 50, "d", "e" * 9])
+    parts = list(parts_of(pa.RecordBatch.from_arrays([column], ["text"]), 10))
+    assert [t for p in parts for t in p["text"].to_pylist()] == column.to_pylist()
+    assert len(parts) == 3 and all(p.num_rows for p in parts[:-1])
+    assert sum(p.num_rows for p in parts_of(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"]), 10)) == 0
+
+
 def test_code_is_a_prefix_code():
     code = context_mixing.Code(np.random.default_rng(1).integers(0, 50, (256, 256)))
     assert np.allclose((0.5 ** code.size.reshape(256, 256)).sum(1), 1)
@@ -200,12 +228,24 @@ def test_toxicity_on_unseen_labels(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_training_reads_a_sample_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 40 * (i % 7)) for i in range(1, 200)] + [(1, "other"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 200)], "doc_id long, toxic int")
+    written = []
+    monkeypatch.setattr(toxicity, "cut_lineage", lambda df: written.append(df) or df)
+    net = toxicity.fit(docs, labels, sample=50, most=3_000, visits=8)
+    assert isinstance(net, toxicity.Network) and written[0].count() == 100
+    assert all(np.isfinite(v).all() for v in net.p.values())
+    # one text of each class trains even if it alone exceeds the bound
+    assert isinstance(toxicity.fit(docs, labels, sample=50, most=0, visits=8), toxicity.Network)
+
+
 def test_toxicity_of_odd_documents(spark, odd, none):
     labels = spark.createDataFrame(
         [(1, 0), (1, 0), (2, 1), (None, 1), (3, None), (6, 0), (7, 1), (77, 1)], "doc_id long, toxic int")
     for docs in (odd, none):
         for given in (labels, labels.where("toxic = 1"), labels.where("false")):
-            done = toxicity.keep_civil(docs, given, limit=2.0)
+            done = toxicity.keep_civil(docs, given, limit=2.0, visits=8)
             assert done.schema == docs.schema and done.count() == docs.count()
     assert toxicity.fit(odd, labels.where("false")) == 0.0
 
