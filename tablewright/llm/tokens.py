@@ -3,7 +3,8 @@
 Byte-level and word BPE cut a text at white space before any merge, so a text's ids are
 those of its chunks in a row. Chunks repeat, so each task asks the library once per
 chunk it has not seen lately. A chunk of letters with trailing punctuation goes straight
-to the library's merge model; anything else through its full encoder.
+to the library's merge model; anything else through its full encoder. A text that may hold the string
+of a special token goes whole through the library, which gives that string its id.
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ class ChunkEncoder:
     """Encodes whole texts with a vocabulary file of the ``tokenizers`` library.
 
     ``keeps_space``: white space is part of the tokens (byte-level vocabularies); if
-    false the tokenizer lower-cases and drops it. Strings that look like special tokens
-    are ordinary text.
+    false the tokenizer lower-cases and drops it. Strings of special tokens become those tokens, as
+    the library has it with ``add_special_tokens=False``, which only adds none of its own.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -74,7 +75,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.marks = [t.content.casefold() for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.keeps_space = keeps_space
         self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
@@ -105,6 +106,10 @@ class ChunkEncoder:
         """The ids of ``text``, as the library gives them for the whole text."""
         if not text:
             return np.empty(0, self.dtype)
+        if any(mark[0] in text for mark in self.marks):
+            folded = text.casefold()
+            if any(mark in folded for mark in self.marks):
+                return np.frombuffer(self._odd(text), self.dtype)
         if not self.keeps_space:
             packed = self._odd(text) if has_other_space(text) else b"".join(
                 map(self.after_blank.__getitem__, text.split()))
