@@ -36,12 +36,15 @@ def arrow_map(
 
 
 def parts_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts of at least one row and, but for a longer last row, ``most`` bytes of ``text``."""
+    """``batch`` in parts of at least one row and about ``most`` bytes of ``text``, or one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    del sizes, part
     for low, high in zip(edges, edges[1:]):
-        yield batch.slice(low, high - low)
+        if low < high:
+            yield batch.slice(low, high - low)
+    pa.default_memory_pool().release_unused()
 
 
 def _column(values, kind: pa.DataType) -> pa.Array:
