@@ -1,8 +1,8 @@
 """Quality rules with thresholds that each language and source sets for itself.
 
 Every document is measured with SQL functions only. Its rates go into a mergeable quantile
-sketch per (lang, source): counts of fixed-width buckets, which add up in any order, so a
-repeated or retried task cannot move a threshold. The quartiles read from a sketch give the
+sketch per (lang, source): counts of buckets, of a fixed width below ``TOP`` and of 1/128 to 1/256 of the rate
+beyond it, which add up in any order, so a repeated or retried task cannot move a threshold. The quartiles read from a sketch give the
 fence ``q75 + max(3 * (q75 - q25), margin)``; a group with fewer than ``MIN_GROUP``
 documents uses the merged sketch of its language, then that of all. Documents are joined
 with their group's fences and filtered.
@@ -24,7 +24,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 200
 # Rate in thousandths -> (bucket width, least distance of the fence from the upper quartile).
 RATES = {"symbol_rate": (10, 100), "dup_line_rate": (10, 500), "word_length": (50, 4_000)}
-# Rates above this all fall into the last bucket, far beyond any fence that matters.
+# Buckets of rates from here on grow with the rate.
 TOP = 20_000
 SALTS = 16
 
@@ -69,7 +69,7 @@ def rates(prefix: str = "") -> dict[str, Column]:
     p = prefix
 
     def share(part: str, of: str) -> Column:
-        return F.least(F.expr(f"CASE WHEN {p}{of} > 0 THEN 1000 * {p}{part} DIV {p}{of} END"), F.lit(TOP))
+        return F.expr(f"CASE WHEN {p}{of} > 0 THEN 1000 * {p}{part} DIV {p}{of} END")
 
     return {
         "symbol_rate": share("n_symbols", "n_words"),
@@ -78,10 +78,16 @@ def rates(prefix: str = "") -> dict[str, Column]:
     }
 
 
+def bucket_width(value: Column, width: Column) -> Column:
+    """Width of the bucket that holds ``value``: beyond ``TOP`` a power of two that leaves eight binary digits."""
+    return F.when(value < TOP, width).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(value)) - 8))
+
+
 def sketches(measured: DataFrame, prefix: str = "") -> DataFrame:
-    """Bucket counts (lang, source, rate, bucket, n); map-side sums, so a hot source is cheap."""
+    """Bucket counts (lang, source, rate, bucket, n), a bucket named by its least value; map-side sums, so a
+    hot source is cheap."""
     each = F.array(*[
-        F.struct(F.lit(name).alias("rate"), F.floor(value / RATES[name][0]).cast("long").alias("bucket"))
+        F.struct(F.lit(name).alias("rate"), (value - value % bucket_width(value, F.lit(RATES[name][0]))).cast("long").alias("bucket"))
         for name, value in rates(prefix).items()
     ])
     return (
@@ -93,7 +99,7 @@ def sketches(measured: DataFrame, prefix: str = "") -> DataFrame:
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """Per group of ``keys`` and rate: n and the buckets of the lower and upper quartile."""
     merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "rate")  # at most TOP / width buckets each
+    group = Window.partitionBy(*keys, "rate")  # TOP / width buckets, and 128 for each doubling of TOP
     run = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     counted = merged.select(*keys, "rate", "bucket", run.alias("run"), F.sum("n").over(group).alias("total"))
     return counted.groupBy(*keys, "rate").agg(
@@ -122,8 +128,9 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
     width = F.create_map(*[F.lit(x) for name, (w, _) in RATES.items() for x in (name, w)])
     margin = F.create_map(*[F.lit(x) for name, (_, m) in RATES.items() for x in (name, m)])
-    fence = (chosen("q75") + 1) * width[F.col("rate")] + F.greatest(
-        3 * (chosen("q75") - chosen("q25")) * width[F.col("rate")], margin[F.col("rate")])
+    high = chosen("q75")
+    fence = high + bucket_width(high, width[F.col("rate")]) + F.greatest(
+        3 * (high - chosen("q25")), margin[F.col("rate")])
     return joined.groupBy("lang", "source").agg(*[
         F.max(F.when(F.col("rate") == name, fence)).alias(f"{name}_fence") for name in RATES])
 
@@ -173,10 +180,10 @@ m AS (SELECT d.doc_id, lang, source, len(words) AS n_words, length(array_to_stri
         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
       FROM d JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
 r AS (SELECT lang, source, unnest([
-        {'rate': 'symbol_rate', 'w': 10, 'v': least(1000 * n_symbols // n_words, 20000)},
-        {'rate': 'dup_line_rate', 'w': 10, 'v': least(1000 * n_dup_lines // n_lines, 20000)},
-        {'rate': 'word_length', 'w': 50, 'v': least(1000 * word_chars // n_words, 20000)}]) AS s FROM m WHERE n_words > 0),
-b AS (SELECT lang, source, s.rate AS rate, s.v // s.w AS bucket FROM r),
+        {'rate': 'symbol_rate', 'w': 10, 'v': 1000 * n_symbols // n_words},
+        {'rate': 'dup_line_rate', 'w': 10, 'v': 1000 * n_dup_lines // n_lines},
+        {'rate': 'word_length', 'w': 50, 'v': 1000 * word_chars // n_words}]) AS s FROM m WHERE n_words > 0),
+b AS (SELECT lang, source, s.rate AS rate, s.v - s.v % (CASE WHEN s.v < 20000 THEN s.w ELSE 1::BIGINT << (length(bin(s.v)) - 8) END) AS bucket FROM r),
 own AS (SELECT lang, source, rate, count(*) AS total, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75 FROM b GROUP BY ALL),
 par AS (SELECT lang, rate, count(*) AS total, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75 FROM b GROUP BY ALL),
 al AS (SELECT rate, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75 FROM b GROUP BY ALL),
@@ -188,7 +195,7 @@ q AS (SELECT own.lang, own.source, rate,
       FROM own JOIN par USING (lang, rate) JOIN al USING (rate)),
 f AS (SELECT lang, source, max(fence) FILTER (rate = 'symbol_rate') AS fs, max(fence) FILTER (rate = 'dup_line_rate') AS fd,
         max(fence) FILTER (rate = 'word_length') AS fw
-      FROM (SELECT *, (q75 + 1) * w + greatest(3 * (q75 - q25) * w, margin) AS fence FROM q) GROUP BY ALL),
+      FROM (SELECT *, q75 + CASE WHEN q75 < 20000 THEN w ELSE 1::BIGINT << (length(bin(q75)) - 8) END + greatest(3 * (q75 - q25), margin) AS fence FROM q) GROUP BY ALL),
 j AS (SELECT m.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, fs, fd, fw
       FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -198,6 +205,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 @query("op5_quality_rules", _SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
-    measured = cut_lineage(measure(table(spark, sf, "documents")).drop("text"))
+    measured = cut_lineage(measure(table(spark, sf, "documents").select("doc_id", "lang", "source", "text")).drop("text"))
     return judge(measured).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 from datetime import date
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -253,6 +254,20 @@ def test_toxicity_of_odd_documents(spark, odd, none):
 # -- quality rules ------------------------------------------------------------------------------------
 
 
+def test_rates_are_compared_uncapped(spark, tmp_path):
+    """Words of 20,000 characters are usual in this group; one text has words of 90,000."""
+    sizes = [(i, (20_000 if i else 90_000) + i) for i in range(12)]
+    spark.createDataFrame([(i, " ".join(["x" * n + str(k) for k in range(60)]), "zh", "a", "g", "l") for i, n in sizes],
+                          "doc_id long, text string, lang string, source string, g_lang string, g_source string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_quality_rules"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.sql("SELECT doc_id, kept FROM (" + ORACLES["op5_quality_rules"] + ") ORDER BY 1").fetchall()
+    assert [tuple(r) for r in got.select("doc_id", "kept").orderBy("doc_id").collect()] == wanted
+    assert [kept for _, kept in wanted] == [False] + [True] * 11
+
+
 def test_quality_of_odd_documents(spark, odd, none):
     kept = quality_rules.keep_good(odd)
     assert kept.schema == odd.schema
