@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright import modeling as M
 from tablewright.modeling import kernel
-from tablewright.modeling.candidates import Settings, coefficients
+from tablewright.modeling.candidates import Settings, TrainingFacts, coefficients, pool_of
 from tablewright.modeling.kernel import FourierFeatures, KernelClassifier
 from tablewright.modeling.random_trees import ExtraTrees, RandomCuts
 from tablewright.modeling.softmax_trees import SoftmaxBoosting, SoftmaxModel
@@ -149,3 +149,12 @@ def test_softmax_of_constant_features_gives_the_class_shares(spark):
     assert np.allclose(got, [0.5, 0.25, 0.25])
     with pytest.raises(ValueError):
         SoftmaxBoosting(3, rounds=1).fit(df.limit(0))
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_levels_of_forests_are_not_sent_the_trees(task):
+    """Each forest keeps the nodes of its rows; without that a level's tasks hold all trees grown so far."""
+    pool, facts = pool_of(task, others=True), TrainingFacts(100, 1.0, 2, 3)
+    for name in ("Random Forest", "Extra Trees", "Unbagged Forest"):
+        made = pool[name](Settings(), facts)
+        assert getattr(made, "forest", made).getCacheNodeIds(), name
