@@ -141,3 +141,25 @@ def test_undefined_precision_counts_as_zero(spark):
     found = M.classification_metrics(rows).first()
     assert found["accuracy"] == pytest.approx(1 / 3) and found["precision"] == pytest.approx(1 / 9)
     assert found["f1"] == pytest.approx(0.5 / 3)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_held_rows_are_dealt_to_partitions(spark, staff, monkeypatch, whole):
+    """A table from one row group, with rows that come twice, doesn't stay one task's."""
+    from tablewright.modeling import selection
+
+    seen, held = [], selection._held
+
+    def watched(*frames):
+        seen.extend(frames[0].groupBy(F.spark_partition_id()).count().collect())
+        return held(*frames)
+
+    monkeypatch.setattr(selection, "PART_ROWS", 100, raising=False)
+    monkeypatch.setattr(selection, "_held", watched)
+    rows = staff.union(staff.limit(60)).select("emp_id", "years", "level", "pay").coalesce(1)
+    problem = M.prepare_problem(rows, "pay", key=["emp_id"])
+    if whole:
+        M.compare_models(problem, folds=2, settings=QUICK, models=["Linear Regression"])
+    else:
+        M.fit_model(problem, "Linear Regression", QUICK)
+    assert max(r["count"] for r in seen) <= 110 and sum(r["count"] for r in seen[:3]) == 300
