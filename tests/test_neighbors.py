@@ -114,3 +114,55 @@ def test_vote_ties_go_to_the_smaller_class(spark):
     train = spark.createDataFrame([(1, 3, [0.0]), (2, 1, [2.0])], "id bigint, label int, vector array<double>")
     asked = spark.createDataFrame([(7, [1.0])], "id bigint, vector array<double>")
     assert knn_classify(asked, train, 2).first()["prediction"] == 1
+
+
+def test_a_query_visits_strips_and_not_their_cells(spark):
+    """In many dimensions nearly every cell is near; a query's vector goes once to the strip of many cells."""
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 24)))]
+    distinct = spark.createDataFrame(rows, "id bigint, label int, vector array<double>")
+    grid = neighbors._pivots(distinct, 600, 100)
+    cells = neighbors._with_cell(distinct, grid)
+    summaries = neighbors._summaries(cells)
+    strips = neighbors._strips(summaries, len(grid[2]), 200)
+    size = np.zeros(len(strips), int)
+    size[summaries["cell"]] = summaries["size"]
+    assert (np.diff(strips) >= 0).all() and strips[-1] < 6 and np.bincount(strips, size).max() <= 200
+    asked = distinct.withColumnRenamed("id", "query").drop("label")
+    asked = neighbors._with_cell(asked, grid).withColumn("bound", F.lit(5.0))
+    visited = neighbors._visits(asked, grid, summaries, 5, strips).select(F.explode("cells").alias("s"), "query").collect()
+    of_query = {r["query"]: strips[r["cell"]] for r in asked.select("query", "cell").collect()}
+    assert len(visited) == len({tuple(r) for r in visited}) > 600 and all(r["s"] != of_query[r["query"]] for r in visited)
+
+
+@pytest.mark.parametrize("shift, names", [(0.0, int), (1e6, "n{:04}".format)])
+def test_exact_where_pruning_helps_little(spark, monkeypatch, shift, names):
+    """Wide vectors near and far from zero, ids as numbers and as text; groups stay in the partitions they hash to."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 100)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = np.random.default_rng(7)
+    rows = [(names(i), i % 3, [float(x) for x in v]) for i, v in enumerate(np.round(rng.normal(size=(500, 12)), 1) + shift)]
+    train = spark.createDataFrame(rows, f"id {'bigint' if names is int else 'string'}, label int, vector array<double>")
+    try:
+        got = nearest_neighbors(train.drop("label"), train, 4, pivots=30, exclude_self=True, small_rows=0).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["id"], []).append(r["neighbor_id"])
+    assert found == brute([(i, v) for i, _, v in rows], rows, 4, exclude_self=True)
+
+
+def test_a_training_set_is_not_measured_pair_by_pair():
+    """Only what may be near is measured one by one, the rest goes by matrix products; numbers beyond squares are met too."""
+    *_, nearest = neighbors._kernels()
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(300, 6))
+    points[7], points[8, 0] = 1e200, np.inf
+    known = neighbors.pd.DataFrame({"id": np.arange(300), "label": 0, "cell": np.arange(300) % 4, "vector": list(points)})
+    asked = neighbors.pd.DataFrame({"query": np.arange(300), "own": -1, "bound": np.inf, "vector": list(points)})
+    with np.errstate(all="ignore"):
+        found = nearest(asked, known, 3).sort_values(["query", "distance", "id"]).groupby("query")["id"].apply(lambda s: list(s)[:3])
+    expected = brute(list(enumerate(points)), [(i, 0, v) for i, v in enumerate(points) if i not in (7, 8)], 3)
+    assert all(found[i] == expected[i] for i in range(300) if i not in (7, 8)) and found[7][0] == 7
