@@ -158,3 +158,17 @@ def test_levels_of_forests_are_not_sent_the_trees(task):
     for name in ("Random Forest", "Extra Trees", "Unbagged Forest"):
         made = pool[name](Settings(), facts)
         assert getattr(made, "forest", made).getCacheNodeIds(), name
+
+
+def test_the_kernel_machine_reads_its_rows_in_many_partitions(ring, monkeypatch):
+    """However few partitions the table has, one holds a bounded number of rows while it is lifted; predictions stay."""
+    whole = KernelClassifier(2, 20, 1e-4)
+    few, seen = ring.where("label < 2").coalesce(1), []
+    expected = whole.fit(few).transform(few).select("label", "prediction").collect()
+    lift = FourierFeatures._transform
+    monkeypatch.setattr(FourierFeatures, "_transform", lambda self, df: seen.append(df.rdd.getNumPartitions()) or lift(self, df))
+    monkeypatch.setattr(kernel, "LIFT_ROWS", 64)
+    dealt = whole.fit(few)
+    assert seen == [7]
+    agree = sum(a == b for a, b in zip(expected, dealt.transform(few).select("label", "prediction").collect()))
+    assert agree >= 0.98 * len(expected)
