@@ -166,3 +166,10 @@ def test_a_training_set_is_not_measured_pair_by_pair():
         found = nearest(asked, known, 3).sort_values(["query", "distance", "id"]).groupby("query")["id"].apply(lambda s: list(s)[:3])
     expected = brute(list(enumerate(points)), [(i, 0, v) for i, v in enumerate(points) if i not in (7, 8)], 3)
     assert all(found[i] == expected[i] for i in range(300) if i not in (7, 8)) and found[7][0] == 7
+
+
+def test_missing_numbers_are_no_neighbours_while_there_are_others(spark):
+    train = [(1, 1, [0.0, None]), (2, 2, [1.0, 1.0]), (3, 3, [None, 2.0]), (4, 4, [5.0, 5.0])]
+    asked = spark.createDataFrame([(9, [4.0, 4.0])], "id bigint, vector array<double>")
+    got = nearest_neighbors(asked, spark.createDataFrame(train, "id bigint, label int, vector array<double>"), 2)
+    assert [(r["rank"], r["neighbor_id"]) for r in got.orderBy("rank").collect()] == [(1, 4), (2, 2)]
