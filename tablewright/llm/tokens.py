@@ -81,23 +81,30 @@ class ChunkEncoder:
         self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(np.uint16 if self.code == "H" else np.uint32)
         self.letters = str.maketrans({b: c for b, c in _byte_letters().items()})
-        self.first = _Memory(lambda chunk: self._ids("", chunk))
-        self.after_blank = _Memory(lambda chunk: self._ids(" " if keeps_space else "", chunk))
+        self.blank = " ".translate(self.letters)
+        self.first = _Memory(lambda chunk: self._ids("", chunk, self.first))
+        self.after_blank = _Memory(lambda chunk: self._ids(" " if keeps_space else "", chunk, self.after_blank))
         self.odd = _Memory(self._odd)
+        self.pieces = _Memory(self._merge)
 
-    def _merge(self, piece: str) -> list[int]:
+    def _merge(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(mapped)] if mapped else []
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)] if mapped else []).tobytes()
 
-    def _ids(self, blank: str, chunk: str) -> bytes:
+    def _ids(self, blank: str, chunk: str, memory: _Memory) -> bytes:
+        """A word may be known without its marks, which have ids of their own."""
+        if chunk.isascii() and chunk.isalpha():
+            mapped = self.blank + chunk if blank else chunk if self.keeps_space else chunk.lower()
+            return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
         plain = PLAIN.fullmatch(chunk)
         if plain is None or not chunk:
             return self._odd(blank + chunk)
         word, marks = plain.groups()
-        if not self.keeps_space:
-            word = word.lower()
-        ids = self._merge(blank + word) + self._merge(marks) if word else self._merge(blank + marks)
-        return array(self.code, ids).tobytes()
+        if not word:
+            return self.pieces[blank + marks]
+        if marks:
+            return memory[word] + self.pieces[marks]
+        return self._merge(blank + (word if self.keeps_space else word.lower()))
 
     def _odd(self, chunk: str) -> bytes:
         return array(self.code, self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
