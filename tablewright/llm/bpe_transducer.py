@@ -53,7 +53,9 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longer = {t[:n] for t in ranks for n in range(1, len(t))}  # proper beginnings
+        # Rank (or -1) of the vocabulary entries and their beginnings, and whether longer entries begin so.
+        longer = {t[:n] for t in ranks for n in range(1, len(t))}
+        self.known = {t: (ranks.get(t, -1), t in longer) for t in longer.union(ranks)}
         self.size = {rank: len(t) for t, rank in ranks.items()}
         self.joined: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -102,23 +104,32 @@ class Transducer:
             known = self.stable[key] = self._pair(left, right)
         return known
 
-    def _target(self, data: bytes, live, path) -> tuple[int, tuple[int, ...]]:
-        """(next state, ids emitted) when the prefix that ends here has the tokens ``path``."""
-        kept = [(place, tokens) for place, tokens in live if data[place:] in self.longer]
-        kept.append((len(data), path))
-        # What all live positions share at the beginning is final.
-        shared = min((tokens for _, tokens in kept), key=len)
-        depth = len(shared)
-        for _, tokens in kept:
-            while tokens[:depth] != shared[:depth]:
-                depth -= 1
+    def _target(self, size: int, data: bytes, kept: list, path) -> tuple[int, tuple[int, ...]]:
+        """(next state, ids emitted) when the prefix that ends here has the tokens ``path`` and the
+        positions ``kept`` matter besides its end."""
+        if not kept:  # what came before is final, and nothing is pending
+            return 0, path
+        # What all live positions share at the beginning is final: what the least and the greatest share.
+        chains = [tokens for _, tokens in kept]
+        chains.append(path)
+        least, greatest = min(chains), max(chains)
+        depth = 0
+        for a, b in zip(least, greatest):
+            if a != b:
+                break
+            depth += 1
         base = kept[0][0]
-        state = (data[base:], tuple((place - base, tokens[depth:]) for place, tokens in kept))
+        if base or depth:
+            live = [(place - base, tokens[depth:]) for place, tokens in kept]
+            live.append((size - base, path[depth:]))
+            state = data[base:], tuple(live)
+        else:
+            state = data, (*kept, (size, path))
         number = self.numbers.get(state)
         if number is None:
             number = self.numbers[state] = len(self.states)
             self.states.append(state)
-        return number, shared[:depth]
+        return number, path[:depth]
 
     def _step(self, number: int, byte: int) -> list:
         """Compile one transition: [token, target, other target].
@@ -129,15 +140,24 @@ class Transducer:
         """
         pending, live = self.states[number]
         data = pending + bytes((byte,))
-        token, target = -1, None
-        if live[0] == (0, ()) and data in self.ranks:
-            token = self.ranks[data]
-            target = self._target(data, live, (token,))
-        path = next((
-            tokens + (rank,) for place, tokens in live
-            if tokens and (rank := self.ranks.get(data[place:])) is not None and self._meets(tokens[-1], rank)
-        ), None)
-        other = self._target(data, live, path) if path else None
+        size, known = len(data), self.known
+        token, path, kept = -1, None, []
+        for at in live:
+            place, tokens = at
+            found = known.get(data[place:] if place else data)
+            if found is None:
+                continue
+            rank, goes_on = found
+            if goes_on:
+                kept.append(at)
+            if rank >= 0:
+                if not tokens:
+                    if not place:
+                        token = rank
+                elif path is None and self._meets(tokens[-1], rank):
+                    path = (*tokens, rank)
+        target = self._target(size, data, kept, (token,)) if token >= 0 else None
+        other = self._target(size, data, kept, path) if path else None
         out = self.steps[number << 8 | byte] = [token, target if token >= 0 else other, other]
         return out
 
@@ -190,22 +210,22 @@ class Encoder:
         self.machine = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
         self.by_blanks = pattern == public_tokenizers.PATTERN
-        self.first = _Memory(lambda part: self._part("", part))
-        self.after_blank = _Memory(lambda part: self._part(" ", part))
+        self.first = _Memory(lambda part: self._part("", part, self.first))
+        self.after_blank = _Memory(lambda part: self._part(" ", part, self.after_blank))
         self.pieces = _Memory(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         return array("i", self.machine.encode(piece.encode())).tobytes()
 
-    def _part(self, blank: str, part: str) -> bytes:
-        """A word with its marks is two matches; anything else is left to the pattern."""
+    def _part(self, blank: str, part: str, memory: _Memory) -> bytes:
+        """A word with its marks is two matches, of which the word may be known alone; anything else is left to the pattern."""
         plain = PLAIN.fullmatch(part)
         if plain is None or not part:
             return self._matches(blank + part)
         word, marks = plain.groups()
         if not word:
             return self.pieces[blank + marks]
-        return self._piece(blank + word) + self.pieces[marks] if marks else self._piece(blank + word)
+        return memory[word] + self.pieces[marks] if marks else self._piece(blank + word)
 
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))

@@ -176,3 +176,16 @@ def test_bpe_of_odd_documents(spark, odd, none, reference):
     assert Counter((r["doc_id"], r["text"], tuple(r["ids"])) for r in rows) == Counter(
         (d, t or "", tuple(reference[1].encode_ordinary(t or ""))) for d, t, *_ in ROWS)
     assert bpe_transducer.decode(bpe_transducer.encode(none)).count() == 0
+
+
+def test_a_word_is_remembered_without_its_marks():
+    text = "so alpha, alpha. été! x\nbeta; beta"
+    plain = ChunkEncoder(public_tokenizers.path(packing.VOCABULARY), keeps_space=True)
+    assert plain.encode(text).tolist() == plain.whole.encode(text, add_special_tokens=False).ids
+    machine = bpe_transducer.Encoder(public_tokenizers.path(bpe_transducer.VOCABULARY))
+    ids = machine.encode(text)
+    for encoder in (plain, machine):
+        assert {"alpha", "alpha,", "été"} <= set(encoder.after_blank) and "beta" in encoder.first
+    assert bpe_transducer.Decoder(machine.machine.ranks).decode(ids.tolist()) == text
+    assert machine.encode("so alpha, alpha.").tolist() == [
+        i for part in ("so", " alpha", ",", " alpha", ".") for i in machine.machine.encode(part.encode())]
