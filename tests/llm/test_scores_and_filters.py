@@ -120,6 +120,52 @@ def test_long_texts_are_refined_to_their_end_in_bounded_slices(monkeypatch):
     assert sum(n for n, learns in seen if learns) > 131_072
 
 
+def plainly_mixed(mixer, data):
+    """log10 probability of one stream, decision by decision."""
+    padded = np.frombuffer(b"\0" * 5 + data, np.uint8)
+    contexts = context_mixing._contexts(padded)
+    weights, slopes, cost = context_mixing.START.astype(float).copy(), np.zeros((4, 4)), 0.0
+    counts = [{} for _ in range(4)]
+    for i in range(len(data)):
+        if i and i % context_mixing.BLOCK == 0:
+            weights -= np.clip(context_mixing.RATE * slopes, -context_mixing.CHANGE, context_mixing.CHANGE)
+            slopes[:] = 0
+        pair = np.array([int(padded[i + 4]) << 8 | int(padded[i + 5])])
+        bits, slots, _ = context_mixing._decisions(mixer.code, pair, [c[i: i + 1] for c in contexts])
+        for j, bit in enumerate(bits):
+            x = []
+            for k in range(4):
+                place = int(slots[k][j])
+                odds = mixer.odds[k][place] / context_mixing.SCALE
+                zeros, ones = counts[k].get(place, (0, 0))
+                if zeros + ones:
+                    seen = min(2 ** (mixer.sizes[k][place] / context_mixing.STEPS) - 1, context_mixing.TRUST)
+                    size, share = seen + 2 * context_mixing.PRIOR, 1 / (1 + np.exp(-odds))
+                    odds = np.log((size * share + ones) / (size * (1 - share) + zeros))
+                counts[k][place] = zeros + (bit == 0), ones + (bit == 1)
+                x.append(odds)
+            gate = max((k for k in range(1, 4) if x[k]), default=0)
+            logit = weights[gate] @ x
+            cost -= np.log1p(np.exp(-logit if bit else logit))
+            slopes[gate] += (1 / (1 + np.exp(-logit)) - bit) * np.array(x)
+    return cost / np.log(10)
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 300])
+def test_predictors_and_weights_learn_through_the_text(monkeypatch, chunk):
+    monkeypatch.setattr(context_mixing, "CHUNK", chunk)
+    texts = ["wherha onthe stin wherha ed " * 30, "the cat sat on the mat", ""]
+    plain = small_mixer(texts[1:])
+    rng = np.random.default_rng(1)
+    sizes = [rng.integers(0, 80, 1 << w).astype(np.int8) for w in context_mixing.TABLE_BITS]
+    mixer = context_mixing.Mixer(plain.code, plain.odds, sizes)
+    streams = [context_mixing.stream(t) for t in texts]
+    assert np.allclose(mixer.scores(streams), [plainly_mixed(mixer, s) for s in streams], rtol=1e-4)
+    # what comes again costs less, at its last places too
+    half, whole = mixer.scores([streams[0][: len(streams[0]) // 2], streams[0]])
+    assert whole - half > 0.5 * half
+
+
 def test_batches_are_cut_by_bytes():
     column = pa.array(["ab", None, "", "c" * 50, "d", "e" * 9])
     parts = list(parts_of(pa.RecordBatch.from_arrays([column], ["text"]), 10))
