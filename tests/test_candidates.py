@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -172,3 +173,30 @@ def test_the_kernel_machine_reads_its_rows_in_many_partitions(ring, monkeypatch)
     assert seen == [7]
     agree = sum(a == b for a, b in zip(expected, dealt.transform(few).select("label", "prediction").collect()))
     assert agree >= 0.98 * len(expected)
+
+
+def test_wide_vectors_keep_the_kernel(spark, monkeypatch):
+    """Two classes that no linear machine separates, in one-hot vectors of more features than are lifted as a block."""
+    assert kernel.MOST_FEATURES > 10**9
+    monkeypatch.setattr(kernel, "DENSE", 8)
+    rng, size, rows = random.Random(4), 40, []
+    for i in range(400):
+        a, b = rng.randrange(2), rng.randrange(2)
+        rows.append((Vectors.sparse(size, {a: 3.0, 37 + b: 3.0}), float(a ^ b)))
+    df = spark.createDataFrame(rows, ["features", "label"])
+    scored = KernelClassifier(2, 50, 1e-4).fit(df).transform(df)
+    assert scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.95
+
+
+def test_entries_are_lifted_as_the_kernel_asks(spark, monkeypatch):
+    """Mean products of vectors beyond the block are those of the Gaussian kernel, dense and sparse ones alike."""
+    monkeypatch.setattr(kernel, "DENSE", 4)
+    near = [{0: 0.5, 30: 1.0}, {0: 0.2, 30: 0.6, 49: -0.4}, {}, {2: 1.0, 17: 1.0}]
+    rows = [(Vectors.sparse(50, v),) for v in near] + [(Vectors.dense([v.get(i, 0.0) for i in range(50)]),) for v in near]
+    lifted = FourierFeatures(0.7, 50, 20_000).transform(spark.createDataFrame(rows, ["features"]))
+    z = [r["z"] for r in lifted.select(vector_to_array("__lifted").alias("z")).collect()]
+    for i, a in enumerate(near):
+        assert np.allclose(z[i], z[i + 4])
+        for j, b in enumerate(near):
+            wanted = math.exp(-0.7 * sum((a.get(k, 0.0) - b.get(k, 0.0)) ** 2 for k in range(50)))
+            assert abs(float(np.dot(z[i], z[j])) - wanted) < 0.03
