@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright import modeling as M
-from tablewright.modeling import Settings
+from tablewright.modeling import Settings, selection
 from tablewright.modeling.candidates import CLASSIFICATION, REGRESSION
 from tablewright.suite.registry import table
 
@@ -163,3 +163,15 @@ def test_held_rows_are_dealt_to_partitions(spark, staff, monkeypatch, whole):
     else:
         M.fit_model(problem, "Linear Regression", QUICK)
     assert max(r["count"] for r in seen) <= 110 and sum(r["count"] for r in seen[:3]) == 300
+
+
+@pytest.mark.parametrize("rows", [30, 300])
+def test_tables_of_every_size_are_dealt_alike(spark, monkeypatch, rows):
+    """However its rows lie, a held table is put in the order of its hashes, below and above the size of a partition."""
+    monkeypatch.setattr(selection, "PART_ROWS", 100)
+    df = spark.range(rows).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    for parts in (1, 5):
+        dealt = selection._spread(df.repartition(parts), rows)
+        assert dealt.rdd.getNumPartitions() == max(1, rows // 100)
+        own = dealt.select(F.spark_partition_id().alias("p"), F.xxhash64("a", "b").alias("h")).collect()
+        assert own == sorted(own, key=lambda r: (r["p"], r["h"]))
