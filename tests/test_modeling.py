@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright import modeling as M
-from tablewright.modeling import Settings, selection
+from tablewright.modeling import Settings, candidates, selection
 from tablewright.modeling.candidates import CLASSIFICATION, REGRESSION
 from tablewright.suite.registry import table
 
@@ -175,3 +175,27 @@ def test_tables_of_every_size_are_dealt_alike(spark, monkeypatch, rows):
         assert dealt.rdd.getNumPartitions() == max(1, rows // 100)
         own = dealt.select(F.spark_partition_id().alias("p"), F.xxhash64("a", "b").alias("h")).collect()
         assert own == sorted(own, key=lambda r: (r["p"], r["h"]))
+
+
+def test_folds_are_compared_side_by_side(spark, monkeypatch):
+    """Folds held at once or one after another give the same board; a candidate that fails is tried on no later fold."""
+    df = spark.createDataFrame([(i, float(i % 17), float(i % 5), float(i % 17 * 2 + i % 5)) for i in range(300)], "id long, a double, b double, y double")
+    problem = M.prepare_problem(df, "y", "regression", key=["id"], features=["a", "b"])
+    tried = []
+
+    class Fails:
+        def __init__(self, estimator, facts):
+            self.estimator, self.facts = estimator, facts
+
+        def fit(self, train):
+            tried.append(self.facts.rows)
+            raise ValueError("never fits")
+
+    monkeypatch.setitem(candidates.REGRESSION, "Lasso Regression", lambda s, f: Fails(None, f))
+    names, boards = ["Linear Regression", "Decision Tree", "Lasso Regression"], []
+    for held in (10**6, 1):
+        monkeypatch.setattr(selection, "HELD_ROWS", held)
+        boards.append([tuple(r) for r in M.compare_models(problem, 3, models=names).collect()])
+    assert boards[0] == boards[1] and boards[0][-1] == ("Lasso Regression", None, 0, "ValueError: never fits")
+    assert all(score > 0.9 and folds == 3 for _, score, folds, failure in boards[0] if failure is None)
+    assert 2 <= len(tried) <= 4
