@@ -92,3 +92,33 @@ def test_equal_rows_missing_classes_and_saving(spark, points, tmp_path):
     assert told(ForestModel.load(str(tmp_path / "forest")), points, "probability") == told(model, points, "probability")
     with pytest.raises(ValueError):
         Forest(spec(RandomForestRegressor, "y")).fit(points.limit(0))
+
+
+@pytest.mark.parametrize("kind, label", [(RandomForestRegressor, "y"), (RandomForestClassifier, "kind")])
+def test_large_forests_stay_in_files(points, tmp_path, monkeypatch, kind, label):
+    """No process holds the trees: they are written where they grow, and read tree by tree while rows are scored, many batches at once."""
+    model = Forest(spec(kind, label, numTrees=7)).fit(points)
+    column = "probability" if label == "kind" else "prediction"
+    sent = told(model, points, column)
+    # trees are added up in another order
+    same = lambda other: other.keys() == sent.keys() and all(np.allclose(other[i], sent[i], rtol=1e-12) for i in sent)
+    assert not [v for v in vars(model).values() if isinstance(v, list) and v and not isinstance(v[0], float)]
+    model.save(str(tmp_path / "forest"))
+    monkeypatch.setattr(forests, "SENT_BYTES", 0)
+    for bound in (100, forests.SCORED_BYTES):
+        monkeypatch.setattr(forests, "SCORED_BYTES", bound)
+        assert same(told(model, points, column))
+    assert same(told(ForestModel.load(f"file:{tmp_path / 'forest'}"), points, column))
+    assert told(model, points.limit(0), column) == {}
+
+
+def test_whole_trees_are_sent_the_rows_once(spark, points):
+    """Rows of a table that a task can hold are not shuffled again for every tree."""
+    written, rows = {}, points.withColumnRenamed("y", "label")
+    for trees in (2, 40):
+        spark.sparkContext.setJobGroup(f"{trees} trees", "")
+        pool_of("regression")["Extra Trees"](Settings(trees=trees), TrainingFacts(900, 1.0, 2, 6)).fit(rows)
+        tracker = spark.sparkContext.statusTracker()
+        written[trees] = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"{trees} trees"))
+    spark.sparkContext.setJobGroup("", "")
+    assert written[2] == written[40]
